@@ -1,6 +1,6 @@
 """End-to-end plans and the registered queries."""
 
-from . import catalog_queries, evaluation_queries, health_queries  # noqa: F401
+from . import catalog_queries, evaluation_queries, health_queries, wave_queries  # noqa: F401
 from .registry import ORACLES, QUERIES, ROWS
 
 __all__ = ["ORACLES", "QUERIES", "ROWS"]

@@ -24,13 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/steadyhum/{uuid.uuid4().hex}/{name}"
+
+
+def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage, survives the loss of executors, and gives the planner true file sizes.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/steadyhum/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    path = fresh_path(df.sparkSession, name)
+    if partition_by:
+        df.write.partitionBy(partition_by).parquet(path)
+    else:
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,6 +1,13 @@
 """End-to-end plans and the registered queries."""
 
-from . import catalog_queries, evaluation_queries, health_queries, wave_queries  # noqa: F401
+from . import (  # noqa: F401
+    catalog_queries,
+    evaluation_queries,
+    fusion_queries,
+    health_queries,
+    pair_queries,
+    wave_queries,
+)
 from .registry import ORACLES, QUERIES, ROWS
 
 __all__ = ["ORACLES", "QUERIES", "ROWS"]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scale import fresh_path
+from ..functions.vectors import total
 from ..operators import catalog as C
 from ..sources import recordings as R
 from ..sources import stores as S
@@ -265,11 +267,8 @@ def contract_length_violations(spark, sf_dir):
 
 @query("json_round_trip", "S5", X.sql("SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_differences FROM rec", *X.REC_VIEWS))
 def json_round_trip(spark, sf_dir):
-    from ..functions.scale import shared_dir
-    import uuid
-
     recs = X.recordings(spark, sf_dir)
-    path = f"{shared_dir(spark)}/steadyhum/{uuid.uuid4().hex}/json"
+    path = fresh_path(spark, "json")
     S.save_json(recs, path)
     back = S.load_json(spark, path, recs.schema).select(*recs.columns)
     return round_trip_summary(recs, back)
@@ -285,11 +284,8 @@ def round_trip_summary(before, after):
 
 @query("table_round_trip", "S6", X.sql("SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_differences FROM rec", *X.REC_VIEWS))
 def table_round_trip(spark, sf_dir):
-    from ..functions.scale import shared_dir
-    import uuid
-
     recs = X.recordings(spark, sf_dir).withColumn("vector", F.col("vector").cast("array<float>"))
-    path = f"{shared_dir(spark)}/steadyhum/{uuid.uuid4().hex}/table"
+    path = fresh_path(spark, "table")
     S.save_table(recs, path)
     return round_trip_summary(recs, S.load_table(spark, path, recs.schema))
 
@@ -311,8 +307,6 @@ FROM (SELECT rec_id, machine_type, machine_id, label, filename, sum(v) AS s FROM
     ),
 )
 def store_load_or_create(spark, sf_dir):
-    from ..functions.vectors import total
-
     def compute(misses):
         return misses.withColumn("value", r6(total(F.col("vector"))))
 

@@ -133,13 +133,12 @@ ste AS (
   FROM (SELECT rec_id, unnest(range((n - 32) // 16 + 1)) AS frame FROM clip_ok) t
   JOIN clip c ON c.rec_id = t.rec_id AND c.i >= t.frame * 16 AND c.i < t.frame * 16 + 32 GROUP BY t.rec_id, t.frame),
 rms_pool AS (
-  SELECT rec_id, round(avg(r), 5) + 0.0 AS rms_mean, round(stddev_pop(r), 5) + 0.0 AS rms_std, round(max(r), 5) + 0.0 AS rms_max,
-         round(least(80.0, 10 * log10(greatest(1e-10, max(r) * max(r))) - 10 * log10(greatest(1e-10, min(r) * min(r)))), 5) + 0.0 AS dynamic_range_db
+  SELECT rec_id, avg(r) AS rms_mean, stddev_pop(r) AS rms_std, max(r) AS rms_max,
+         least(80.0, 10 * log10(greatest(1e-10, max(r) * max(r))) - 10 * log10(greatest(1e-10, min(r) * min(r)))) AS dynamic_range_db
   FROM rms GROUP BY rec_id),
-ste_pool AS (SELECT rec_id, round(avg(e), 5) + 0.0 AS ste_mean, round(stddev_pop(e), 5) + 0.0 AS ste_std FROM ste GROUP BY rec_id)"""
-TEMPORAL_SELECT = (
-    "SELECT rec_id, rms_mean, rms_std, rms_max, ste_mean, ste_std, dynamic_range_db FROM rms_pool JOIN ste_pool USING (rec_id)"
-)
+ste_pool AS (SELECT rec_id, avg(e) AS ste_mean, stddev_pop(e) AS ste_std FROM ste GROUP BY rec_id),
+temporal AS (SELECT * FROM rms_pool JOIN ste_pool USING (rec_id))"""
+TEMPORAL_SELECT = "SELECT rec_id, " + ", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in FT.TEMPORAL) + " FROM temporal"
 
 
 def mirrored(index: str, size: str) -> str:

@@ -7,6 +7,8 @@ row it already sits in: no explode, no regrouping, no shuffle. Vectors are store
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,21 @@ NORM_FLOOR = 1e-10
 UNIT_EPS = 1e-12
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    A column expression used inside a lambda would be computed again for every element;
+    bound to a lambda variable it is not. For array results that may feed a Python UDF use
+    ``scaled_down``: Spark cannot hand nested lambdas to Python.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def scaled_down(v: Column, divisor: Column) -> Column:
+    """Every element divided by ``divisor``, which is computed once per row."""
+    return F.zip_with(v, F.array_repeat(divisor, F.size(v)), lambda x, d: x / d)
+
+
 def as_double(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -59,9 +76,13 @@ def manhattan(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column, floor: float = NORM_FLOOR) -> Column:
     """Cosine similarity, 0.0 when either norm is zero or below ``floor``."""
-    na, nb = norm(a), norm(b)
-    degenerate = (na < floor) | (nb < floor) | (na == 0) | (nb == 0)
-    return F.when(degenerate, F.lit(0.0)).otherwise(dot(a, b) / (na * nb))
+
+    def ratio(s: Column) -> Column:
+        na, nb = s["a"], s["b"]
+        degenerate = (na < floor) | (nb < floor) | (na == 0) | (nb == 0)
+        return F.when(degenerate, F.lit(0.0)).otherwise(s["ab"] / (na * nb))
+
+    return let(F.struct(norm(a).alias("a"), norm(b).alias("b"), dot(a, b).alias("ab")), ratio)
 
 
 def zscore(v: Column, mean: Column, std: Column) -> Column:
@@ -80,13 +101,12 @@ def zscore_unit_fallback(v: Column, mean: Column, std: Column) -> Column:
 
 def cosine_to_ones(z: Column) -> Column:
     """Cosine between ``z`` and the all-ones direction, 0.0 for a zero vector."""
-    n = norm(z)
-    return F.when(n == 0, F.lit(0.0)).otherwise(total(z) / (n * F.sqrt(F.size(z).cast("double"))))
+    sums = F.struct(norm(z).alias("n"), total(z).alias("t"), F.sqrt(F.size(z).cast("double")).alias("w"))
+    return let(sums, lambda s: F.when(s["n"] == 0, F.lit(0.0)).otherwise(s["t"] / (s["n"] * s["w"])))
 
 
 def unit(v: Column, eps: float = UNIT_EPS) -> Column:
-    n = F.greatest(norm(v), F.lit(eps))
-    return F.transform(v, lambda x: x / n)
+    return scaled_down(v, F.greatest(norm(v), F.lit(eps)))
 
 
 def not_finite(x: Column) -> Column:

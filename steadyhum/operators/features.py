@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import signal as S
 from ..functions.linear import matrix_product, power_spectrum
 from ..functions.signal import SignalParams
-from ..functions.vectors import sum_squares, total
+from ..functions.vectors import let, sum_squares, total
 from .preprocess import cut, decibel, frame_index, padded
 
 MFCC_FAMILIES = ("mfcc", "mfcc_delta", "mfcc_delta2")
@@ -42,54 +42,58 @@ def feature_names(params: SignalParams) -> list[str]:
 
 def centroid(mag: Column, step: float) -> Column:
     """Magnitude-weighted mean frequency, 0 for an empty frame."""
-    mass = total(mag)
     moment = total(F.transform(mag, lambda m, i: m * (i * step)))
-    return F.when(mass > 0, moment / mass).otherwise(0.0)
+    return let(total(mag), lambda mass: F.when(mass > 0, moment / mass).otherwise(0.0))
 
 
 def bandwidth(mag: Column, center: Column, step: float) -> Column:
-    mass = total(mag)
-    spread = total(F.transform(mag, lambda m, i: m * (i * step - center) * (i * step - center)))
-    return F.when(mass > 0, F.sqrt(spread / mass)).otherwise(0.0)
+    spread = let(center, lambda c: total(F.transform(mag, lambda m, i: m * (i * step - c) * (i * step - c))))
+    return let(total(mag), lambda mass: F.when(mass > 0, F.sqrt(spread / mass)).otherwise(0.0))
 
 
 def rolloff(mag: Column, step: float) -> Column:
     """Lowest frequency at which the running magnitude reaches the rolloff share."""
-    bound = total(mag) * S.ROLLOFF_SHARE
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("below"))
 
-    def add(acc: Column, m: Column) -> Column:
-        s = acc["sum"] + m
-        return F.struct(s.alias("sum"), (acc["below"] + F.when(s < bound, 1).otherwise(0)).alias("below"))
+    def below(bound: Column) -> Column:
+        def add(acc: Column, m: Column) -> Column:
+            s = acc["sum"] + m
+            return F.struct(s.alias("sum"), (acc["below"] + F.when(s < bound, 1).otherwise(0)).alias("below"))
 
-    return F.aggregate(mag, start, add, lambda acc: acc["below"]) * F.lit(step)
+        return F.aggregate(mag, start, add, lambda acc: acc["below"])
+
+    return let(total(mag) * S.ROLLOFF_SHARE, below) * F.lit(step)
 
 
 def flatness(power: Column) -> Column:
     """Geometric over arithmetic mean of power."""
-    floored = F.transform(power, lambda p: F.greatest(F.lit(S.AMIN), p))
+    low = F.lit(S.AMIN)
+    logs = F.aggregate(power, F.lit(0.0), lambda acc, p: acc + F.log(F.greatest(low, p)))
+    plain = F.aggregate(power, F.lit(0.0), lambda acc, p: acc + F.greatest(low, p))
     n = F.size(power)
-    return F.exp(total(F.transform(floored, lambda p: F.log(p))) / n) / (total(floored) / n)
+    return F.exp(logs / n) / (plain / n)
 
 
 def zero_crossing_rate(x: Column, length: int) -> Column:
     """Share of samples whose sign differs from the sample before; zero counts as positive."""
-    negative = F.transform(x, lambda v: v < -S.ZERO_LEVEL)
-    pairs = F.zip_with(
-        F.slice(negative, F.lit(1), F.lit(length - 1)), F.slice(negative, F.lit(2), F.lit(length - 1)), lambda a, b: a != b
-    )
-    return F.size(F.filter(pairs, lambda c: c)) / F.lit(float(length))
+    before, after = F.slice(x, 1, length - 1), F.slice(x, 2, length - 1)
+    changed = F.zip_with(before, after, lambda a, b: (a < -S.ZERO_LEVEL) != (b < -S.ZERO_LEVEL))
+    return F.size(F.filter(changed, lambda c: c)) / F.lit(float(length))
 
 
-def contrast_ends(mag: Column, params: SignalParams) -> tuple[Column, Column]:
-    """(peaks, valleys): mean of the strongest and weakest bins of every octave band."""
-    peaks, valleys = [], []
+def contrast_ends(mag: Column, params: SignalParams) -> Column:
+    """array<struct<peak, valley>>: mean of the strongest and weakest bins per octave band."""
     slices = S.contrast_slices(params.sample_rate, params.n_fft, params.contrast_bands, params.contrast_fmin)
-    for start, size, ends in slices:
-        ranked = F.sort_array(F.slice(mag, start + 1, size))
-        valleys.append(total(F.slice(ranked, 1, ends)) / ends)
-        peaks.append(total(F.slice(ranked, size - ends + 1, ends)) / ends)
-    return F.array(*peaks), F.array(*valleys)
+
+    def ends_of(size: int, ends: int):
+        return lambda ranked: F.struct(
+            (total(F.slice(ranked, size - ends + 1, ends)) / ends).alias("peak"),
+            (total(F.slice(ranked, 1, ends)) / ends).alias("valley"),
+        )
+
+    return F.array(
+        *[let(F.sort_array(F.slice(mag, start + 1, size)), ends_of(size, ends)) for start, size, ends in slices]
+    )
 
 
 # --- frame tables ---
@@ -133,15 +137,13 @@ def measured_frames(waves: DataFrame, keys: list[str], params: SignalParams) ->
     ).drop("x", "_mfcc_x")
     mag = F.col("_mag")
     sized = powered.withColumn("_mag", F.transform("power", lambda v: F.sqrt(v)))
-    peaks, valleys = contrast_ends(mag, p)
     return (
         sized.withColumns(
             {
                 "spectral_centroid": centroid(mag, step),
                 "spectral_rolloff": rolloff(mag, step),
                 "spectral_flatness": flatness(F.col("power")),
-                "_peaks": peaks,
-                "_valleys": valleys,
+                "_ends": contrast_ends(mag, p),
             }
         )
         .withColumn("spectral_bandwidth", bandwidth(mag, F.col("spectral_centroid"), step))
@@ -149,26 +151,25 @@ def measured_frames(waves: DataFrame, keys: list[str], params: SignalParams) ->
     )
 
 
-def _floored(values: Column, top: Column) -> Column:
+def _floored(values: Column, top_db: Column) -> Column:
     """dB of every value, not lower than ``TOP_DB`` below the recording's top."""
-    return F.transform(values, lambda v: F.greatest(decibel(v), top - S.TOP_DB))
+    return F.transform(values, lambda v: F.greatest(decibel(v), top_db - S.TOP_DB))
 
 
 def levelled_frames(measured: DataFrame, keys: list[str], params: SignalParams) -> DataFrame:
     """Add ``mfcc`` and ``contrast``, whose dB floor depends on the whole recording."""
     group = W.partitionBy(*keys)
-    tops = {f"_top{c}": F.max(F.array_max(c)).over(group) for c in ("mel", "_peaks", "_valleys")}
-    topped = measured.withColumns(tops)
+    peaks, valleys = F.col("_ends.peak"), F.col("_ends.valley")
+    tops = {"_top_mel": F.col("mel"), "_top_peak": peaks, "_top_valley": valleys}
+    topped = measured.withColumns({name: F.max(decibel(F.array_max(c))).over(group) for name, c in tops.items()})
     levelled = topped.withColumns(
         {
-            "mel": _floored(F.col("mel"), decibel(F.col("_topmel"))),
+            "mel": _floored(F.col("mel"), F.col("_top_mel")),
             "contrast": F.zip_with(
-                _floored(F.col("_peaks"), decibel(F.col("_top_peaks"))),
-                _floored(F.col("_valleys"), decibel(F.col("_top_valleys"))),
-                lambda a, b: a - b,
+                _floored(peaks, F.col("_top_peak")), _floored(valleys, F.col("_top_valley")), lambda a, b: a - b
             ),
         }
-    ).drop("_peaks", "_valleys", *tops)
+    ).drop("_ends", *tops)
     mfcc = matrix_product(F.col("mel"), S.dct_weights(params.n_mfcc, params.mfcc_mels))
     return levelled.withColumn("mfcc", mfcc).drop("mel")
 

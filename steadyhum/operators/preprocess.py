@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.linear import matrix_product, power_spectrum
 from ..functions.signal import AMIN, TOP_DB, SignalParams, hann, mel_weights, resample
+from ..functions.vectors import let, scaled_down
 
 # Recordings quieter than this are left alone; the encoder's sample rate.
 SILENCE_PEAK = 1e-9
@@ -23,7 +24,7 @@ def downmix(channels: Column) -> Column:
         F.get(channels, F.lit(0)),
         lambda acc, ch: F.zip_with(acc, ch, lambda x, y: x + y),
     )
-    return F.transform(added, lambda x: x / F.size(channels))
+    return scaled_down(added, F.size(channels).cast("double"))
 
 
 def resample_waves(waves: DataFrame, target: int = TARGET_RATE) -> DataFrame:
@@ -45,11 +46,9 @@ def peak(samples: Column) -> Column:
 
 def normalize(waves: DataFrame) -> DataFrame:
     """Divide by the largest absolute sample, unless the recording is silent."""
-    peaked = waves.withColumn("_peak", peak(F.col("samples")))
-    scaled = F.transform("samples", lambda x: x / F.col("_peak"))
-    return peaked.withColumn(
-        "samples", F.when(F.col("_peak") < SILENCE_PEAK, F.col("samples").cast("array<double>")).otherwise(scaled)
-    ).drop("_peak")
+    samples = F.col("samples").cast("array<double>")
+    divisor = let(peak(F.col("samples")), lambda p: F.when(p < SILENCE_PEAK, 1.0).otherwise(p))
+    return waves.withColumn("samples", scaled_down(samples, divisor))
 
 
 def silent_recordings(waves: DataFrame) -> DataFrame:
@@ -124,11 +123,11 @@ def decibel_frames(melled: DataFrame, keys: list[str], column: str = "mel", to_p
     ``to_peak`` makes the loudest band 0 dB. The peak needs all frames of a recording, and a
     recording is one bounded file, so this is a window over its key.
     """
-    loudest = F.max(F.array_max(column)).over(W.partitionBy(*keys))
-    marked = melled.withColumn("_top", decibel(loudest))
+    top = F.max(decibel(F.array_max(column))).over(W.partitionBy(*keys))
     shift = F.col("_top") if to_peak else F.lit(0.0)
-    floor = F.col("_top") - shift - TOP_DB
-    return marked.withColumn(column, F.transform(column, lambda p: F.greatest(decibel(p) - shift, floor))).drop("_top")
+    low = F.col("_top") - shift - TOP_DB
+    levelled = F.transform(column, lambda p: F.greatest(decibel(p) - shift, low))
+    return melled.withColumn("_top", top).withColumn(column, levelled).drop("_top")
 
 
 def log_mel(waves: DataFrame, keys: list[str], params: SignalParams) -> DataFrame:

@@ -109,6 +109,72 @@ def contrast_slices(sample_rate: int, n_fft: int, n_bands: int, fmin: float) ->
     return slices
 
 
+# --- kernels: one recording in, one row per frame out ---
+
+
+def framed(x: np.ndarray, length: int, hop: int) -> np.ndarray:
+    """(frames, length) view of ``x``; no frame if ``x`` is shorter."""
+    if len(x) < length:
+        return np.empty((0, length))
+    return np.lib.stride_tricks.sliding_window_view(x, length)[::hop]
+
+
+def power(x: np.ndarray, window: np.ndarray, hop: int) -> np.ndarray:
+    """(frames, bins) power spectrum of centred, zero-padded frames."""
+    n = len(window)
+    if len(x) == 0:
+        return np.empty((0, n // 2 + 1))
+    spectrum = np.fft.rfft(framed(np.pad(x.astype(np.float64), n // 2), n, hop) * window, axis=1)
+    return spectrum.real**2 + spectrum.imag**2
+
+
+def cepstra(bands: np.ndarray, dct: np.ndarray) -> np.ndarray:
+    """DCT of band levels in dB, floored below the recording's loudest band."""
+    level = 10.0 * np.log10(np.maximum(AMIN, bands))
+    low = level.max() - TOP_DB if level.size else 0.0
+    return np.maximum(level, low) @ dct.T
+
+
+def spectral_shape(power_rows: np.ndarray, step: float) -> list[np.ndarray]:
+    """Centroid, bandwidth, rolloff and flatness of every frame; 0 Hz for empty frames."""
+    mag = np.sqrt(power_rows)
+    freqs = np.arange(mag.shape[1]) * step
+    running = np.cumsum(mag, axis=1)
+    mass = running[:, -1:]
+    share = np.divide(mag, mass, out=np.zeros_like(mag), where=mass > 0)
+    center = share @ freqs
+    spread = np.sqrt((share * (freqs - center[:, None]) ** 2).sum(axis=1))
+    rolloff = (running < ROLLOFF_SHARE * mass).sum(axis=1) * step
+    floored = np.maximum(AMIN, power_rows)
+    flat = np.exp(np.log(floored).mean(axis=1)) / floored.mean(axis=1)
+    return [center, spread, rolloff, flat]
+
+
+def frame_levels(x: np.ndarray, n_frames: int, params: SignalParams) -> list[np.ndarray]:
+    """Zero-crossing rate, RMS and short-time energy; energy is NaN past the uncentred frames."""
+    p = params
+    x = x.astype(np.float64)
+    z = p.zcr_frame
+    negative = np.pad(x < -ZERO_LEVEL, z // 2, mode="edge") if len(x) else np.empty(0, bool)
+    changes = np.concatenate([[0], np.cumsum(negative[1:] != negative[:-1])])
+    first = np.arange(n_frames) * p.hop
+    crossings = (changes[first + z - 1] - changes[first]) / z
+    centred = framed(np.pad(x, p.n_fft // 2), p.n_fft, p.hop)[:n_frames]
+    plain = framed(x, p.n_fft, p.hop)
+    energy = np.full(n_frames, np.nan)
+    energy[: len(plain)] = np.einsum("ij,ij->i", plain, plain)
+    return [crossings, np.sqrt(np.einsum("ij,ij->i", centred, centred) / p.n_fft), energy]
+
+
+def band_extremes(power_rows: np.ndarray, slices: list[tuple[int, int, int]]) -> np.ndarray:
+    """(2, frames, bands): mean of the strongest and of the weakest bins of each band."""
+    mag = np.sqrt(power_rows)
+    ranked = [(np.sort(mag[:, start : start + size], axis=1), ends) for start, size, ends in slices]
+    strong = [r[:, -ends:].mean(axis=1) for r, ends in ranked]
+    weak = [r[:, :ends].mean(axis=1) for r, ends in ranked]
+    return np.stack([np.column_stack(strong), np.column_stack(weak)])
+
+
 def resample(samples: Column, rate: Column, target: int) -> Column:
     """Windowed-sinc polyphase resampling of one recording per row."""
 
@@ -156,20 +222,22 @@ def harmonic_energies(samples: Column, n_fft: int, hop: int, kernel: int) -> Col
     return run(samples)
 
 
-def _median_filter(s: np.ndarray, size: int, axis: int) -> np.ndarray:
+def _median_filter(s: np.ndarray, size: int, axis: int, block: int = 8) -> np.ndarray:
+    """Running median with mirrored ends, a few frames at a time so windows stay in cache."""
     half = size // 2
     pad = [(half, half) if a == axis else (0, 0) for a in range(2)]
     windows = np.lib.stride_tricks.sliding_window_view(np.pad(s, pad, mode="symmetric"), size, axis=axis)
-    return np.partition(windows, half, axis=-1)[..., half]
+    out = np.empty_like(s)
+    for i in range(0, len(s), block):
+        out[i : i + block] = np.partition(windows[i : i + block].copy(), half, axis=-1)[..., half]
+    return out
 
 
 def _split_energies(x: np.ndarray, n_fft: int, hop: int, kernel: int) -> tuple[float, float]:
     if x.size == 0:
         return (np.nan, np.nan)
     window = hann(n_fft)
-    padded = np.pad(x, n_fft // 2)
-    framed = np.lib.stride_tricks.sliding_window_view(padded, n_fft)[::hop]
-    spectrum = np.fft.rfft(framed * window, axis=1)
+    spectrum = np.fft.rfft(framed(np.pad(x, n_fft // 2), n_fft, hop) * window, axis=1)
     magnitude = np.abs(spectrum)
     harm = _median_filter(magnitude, kernel, axis=0)
     perc = _median_filter(magnitude, kernel, axis=1)
@@ -178,11 +246,11 @@ def _split_energies(x: np.ndarray, n_fft: int, hop: int, kernel: int) -> tuple[f
     larger[empty] = 1.0
     h2, p2 = (harm / larger) ** 2, (perc / larger) ** 2
     share = np.where(empty, 0.5, h2 / np.where(empty, 1.0, h2 + p2))
-    weight = np.zeros(hop * (len(framed) - 1) + n_fft)
+    weight = np.zeros(hop * (len(spectrum) - 1) + n_fft)
     signals = np.zeros((2, weight.size))
     parts = np.stack([share * spectrum, (1.0 - share) * spectrum])
     inverse = np.fft.irfft(parts, n=n_fft, axis=2) * window
-    for t in range(len(framed)):
+    for t in range(len(spectrum)):
         at = slice(t * hop, t * hop + n_fft)
         weight[at] += window**2
         signals[:, at] += inverse[:, t]

@@ -1,9 +1,9 @@
 """Signal features per recording, in one pass over its frames.
 
-All centred frame sizes share the hop, so frame ``k`` of every size sits in the same row.
-The row crosses the network twice, both times on the recording key and as small vectors:
-once to learn the recording's loudest band, once for the delta windows. Pooling then
-reuses that partitioning.
+All centred frame sizes share the hop, so frame ``k`` of every size lands in the same row
+when the recording's arrays are exploded. Whatever needs several frames at once (deltas,
+dB floors) is taken from the arrays before that, and pooling combines on the map side:
+a recording crosses the network as one row of sums.
 """
 
 from __future__ import annotations
@@ -11,14 +11,13 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import signal as S
-from ..functions.linear import matrix_product, power_spectrum
+from ..functions.kernels import cepstrum, frame_measures
 from ..functions.signal import SignalParams
-from ..functions.vectors import let, sum_squares, total
-from .preprocess import cut, decibel, frame_index, padded
+from ..functions.vectors import let
+from .preprocess import decibel
 
 MFCC_FAMILIES = ("mfcc", "mfcc_delta", "mfcc_delta2")
 SPECTRAL_SCALARS = ("spectral_centroid", "spectral_bandwidth", "spectral_rolloff", "spectral_flatness", "zcr")
@@ -37,117 +36,41 @@ def feature_names(params: SignalParams) -> list[str]:
     return [*names, *TEMPORAL, *HARMONIC]
 
 
-# --- per-frame measures, each from one array column ---
+# --- per-recording arrays, one element per frame ---
 
 
-def centroid(mag: Column, step: float) -> Column:
-    """Magnitude-weighted mean frequency, 0 for an empty frame."""
-    moment = total(F.transform(mag, lambda m, i: m * (i * step)))
-    return let(total(mag), lambda mass: F.when(mass > 0, moment / mass).otherwise(0.0))
+def delta(rows: Column, weights: list[float], width: int) -> Column:
+    """Weighted sum over nine neighbouring frames; null with fewer than nine frames.
 
-
-def bandwidth(mag: Column, center: Column, step: float) -> Column:
-    spread = let(center, lambda c: total(F.transform(mag, lambda m, i: m * (i * step - c) * (i * step - c))))
-    return let(total(mag), lambda mass: F.when(mass > 0, F.sqrt(spread / mass)).otherwise(0.0))
-
-
-def rolloff(mag: Column, step: float) -> Column:
-    """Lowest frequency at which the running magnitude reaches the rolloff share."""
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("below"))
-
-    def below(bound: Column) -> Column:
-        def add(acc: Column, m: Column) -> Column:
-            s = acc["sum"] + m
-            return F.struct(s.alias("sum"), (acc["below"] + F.when(s < bound, 1).otherwise(0)).alias("below"))
-
-        return F.aggregate(mag, start, add, lambda acc: acc["below"])
-
-    return let(total(mag) * S.ROLLOFF_SHARE, below) * F.lit(step)
-
-
-def flatness(power: Column) -> Column:
-    """Geometric over arithmetic mean of power."""
-    low = F.lit(S.AMIN)
-    logs = F.aggregate(power, F.lit(0.0), lambda acc, p: acc + F.log(F.greatest(low, p)))
-    plain = F.aggregate(power, F.lit(0.0), lambda acc, p: acc + F.greatest(low, p))
-    n = F.size(power)
-    return F.exp(logs / n) / (plain / n)
-
-
-def zero_crossing_rate(x: Column, length: int) -> Column:
-    """Share of samples whose sign differs from the sample before; zero counts as positive."""
-    before, after = F.slice(x, 1, length - 1), F.slice(x, 2, length - 1)
-    changed = F.zip_with(before, after, lambda a, b: (a < -S.ZERO_LEVEL) != (b < -S.ZERO_LEVEL))
-    return F.size(F.filter(changed, lambda c: c)) / F.lit(float(length))
-
-
-def contrast_ends(mag: Column, params: SignalParams) -> Column:
-    """array<struct<peak, valley>>: mean of the strongest and weakest bins per octave band."""
-    slices = S.contrast_slices(params.sample_rate, params.n_fft, params.contrast_bands, params.contrast_fmin)
-
-    def ends_of(size: int, ends: int):
-        return lambda ranked: F.struct(
-            (total(F.slice(ranked, size - ends + 1, ends)) / ends).alias("peak"),
-            (total(F.slice(ranked, 1, ends)) / ends).alias("valley"),
-        )
-
-    return F.array(
-        *[let(F.sort_array(F.slice(mag, start + 1, size)), ends_of(size, ends)) for start, size, ends in slices]
+    The fit is one polynomial for the four frames at either end, and its highest derivative
+    is constant, so the ends repeat the first and last full window.
+    """
+    n, half = S.DELTA_WIDTH, S.DELTA_WIDTH // 2
+    w = F.array(*[F.lit(x) for x in weights])
+    zero = F.array_repeat(F.lit(0.0), F.lit(width))
+
+    def window(t: Column) -> Column:
+        scaled = F.zip_with(F.slice(rows, t + 1, F.lit(n)), w, lambda row, k: F.transform(row, lambda x: x * k))
+        return F.aggregate(scaled, zero, lambda acc, row: F.zip_with(acc, row, lambda a, b: a + b))
+
+    inner = F.transform(F.sequence(F.lit(0), F.size(rows) - n), window)
+    spread = let(
+        inner,
+        lambda d: F.concat(
+            F.array_repeat(F.get(d, F.lit(0)), F.lit(half)), d, F.array_repeat(F.element_at(d, -1), F.lit(half))
+        ),
     )
+    return F.when(F.size(rows) >= n, spread)
 
 
-# --- frame tables ---
-
-
-def measured_frames(waves: DataFrame, keys: list[str], params: SignalParams) -> DataFrame:
-    """One row per centred frame with all measures that need only that frame."""
-    p = params
-    samples = F.col("samples")
-    ready = waves.select(
-        *keys,
-        samples.cast("array<double>").alias("samples"),
-    ).select(
-        *keys,
-        "samples",
-        padded(samples, p.n_fft).alias("_pad"),
-        padded(samples, p.mfcc_fft).alias("_mfcc_pad"),
-        padded(samples, p.zcr_frame, edge=True).alias("_zcr_pad"),
-    )
-    indexed = frame_index(ready, p.n_fft, p.hop, True)
-    whole = F.col("frame") * p.hop + p.n_fft <= F.size("samples")
-    framed = indexed.select(
-        *keys,
-        "frame",
-        cut(F.col("_pad"), p.n_fft, p.hop).alias("x"),
-        cut(F.col("_mfcc_pad"), p.mfcc_fft, p.hop).alias("_mfcc_x"),
-        zero_crossing_rate(cut(F.col("_zcr_pad"), p.zcr_frame, p.hop), p.zcr_frame).alias("zcr"),
-        F.when(whole, sum_squares(cut(F.col("samples"), p.n_fft, p.hop))).alias("ste"),
-    )
-    step = p.sample_rate / p.n_fft
-    mel = matrix_product(
-        power_spectrum(F.col("_mfcc_x"), S.hann(p.mfcc_fft)),
-        S.mel_weights(p.sample_rate, p.mfcc_fft, p.mfcc_mels, 0.0),
-    )
-    powered = framed.withColumns(
+def cepstral_frames(waves: DataFrame, keys: list[str], params: SignalParams) -> DataFrame:
+    """(keys, mfcc, mfcc_delta, mfcc_delta2): one row per recording."""
+    coefficients = waves.select(*keys, cepstrum(F.col("samples"), params).alias("mfcc"))
+    return coefficients.withColumns(
         {
-            "power": power_spectrum(F.col("x"), S.hann(p.n_fft)),
-            "mel": mel,
-            "rms": F.sqrt(sum_squares(F.col("x")) / p.n_fft),
+            "mfcc_delta": delta(F.col("mfcc"), S.SLOPE_WEIGHTS, params.n_mfcc),
+            "mfcc_delta2": delta(F.col("mfcc"), S.CURVATURE_WEIGHTS, params.n_mfcc),
         }
-    ).drop("x", "_mfcc_x")
-    mag = F.col("_mag")
-    sized = powered.withColumn("_mag", F.transform("power", lambda v: F.sqrt(v)))
-    return (
-        sized.withColumns(
-            {
-                "spectral_centroid": centroid(mag, step),
-                "spectral_rolloff": rolloff(mag, step),
-                "spectral_flatness": flatness(F.col("power")),
-                "_ends": contrast_ends(mag, p),
-            }
-        )
-        .withColumn("spectral_bandwidth", bandwidth(mag, F.col("spectral_centroid"), step))
-        .drop("power", "_mag")
     )
 
 
@@ -156,57 +79,36 @@ def _floored(values: Column, top_db: Column) -> Column:
     return F.transform(values, lambda v: F.greatest(decibel(v), top_db - S.TOP_DB))
 
 
-def levelled_frames(measured: DataFrame, keys: list[str], params: SignalParams) -> DataFrame:
-    """Add ``mfcc`` and ``contrast``, whose dB floor depends on the whole recording."""
-    group = W.partitionBy(*keys)
-    peaks, valleys = F.col("_ends.peak"), F.col("_ends.valley")
-    tops = {"_top_mel": F.col("mel"), "_top_peak": peaks, "_top_valley": valleys}
-    topped = measured.withColumns({name: F.max(decibel(F.array_max(c))).over(group) for name, c in tops.items()})
-    levelled = topped.withColumns(
-        {
-            "mel": _floored(F.col("mel"), F.col("_top_mel")),
-            "contrast": F.zip_with(
-                _floored(peaks, F.col("_top_peak")), _floored(valleys, F.col("_top_valley")), lambda a, b: a - b
-            ),
-        }
-    ).drop("_ends", *tops)
-    mfcc = matrix_product(F.col("mel"), S.dct_weights(params.n_mfcc, params.mfcc_mels))
-    return levelled.withColumn("mfcc", mfcc).drop("mel")
-
+def frame_features(waves: DataFrame, keys: list[str], params: SignalParams) -> DataFrame:
+    """One row per centred frame with every frame measure.
 
-def _weighted(window: Column, weights: list[float], n: int) -> Column:
-    """Weighted sum of nine neighbouring vectors, element by element."""
-    scaled = F.zip_with(
-        window, F.array(*[F.lit(w) for w in weights]), lambda v, w: F.transform(v, lambda x: x * w)
+    The dB floors of the contrast need the recording's maximum; it is taken from the nested
+    arrays before they are exploded, so no frame has to travel for it.
+    """
+    kernels = waves.select(
+        *keys,
+        cepstrum(F.col("samples"), params).alias("mfcc"),
+        frame_measures(F.col("samples"), params).alias("measures"),
     )
-    zero = F.array_repeat(F.lit(0.0), n)
-    return F.aggregate(scaled, zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
 
+    def top(side: str) -> Column:
+        return decibel(F.array_max(F.transform(f"measures.{side}", lambda f: F.array_max(f))))
 
-def delta_frames(frames: DataFrame, keys: list[str], n: int, column: str = "mfcc") -> DataFrame:
-    """Add ``<column>_delta`` and ``<column>_delta2``; null when a recording has under nine frames.
-
-    The fit over nine frames is the same polynomial for the four frames at either end, and
-    its highest derivative is constant, so the ends repeat the first and last full window.
-    """
-    order = W.partitionBy(*keys).orderBy("frame")
-    half = S.DELTA_WIDTH // 2
-    around = F.collect_list(column).over(order.rowsBetween(-half, half))
-    full = F.size("_around") == S.DELTA_WIDTH
-    windowed = frames.withColumn("_around", around)
-    inner = windowed.withColumns(
+    measured = kernels.withColumns(
         {
-            "_d1": F.when(full, _weighted(F.col("_around"), S.SLOPE_WEIGHTS, n)),
-            "_d2": F.when(full, _weighted(F.col("_around"), S.CURVATURE_WEIGHTS, n)),
+            "mfcc_delta": delta(F.col("mfcc"), S.SLOPE_WEIGHTS, params.n_mfcc),
+            "mfcc_delta2": delta(F.col("mfcc"), S.CURVATURE_WEIGHTS, params.n_mfcc),
+            "_peak_db": top("peaks"),
+            "_valley_db": top("valleys"),
         }
-    ).drop("_around")
-    behind = order.rowsBetween(W.unboundedPreceding, 0)
-    ahead = order.rowsBetween(0, half)
-
-    def spread(c: str) -> Column:
-        return F.coalesce(F.col(c), F.last(c, True).over(behind), F.first(c, True).over(ahead))
-
-    return inner.withColumns({f"{column}_delta": spread("_d1"), f"{column}_delta2": spread("_d2")}).drop("_d1", "_d2")
+    )
+    rows = measured.select(
+        *keys, "_peak_db", "_valley_db", F.posexplode(F.arrays_zip(*MFCC_FAMILIES, "measures")).alias("frame", "f")
+    ).select(*keys, "_peak_db", "_valley_db", "frame", *[f"f.{m}" for m in MFCC_FAMILIES], "f.measures.*")
+    contrast = F.zip_with(
+        _floored(F.col("peaks"), F.col("_peak_db")), _floored(F.col("valleys"), F.col("_valley_db")), lambda a, b: a - b
+    )
+    return rows.withColumn("contrast", contrast).drop("peaks", "valleys", "_peak_db", "_valley_db")
 
 
 def pooled(frames: DataFrame, keys: list[str], params: SignalParams) -> DataFrame:
@@ -272,19 +174,15 @@ def long_enough(waves: DataFrame, params: SignalParams) -> DataFrame:
     return waves.where((size >= params.n_fft) & (F.floor(size / params.hop) + 1 >= S.DELTA_WIDTH))
 
 
-def frame_features(waves: DataFrame, keys: list[str], params: SignalParams) -> DataFrame:
-    measured = measured_frames(long_enough(waves, params), keys, params)
-    return delta_frames(levelled_frames(measured, keys, params), keys, params.n_mfcc)
-
-
 def extract(waves: DataFrame, keys: list[str], params: SignalParams | None = None) -> DataFrame:
     """All features as named columns, in vector order, one row per recording.
 
     Recordings in ``too_short`` give no row.
     """
     p = params or SignalParams()
-    pools = pooled(frame_features(waves, keys, p), keys, p)
-    split = harmonic(long_enough(waves, p), keys, p)
+    whole = long_enough(waves, p)
+    pools = pooled(frame_features(whole, keys, p), keys, p)
+    split = harmonic(whole, keys, p)
     return pools.join(split, keys).select(*keys, *feature_names(p))
 
 

@@ -1,14 +1,15 @@
 """Signal preprocessing. A recording is one row of the waves table:
-``(key columns, sample_rate, samples array<double>)``; frames are exploded from that row.
+``(key columns, sample_rate, samples array<double>)``. Its size is bounded by one file, and
+everything up to the spectrogram happens inside that row, without a shuffle.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.linear import matrix_product, power_spectrum
+from ..functions.kernels import spectrogram
 from ..functions.signal import AMIN, TOP_DB, SignalParams, hann, mel_weights, resample
 from ..functions.vectors import let, scaled_down
 
@@ -78,62 +79,71 @@ def padded(samples: Column, length: int, edge: bool = False) -> Column:
     return F.concat(F.array_repeat(before, half), samples, F.array_repeat(after, half))
 
 
-def frame_index(waves: DataFrame, length: int, hop: int, centred: bool) -> DataFrame:
-    """One row per frame, numbered in ``frame``; recordings too short for one frame give none."""
-    extra = 2 * (length // 2) if centred else 0
-    count = F.floor((F.size("samples") + (extra - length)) / hop).cast("int") + 1
-    enough = (F.size("samples") > 0) & (F.size("samples") + extra >= length)
-    return waves.where(enough).select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("frame"))
+def frame_count(samples: Column, length: int, hop: int, centred: bool = True) -> Column:
+    """Number of frames; 0 when there is not enough signal for one."""
+    size = F.size(samples) + (2 * (length // 2) if centred else 0)
+    enough = (F.size(samples) > 0) & (size >= length)
+    return F.when(enough, F.floor((size - length) / hop).cast("int") + 1).otherwise(0)
 
 
-def cut(padded_samples: Column, length: int, hop: int) -> Column:
-    """The samples of frame ``frame``."""
-    return F.slice(padded_samples, F.col("frame") * hop + 1, F.lit(length))
+def frames(waves: DataFrame, length: int, hop: int, centred: bool = True, edge: bool = False) -> DataFrame:
+    """(keys, frame, x): fixed-length frames, no shuffle; too short recordings give none.
 
+    The frames are cut before they are exploded: exploding frame numbers first would copy the
+    whole recording into every frame's row.
+    """
+    samples = F.col("samples").cast("array<double>")
+    count = frame_count(samples, length, hop, centred)
 
-def frames(waves: DataFrame, length: int, hop: int, centred: bool = True, edge: bool = False) -> DataFrame:
-    """(keys, frame, x): fixed-length frames, no shuffle."""
-    source = waves.withColumn("samples", F.col("samples").cast("array<double>"))
-    if not centred:
-        return frame_index(source, length, hop, False).select("*", cut(F.col("samples"), length, hop).alias("x")).drop("samples")
-    ready = source.withColumn("_padded", padded(F.col("samples"), length, edge))
-    indexed = frame_index(ready, length, hop, True)
-    return indexed.select("*", cut(F.col("_padded"), length, hop).alias("x")).drop("samples", "_padded")
+    def cut(whole: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(whole, k * hop + 1, F.lit(length)))
+
+    rows = F.when(count > 0, let(padded(samples, length, edge) if centred else samples, cut))
+    return waves.select(*[c for c in waves.columns if c != "samples"], F.posexplode(rows).alias("frame", "x"))
 
 
 def power_frames(waves: DataFrame, n_fft: int, hop: int) -> DataFrame:
     """(keys, frame, power): Hann-windowed power spectrum of centred frames."""
-    framed = frames(waves, n_fft, hop)
-    return framed.withColumn("power", power_spectrum(F.col("x"), hann(n_fft))).drop("x")
+    kept = [c for c in waves.columns if c != "samples"]
+    powered = waves.select(*kept, spectrogram(F.col("samples"), hann(n_fft), hop).alias("_p"))
+    return powered.select(*kept, F.posexplode("_p").alias("frame", "power"))
 
 
-def mel_frames(powered: DataFrame, params: SignalParams) -> DataFrame:
-    """Replace ``power`` by ``mel`` band power."""
-    weights = mel_weights(params.sample_rate, params.n_fft, params.n_mels, params.fmin)
-    return powered.withColumn("mel", matrix_product(F.col("power"), weights)).drop("power")
+def mel_weights_of(params: SignalParams) -> np.ndarray:
+    return mel_weights(params.sample_rate, params.n_fft, params.n_mels, params.fmin)
+
+
+def mel_spectrogram(waves: DataFrame, params: SignalParams) -> DataFrame:
+    """(keys, mel): band power of every frame, one row per recording."""
+    kept = [c for c in waves.columns if c != "samples"]
+    bands = spectrogram(F.col("samples"), hann(params.n_fft), params.hop, mel_weights_of(params))
+    return waves.select(*kept, bands.alias("mel"))
 
 
 def decibel(x: Column) -> Column:
     return 10.0 * F.log10(F.greatest(F.lit(AMIN), x))
 
 
-def decibel_frames(melled: DataFrame, keys: list[str], column: str = "mel", to_peak: bool = True) -> DataFrame:
-    """Band power in dB, floored ``TOP_DB`` below the recording's loudest band.
+def decibel_to_peak(spectrum: Column) -> Column:
+    """Power to dB relative to the recording's maximum, floored ``TOP_DB`` below it.
 
-    ``to_peak`` makes the loudest band 0 dB. The peak needs all frames of a recording, and a
-    recording is one bounded file, so this is a window over its key.
+    The spectrogram is one nested array, so its maximum is known without regrouping frames.
     """
-    top = F.max(decibel(F.array_max(column))).over(W.partitionBy(*keys))
-    shift = F.col("_top") if to_peak else F.lit(0.0)
-    low = F.col("_top") - shift - TOP_DB
-    levelled = F.transform(column, lambda p: F.greatest(decibel(p) - shift, low))
-    return melled.withColumn("_top", top).withColumn(column, levelled).drop("_top")
+    peak_db = decibel(F.array_max(F.transform(spectrum, lambda f: F.array_max(f))))
+
+    def level(top: Column) -> Column:
+        return F.transform(
+            spectrum, lambda f: F.transform(f, lambda p: F.greatest(decibel(p) - top, F.lit(-TOP_DB)))
+        )
+
+    return let(peak_db, level)
 
 
-def log_mel(waves: DataFrame, keys: list[str], params: SignalParams) -> DataFrame:
+def log_mel(waves: DataFrame, params: SignalParams) -> DataFrame:
     """(keys, frame, mel): log-mel spectrogram relative to each recording's maximum."""
-    melled = mel_frames(power_frames(waves.select(*keys, "samples"), params.n_fft, params.hop), params)
-    return decibel_frames(melled, keys)
+    melled = mel_spectrogram(waves, params)
+    kept = [c for c in melled.columns if c != "mel"]
+    return melled.select(*kept, F.posexplode(decibel_to_peak(F.col("mel"))).alias("frame", "mel"))
 
 
 def prepare_waves(decoded: DataFrame, target: int = TARGET_RATE) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.linear import stack
+from ..functions.kernels import stack
 from ..functions.vectors import UNIT_EPS, has_inf, has_nan, norm
 from ..sources.stores import require_columns
 

@@ -17,7 +17,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.linear import stack
+from ..functions.kernels import stack
 from ..functions.scale import materialize
 from ..functions.vectors import UNIT_EPS
 from .pairs import batches, split_validation, split_violations

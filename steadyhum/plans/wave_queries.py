@@ -276,8 +276,9 @@ def power_spectrum(spark, sf_dir):
     ),
 )
 def mel_spectrum(spark, sf_dir):
-    melled = P.mel_frames(powered(spark, sf_dir), SMALL)
-    return rounded(melled.select("rec_id", "frame", F.posexplode("mel").alias("band", "mel")), "mel", digits=7)
+    melled = P.mel_spectrogram(X.clips(spark, sf_dir).select("rec_id", "samples"), SMALL)
+    framed = melled.select("rec_id", F.posexplode("mel").alias("frame", "_m"))
+    return rounded(framed.select("rec_id", "frame", F.posexplode("_m").alias("band", "mel")), "mel", digits=7)
 
 
 LOG_MEL_SELECT = """SELECT rec_id, CAST(frame AS INTEGER) AS frame, CAST(band AS INTEGER) AS band, round(greatest(d, -80), 5) + 0.0 AS db FROM (
@@ -290,7 +291,7 @@ def tidy_log_mel(spectrogram):
 
 @query("log_mel", "P8", X.sql(LOG_MEL_SELECT, *BASE, FX32, PW32, MEL32))
 def log_mel(spark, sf_dir):
-    return tidy_log_mel(P.log_mel(X.clips(spark, sf_dir), KEYS, SMALL))
+    return tidy_log_mel(P.log_mel(X.clips(spark, sf_dir), SMALL))
 
 
 QUANTISED_SQL = """pcm AS (SELECT rec_id, i, floor(x * 32767 + 0.5) / 32768.0 AS x FROM clip)"""
@@ -342,7 +343,7 @@ def wav_decode(spark, sf_dir):
 )
 def preprocess_wav(spark, sf_dir):
     waves = P.prepare_waves(decode_wav(wav_files(spark, sf_dir)))
-    return tidy_log_mel(P.log_mel(waves, KEYS, SMALL))
+    return tidy_log_mel(P.log_mel(waves, SMALL))
 
 
 @query("resample", "P2")
@@ -373,9 +374,8 @@ def waveform_violations(spark, sf_dir):
     return P.waveform_violations(waves)
 
 
-def levelled(spark, sf_dir):
-    waves = FT.long_enough(X.clips(spark, sf_dir), SMALL)
-    return FT.levelled_frames(FT.measured_frames(waves, KEYS, SMALL), KEYS, SMALL)
+def cepstral(spark, sf_dir):
+    return FT.cepstral_frames(FT.long_enough(X.clips(spark, sf_dir), SMALL), KEYS, SMALL)
 
 
 @query(
@@ -387,7 +387,8 @@ def levelled(spark, sf_dir):
     ),
 )
 def mfcc_frames(spark, sf_dir):
-    rows = levelled(spark, sf_dir).select("rec_id", "frame", F.posexplode("mfcc").alias("coefficient", "value"))
+    framed = cepstral(spark, sf_dir).select("rec_id", F.posexplode("mfcc").alias("frame", "_c"))
+    rows = framed.select("rec_id", "frame", F.posexplode("_c").alias("coefficient", "value"))
     return rounded(rows, "value", digits=5)
 
 
@@ -401,15 +402,18 @@ def mfcc_frames(spark, sf_dir):
     ),
 )
 def mfcc_deltas(spark, sf_dir):
-    frames = FT.delta_frames(levelled(spark, sf_dir), KEYS, SMALL.n_mfcc)
-    rows = frames.select("rec_id", "frame", F.posexplode(F.arrays_zip("mfcc_delta", "mfcc_delta2")).alias("coefficient", "d"))
+    deltas = F.arrays_zip("mfcc_delta", "mfcc_delta2")
+    framed = cepstral(spark, sf_dir).select("rec_id", F.posexplode(deltas).alias("frame", "d"))
+    rows = framed.select(
+        "rec_id", "frame", F.posexplode(F.arrays_zip("d.mfcc_delta", "d.mfcc_delta2")).alias("coefficient", "d")
+    )
     return rows.select(
         "rec_id", "frame", "coefficient", r6(F.col("d.mfcc_delta"), 5).alias("delta"), r6(F.col("d.mfcc_delta2"), 5).alias("delta2")
     )
 
 
 def pooled(spark, sf_dir):
-    waves = X.clips(spark, sf_dir)
+    waves = FT.long_enough(X.clips(spark, sf_dir), SMALL)
     return FT.pooled(FT.frame_features(waves, KEYS, SMALL), KEYS, SMALL)
 
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vectors import STD_FLOOR
+
 
 @dataclass(frozen=True)
 class SignalParams:
@@ -207,21 +209,6 @@ def _resample(x: np.ndarray, rate: int, target: int, zeros: int = 32, beta: floa
     return out
 
 
-def harmonic_energies(samples: Column, n_fft: int, hop: int, kernel: int) -> Column:
-    """struct<harmonic_energy, percussive_energy>: mean square of the two separated signals.
-
-    The spectrogram is median filtered along time (harmonic) and along frequency
-    (percussive), split by squared soft masks, and both parts are inverted to signals.
-    """
-
-    @F.pandas_udf("harmonic_energy double, percussive_energy double")
-    def run(rows: pd.Series) -> pd.DataFrame:
-        parts = [_split_energies(np.asarray(x, dtype=np.float64), n_fft, hop, kernel) for x in rows]
-        return pd.DataFrame(parts, columns=["harmonic_energy", "percussive_energy"], dtype=float)
-
-    return run(samples)
-
-
 def _median_filter(s: np.ndarray, size: int, axis: int, block: int = 8) -> np.ndarray:
     """Running median with mirrored ends, a few frames at a time so windows stay in cache."""
     half = size // 2
@@ -233,7 +220,12 @@ def _median_filter(s: np.ndarray, size: int, axis: int, block: int = 8) -> np.nd
     return out
 
 
-def _split_energies(x: np.ndarray, n_fft: int, hop: int, kernel: int) -> tuple[float, float]:
+def split_energies(x: np.ndarray, n_fft: int, hop: int, kernel: int) -> tuple[float, float]:
+    """Mean square of the harmonic and of the percussive part of a signal.
+
+    The magnitude is median filtered along time (harmonic) and along frequency (percussive),
+    split by squared soft masks, and both parts are inverted to signals.
+    """
     if x.size == 0:
         return (np.nan, np.nan)
     window = hann(n_fft)
@@ -259,3 +251,34 @@ def _split_energies(x: np.ndarray, n_fft: int, hop: int, kernel: int) -> tuple[f
     kept = signals[:, n_fft // 2 : n_fft // 2 + x.size]
     energy = (kept**2).sum(axis=1) / x.size
     return float(energy[0]), float(energy[1])
+
+
+# --- kernel on (rows, dimensions) matrices ---
+
+
+def vector_drift(
+    v: np.ndarray, mean: np.ndarray, std: np.ndarray, norm_floor: float, unit_fallback: bool
+) -> list[np.ndarray]:
+    """Raw Euclidean, Manhattan, cosine and their z-score counterparts, per row."""
+    constant = std == 0 if unit_fallback else std < STD_FLOOR
+    gap = v - mean
+    z = gap / np.where(constant, 1.0, std)
+    if not unit_fallback:
+        z[constant] = 0.0
+
+    def length(x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.einsum("ij,ij->i", x, x))
+
+    def ratio(top: np.ndarray, bottom: np.ndarray, valid: np.ndarray) -> np.ndarray:
+        return np.divide(top, bottom, out=np.zeros_like(top), where=valid)
+
+    nv, nm, nz = length(v), length(mean), length(z)
+    valid = ~((nv < norm_floor) | (nm < norm_floor) | (nv == 0) | (nm == 0))
+    return [
+        length(gap),
+        np.abs(gap).sum(axis=1),
+        ratio(np.einsum("ij,ij->i", v, mean), nv * nm, valid),
+        nz,
+        np.abs(z).sum(axis=1),
+        ratio(z.sum(axis=1), nz * np.sqrt(z.shape[1]), nz != 0),
+    ]

@@ -6,18 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.kernels import DRIFT_METRICS, drift_metrics
 from .catalog import MACHINE
 from .profile import with_profile
 
-DRIFT_METRICS = [
-    "euclidean_distance",
-    "manhattan_distance",
-    "cosine_similarity",
-    "norm_euclidean_distance",
-    "norm_manhattan_distance",
-    "norm_cosine_similarity",
-]
-
 # Tolerances of the element-wise closeness test.
 CLOSE_ABS = 1e-8
 CLOSE_REL = 1e-5
@@ -56,27 +48,21 @@ def drift(
 
     ``learned`` selects the zero guard of the raw cosine: exactly zero for learned vectors,
     below a floor for signal features. ``unit_fallback`` divides constant dimensions by one
-    instead of masking them. Recordings without a profile are not scored here; see
-    ``compatibility_violations``.
+    instead of masking them. Recordings without a profile, or of another length, are not
+    scored here; see ``compatibility_violations``.
     """
-    score = V.zscore_unit_fallback if unit_fallback else V.zscore
-    joined = with_profile(recs, profile)
-    v, mean, std = F.col("_v"), F.col("mean"), F.col("std")
-    scored = joined.withColumn("_v", V.as_double(F.col(vector))).withColumn("_z", score(v, mean, std))
-    z = F.col("_z")
-    metrics = {
-        "euclidean_distance": V.euclidean(v, mean),
-        "manhattan_distance": V.manhattan(v, mean),
-        "cosine_similarity": V.cosine(v, mean, 0.0 if learned else V.NORM_FLOOR),
-        "norm_euclidean_distance": V.norm(z),
-        "norm_manhattan_distance": V.sum_abs(z),
-        "norm_cosine_similarity": V.cosine_to_ones(z),
-    }
+    joined = with_profile(recs, profile).where(F.size(vector) == F.size("mean"))
+    v, mean, std = F.col(vector), F.col("mean"), F.col("std")
+    scored = joined.withColumn(
+        "_d", drift_metrics(v, mean, std, 0.0 if learned else V.NORM_FLOOR, unit_fallback)
+    )
+    metrics = {m: F.col(f"_d.{m}") for m in DRIFT_METRICS}
     if with_vectors:
-        metrics["normalized_vector"] = z
-        metrics["absolute_difference_vector"] = V.abs_difference(v, mean)
-    dropped = ["_v", "_z", "mean", "std", "min", "max", "n_samples", vector]
-    return scored.withColumns(metrics).drop(*[c for c in dropped if c not in metrics])
+        score = V.zscore_unit_fallback if unit_fallback else V.zscore
+        metrics["normalized_vector"] = score(V.as_double(v), mean, std)
+        metrics["absolute_difference_vector"] = V.abs_difference(V.as_double(v), mean)
+    dropped = ["_d", "mean", "std", "min", "max", "n_samples", vector]
+    return scored.withColumns(metrics).drop(*dropped)
 
 
 def compatibility_violations(

@@ -1,22 +1,21 @@
-"""Signal features per recording, in one pass over its frames.
+"""Signal features per recording, in one narrow pass.
 
-All centred frame sizes share the hop, so frame ``k`` of every size lands in the same row
-when the recording's arrays are exploded. Whatever needs several frames at once (deltas,
-dB floors) is taken from the arrays before that, and pooling combines on the map side:
-a recording crosses the network as one row of sums.
+A recording is one row and stays one: Arrow kernels turn its samples into one small row per
+frame, kept as nested arrays, and array expressions derive deltas, dB levels and pooled
+statistics from them. Nothing is exploded or shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import signal as S
-from ..functions.kernels import cepstrum, frame_measures
+from ..functions.kernels import cepstrum, frame_measures, harmonic_energies
 from ..functions.signal import SignalParams
-from ..functions.vectors import let
+from ..functions.vectors import let, scaled_down
 from .preprocess import decibel
 
 MFCC_FAMILIES = ("mfcc", "mfcc_delta", "mfcc_delta2")
@@ -79,82 +78,85 @@ def _floored(values: Column, top_db: Column) -> Column:
     return F.transform(values, lambda v: F.greatest(decibel(v), top_db - S.TOP_DB))
 
 
-def frame_features(waves: DataFrame, keys: list[str], params: SignalParams) -> DataFrame:
-    """One row per centred frame with every frame measure.
+def measured(waves: DataFrame, keys: list[str], params: SignalParams) -> DataFrame:
+    """(keys, mfcc families, measures, split): all frame rows of a recording as nested arrays.
 
-    The dB floors of the contrast need the recording's maximum; it is taken from the nested
-    arrays before they are exploded, so no frame has to travel for it.
+    One Arrow pass over the samples; the recording stays one row.
     """
+    x = F.col("samples")
     kernels = waves.select(
         *keys,
-        cepstrum(F.col("samples"), params).alias("mfcc"),
-        frame_measures(F.col("samples"), params).alias("measures"),
+        cepstrum(x, params).alias("mfcc"),
+        frame_measures(x, params).alias("measures"),
+        harmonic_energies(x, params).alias("split"),
     )
-
-    def top(side: str) -> Column:
-        return decibel(F.array_max(F.transform(f"measures.{side}", lambda f: F.array_max(f))))
-
-    measured = kernels.withColumns(
+    return kernels.withColumns(
         {
             "mfcc_delta": delta(F.col("mfcc"), S.SLOPE_WEIGHTS, params.n_mfcc),
             "mfcc_delta2": delta(F.col("mfcc"), S.CURVATURE_WEIGHTS, params.n_mfcc),
-            "_peak_db": top("peaks"),
-            "_valley_db": top("valleys"),
         }
     )
-    rows = measured.select(
-        *keys, "_peak_db", "_valley_db", F.posexplode(F.arrays_zip(*MFCC_FAMILIES, "measures")).alias("frame", "f")
-    ).select(*keys, "_peak_db", "_valley_db", "frame", *[f"f.{m}" for m in MFCC_FAMILIES], "f.measures.*")
-    contrast = F.zip_with(
-        _floored(F.col("peaks"), F.col("_peak_db")), _floored(F.col("valleys"), F.col("_valley_db")), lambda a, b: a - b
-    )
-    return rows.withColumn("contrast", contrast).drop("peaks", "valleys", "_peak_db", "_valley_db")
 
 
-def pooled(frames: DataFrame, keys: list[str], params: SignalParams) -> DataFrame:
-    """Mean and population std of every frame measure, as named columns per recording."""
-    scalars = list(SPECTRAL_SCALARS)
-    row = F.concat(
-        *[F.col(f) for f in MFCC_FAMILIES], F.array(*[F.col(s) for s in scalars]), F.col("contrast")
-    )
-    loud, soft = F.max("rms"), F.min("rms")
-    stats = frames.groupBy(*keys).agg(
-        Summarizer.metrics("count", "mean", "variance").summary(array_to_vector(row)).alias("s"),
-        F.count(F.lit(1)).alias("n_frames"),
-        F.avg("rms").alias("rms_mean"),
-        F.stddev_pop("rms").alias("rms_std"),
+def contrast_rows(measures: str) -> Column:
+    """Peak minus valley in dB per frame and band, both floored below the recording's top."""
+
+    def top(side: str) -> Column:
+        return decibel(F.array_max(F.transform(f"{measures}.{side}", lambda f: F.array_max(f))))
+
+    def rows(tops: Column) -> Column:
+        return F.zip_with(
+            f"{measures}.peaks",
+            f"{measures}.valleys",
+            lambda p, v: F.zip_with(_floored(p, tops["p"]), _floored(v, tops["v"]), lambda a, b: a - b),
+        )
+
+    return let(F.struct(top("peaks").alias("p"), top("valleys").alias("v")), rows)
+
+
+def mean_std(rows: Column, width: int) -> Column:
+    """struct<mean, std> over the frames of ``array<array<double>>``; std is of the population."""
+    zero = F.array_repeat(F.lit(0.0), F.lit(width))
+    n = F.size(rows).cast("double")
+
+    def summed(of: Callable[[Column], Column]) -> Column:
+        return F.aggregate(rows, zero, lambda acc, row: F.zip_with(acc, of(row), lambda a, b: a + b))
+
+    def spread(mean: Column) -> Column:
+        squares = summed(lambda row: F.zip_with(row, mean, lambda x, m: (x - m) * (x - m)))
+        deviations = F.zip_with(squares, F.array_repeat(n, width), lambda s, k: F.sqrt(s / k))
+        return F.struct(mean.alias("mean"), deviations.alias("std"))
+
+    return let(scaled_down(summed(lambda row: row), n), spread)
+
+
+def pooled(recordings: DataFrame, keys: list[str], params: SignalParams) -> DataFrame:
+    """Every feature as a named column, in vector order, from the nested arrays of ``measured``."""
+    p = params
+    bands = [f"spectral_contrast_band{b}" for b in range(p.contrast_bands + 1)]
+    scalars = [*SPECTRAL_SCALARS, "rms"]
+    shape = F.transform("measures", lambda f: F.array(*[f[m] for m in scalars]))
+    energy = F.transform(F.filter("measures.ste", lambda e: e.isNotNull()), lambda e: F.array(e))
+    loud, soft = F.array_max("measures.rms"), F.array_min("measures.rms")
+    statistics = recordings.select(
+        *keys,
+        "split.*",
+        F.size("mfcc").alias("n_frames"),
+        *[mean_std(F.col(f), p.n_mfcc).alias(f) for f in MFCC_FAMILIES],
+        mean_std(shape, len(scalars)).alias("_shape"),
+        mean_std(contrast_rows("measures"), len(bands)).alias("_bands"),
+        mean_std(energy, 1).alias("_ste"),
         loud.alias("rms_max"),
-        F.avg("ste").alias("ste_mean"),
-        F.stddev_pop("ste").alias("ste_std"),
         F.least(F.lit(S.TOP_DB), decibel(loud * loud) - decibel(soft * soft)).alias("dynamic_range_db"),
     )
-    n = F.col("s.count")
-    arrays = stats.select(
-        *keys,
-        "n_frames",
-        *TEMPORAL,
-        vector_to_array("s.mean").alias("_mean"),
-        F.transform(vector_to_array("s.variance"), lambda v: F.sqrt(v * ((n - 1) / n))).alias("_std"),
-    )
-    width = params.n_mfcc
-    columns = []
-    for f, family in enumerate(MFCC_FAMILIES):
-        for stat in ("mean", "std"):
-            columns += [F.col(f"_{stat}")[f * width + i].alias(f"{family}_{i}_{stat}") for i in range(width)]
-    bands = [f"spectral_contrast_band{b}" for b in range(params.contrast_bands + 1)]
-    for k, name in enumerate([*scalars, *bands]):
-        columns += [F.col(f"_{stat}")[3 * width + k].alias(f"{name}_{stat}") for stat in ("mean", "std")]
-    return arrays.select(*keys, "n_frames", *columns, *TEMPORAL)
-
-
-def harmonic(waves: DataFrame, keys: list[str], params: SignalParams) -> DataFrame:
-    """Harmonic and percussive energy and the harmonic share, 0 for silence. No shuffle."""
-    split = S.harmonic_energies(F.col("samples"), params.hpss_fft, params.hop, params.hpss_kernel)
-    parts = waves.select(*keys, split.alias("e")).select(*keys, "e.*")
+    places = {f"{f}_{i}": (f, i) for f in MFCC_FAMILIES for i in range(p.n_mfcc)}
+    places |= {name: ("_shape", i) for i, name in enumerate(scalars)}
+    places |= {name: ("_bands", i) for i, name in enumerate(bands)} | {"ste": ("_ste", 0)}
     both = F.col("harmonic_energy") + F.col("percussive_energy")
-    return parts.withColumn(
-        "harmonic_ratio", F.when(both > S.AMIN, F.col("harmonic_energy") / both).otherwise(0.0)
-    )
+    columns = {f"{n}_{s}": F.get(F.col(f"{c}.{s}"), F.lit(i)) for n, (c, i) in places.items() for s in ("mean", "std")}
+    columns |= {n: F.col(n) for n in ("rms_max", "dynamic_range_db", "harmonic_energy", "percussive_energy")}
+    columns["harmonic_ratio"] = F.when(both > S.AMIN, F.col("harmonic_energy") / both).otherwise(0.0)
+    return statistics.select(*keys, "n_frames", *[columns[n].alias(n) for n in feature_names(p)])
 
 
 def too_short(waves: DataFrame, params: SignalParams) -> DataFrame:
@@ -175,15 +177,12 @@ def long_enough(waves: DataFrame, params: SignalParams) -> DataFrame:
 
 
 def extract(waves: DataFrame, keys: list[str], params: SignalParams | None = None) -> DataFrame:
-    """All features as named columns, in vector order, one row per recording.
+    """All features as named columns, in vector order, one row per recording, without a shuffle.
 
     Recordings in ``too_short`` give no row.
     """
     p = params or SignalParams()
-    whole = long_enough(waves, p)
-    pools = pooled(frame_features(whole, keys, p), keys, p)
-    split = harmonic(whole, keys, p)
-    return pools.join(split, keys).select(*keys, *feature_names(p))
+    return pooled(measured(long_enough(waves, p), keys, p), keys, p).drop("n_frames")
 
 
 def feature_vector(features: DataFrame, names: list[str]) -> DataFrame:

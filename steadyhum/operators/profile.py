@@ -2,35 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.kernels import drift_metrics
+from ..functions.moments import element_moments
 from ..functions.scale import bounded_join, materialize
-from ..functions.vectors import as_double, has_inf, has_nan, norm, zscore
+from ..functions.vectors import has_inf, has_nan
 from .catalog import MACHINE, cap_per_machine, exclude_files
 
 
 def element_statistics(vectors: DataFrame, keys: list[str], vector: str = "vector") -> DataFrame:
-    """Per key: count and element-wise mean, population std, min and max.
-
-    The vector aggregate combines on the map side, so what is shuffled is one buffer per
-    key and task, whatever the number of recordings behind a hot key.
-    """
-    metrics = Summarizer.metrics("count", "mean", "variance", "min", "max")
-    stats = vectors.groupBy(*keys).agg(
-        metrics.summary(array_to_vector(as_double(F.col(vector)))).alias("s")
-    )
-    n = F.col("s.count")
-    to_population = (n - 1) / n
-    return stats.select(
+    """Per key: count and element-wise mean, population std, min and max."""
+    n = F.col("n")
+    return element_moments(vectors, keys, vector).select(
         *keys,
         n.alias("n_samples"),
-        vector_to_array("s.mean").alias("mean"),
-        F.transform(vector_to_array("s.variance"), lambda v: F.sqrt(v * to_population)).alias("std"),
-        vector_to_array("s.min").alias("min"),
-        vector_to_array("s.max").alias("max"),
+        "mean",
+        F.transform("m2", lambda v: F.sqrt(v / n)).alias("std"),
+        F.col("lo").alias("min"),
+        F.col("hi").alias("max"),
     )
 
 
@@ -101,9 +92,9 @@ def with_profile(recs: DataFrame, profile: DataFrame, how: str = "inner") -> Dat
 
 def healthy_norm(members: DataFrame, profile: DataFrame, vector: str = "vector") -> DataFrame:
     """Per machine: mean length of the z-score vector over the profile's own members."""
-    z = zscore(as_double(F.col(vector)), F.col("mean"), F.col("std"))
-    scored = with_profile(members.select(*MACHINE, "filename", vector), profile)
-    return scored.groupBy(*MACHINE).agg(F.avg(norm(z)).alias("healthy_norm"))
+    joined = with_profile(members.select(*MACHINE, "filename", vector), profile)
+    scored = joined.select(*MACHINE, drift_metrics(F.col(vector), F.col("mean"), F.col("std")).alias("d"))
+    return scored.groupBy(*MACHINE).agg(F.avg("d.norm_euclidean_distance").alias("healthy_norm"))
 
 
 def fit_profile(members: DataFrame, vector: str = "vector") -> DataFrame:

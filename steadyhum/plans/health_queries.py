@@ -15,7 +15,7 @@ from . import views as X
 from .registry import query, r6, rounded
 from .report import explained_report, health_report, score_recordings
 
-METRICS = D.DRIFT_METRICS
+METRICS = list(D.DRIFT_METRICS)
 ROUND_METRICS = ", ".join(f"round({m}, 6) + 0.0 AS {m}" for m in METRICS)
 KEY = "rec_id, machine_type, machine_id"
 

@@ -413,8 +413,7 @@ def mfcc_deltas(spark, sf_dir):
 
 
 def pooled(spark, sf_dir):
-    waves = FT.long_enough(X.clips(spark, sf_dir), SMALL)
-    return FT.pooled(FT.frame_features(waves, KEYS, SMALL), KEYS, SMALL)
+    return FT.extract(X.clips(spark, sf_dir), KEYS, SMALL)
 
 
 @query("mfcc_features", "F4", X.sql(MFCC_SELECT, *DELTA_VIEWS))
@@ -441,8 +440,7 @@ def temporal_features(spark, sf_dir):
 
 @query("harmonic_features", "F14 F15", X.sql(HARMONIC_SELECT, *OK, FXOK, PWOK, HPSS_SQL))
 def harmonic_features(spark, sf_dir):
-    waves = FT.long_enough(X.clips(spark, sf_dir), SMALL)
-    return rounded(FT.harmonic(waves, KEYS, SMALL), *FT.HARMONIC, digits=5)
+    return rounded(pooled(spark, sf_dir).select("rec_id", *FT.HARMONIC), *FT.HARMONIC, digits=5)
 
 
 ALL_NAMES = FT.feature_names(SMALL)
@@ -455,7 +453,7 @@ FEATURE_VIEWS = (
 
 @query("feature_rows", "F16", X.sql(f"SELECT rec_id, {', '.join(ALL_NAMES)} FROM feature", *FEATURE_VIEWS))
 def feature_rows(spark, sf_dir):
-    return tidy(FT.extract(X.clips(spark, sf_dir), KEYS, SMALL), ALL_NAMES)
+    return tidy(pooled(spark, sf_dir), ALL_NAMES)
 
 
 @query(
@@ -469,7 +467,7 @@ def feature_rows(spark, sf_dir):
     ),
 )
 def feature_vectors(spark, sf_dir):
-    rows = tidy(FT.extract(X.clips(spark, sf_dir), KEYS, SMALL), ALL_NAMES)
+    rows = tidy(pooled(spark, sf_dir), ALL_NAMES)
     vectors = FT.feature_vector(rows, ALL_NAMES)
     at = vectors.select("rec_id", F.posexplode(F.arrays_zip("feature_names", "feature_vector")).alias("position", "f"))
     return at.select(

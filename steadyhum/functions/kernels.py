@@ -55,15 +55,20 @@ def spectrogram(samples: Column, window: np.ndarray, hop: int, bands: np.ndarray
     return run(samples)
 
 
+MFCC_FAMILIES = ("mfcc", "mfcc_delta", "mfcc_delta2")
+
+
 def cepstrum(samples: Column, params: SignalParams) -> Column:
-    """``array<array<double>>`` per recording: MFCC of every centred frame."""
+    """Struct of three ``array<array<double>>``: MFCC of every centred frame and its deltas."""
     p = params
     window, bands = S.hann(p.mfcc_fft), S.mel_weights(p.sample_rate, p.mfcc_fft, p.mfcc_mels, 0.0)
     dct = S.dct_weights(p.n_mfcc, p.mfcc_mels)
 
-    @F.arrow_udf("array<array<double>>")
+    @F.arrow_udf("struct<" + ", ".join(f"{f}: array<array<double>>" for f in MFCC_FAMILIES) + ">")
     def run(column: pa.Array) -> pa.Array:
-        return _frame_rows([S.cepstra(S.power(x, window, p.hop) @ bands.T, dct) for x in signals(column)])
+        plain = [S.cepstra(S.power(x, window, p.hop) @ bands.T, dct) for x in signals(column)]
+        families = [plain, *[[S.deltas(c, w) for c in plain] for w in (S.SLOPE_WEIGHTS, S.CURVATURE_WEIGHTS)]]
+        return pa.StructArray.from_arrays([_frame_rows(f) for f in families], names=list(MFCC_FAMILIES))
 
     return run(samples)
 

@@ -1,7 +1,7 @@
 """Element-wise statistics of vectors per key, combined in three bounded steps.
 
 Every task folds its Arrow batches into one partial (count, mean, squared deviations, min,
-max) per key; partials meet in salted sub-groups and then per key. A key with any number of
+max) per key; partials meet per share of the tasks and then per key. A key with any number of
 rows therefore never sends more than one small row per task, and no merge step sees more
 than a share of the tasks.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MERGE_SALTS = 256
+TASKS_PER_MERGE = 1024  # partials that meet in the first merge; a million tasks leave as many for the second
 KEYS_HELD = 2000  # partials a task holds before it passes them on
 
 _ARRAYS = ("mean", "m2", "lo", "hi")
@@ -96,7 +96,7 @@ def merged_moments(partials: DataFrame, by: list[str]) -> DataFrame:
 
 def element_moments(vectors: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """(keys, n, mean, m2, lo, hi)."""
-    salt = F.pmod(F.spark_partition_id(), F.lit(MERGE_SALTS))
-    partials = partial_moments(vectors, keys, vector).withColumn("_salt", salt)
-    halfway = merged_moments(partials, [*keys, "_salt"])
-    return merged_moments(halfway.drop("_salt"), keys)
+    share = F.floor(F.spark_partition_id() / TASKS_PER_MERGE).cast("int")
+    partials = partial_moments(vectors, keys, vector).withColumn("_share", share)
+    halfway = merged_moments(partials, [*keys, "_share"])
+    return merged_moments(halfway.drop("_share"), keys)

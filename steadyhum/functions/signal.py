@@ -137,6 +137,19 @@ def cepstra(bands: np.ndarray, dct: np.ndarray) -> np.ndarray:
     return np.maximum(level, low) @ dct.T
 
 
+def deltas(rows: np.ndarray, weights: list[float]) -> np.ndarray:
+    """Weighted sum over nine neighbouring frames; no row with fewer than nine frames.
+
+    The fit is one polynomial for the four frames at either end, and its highest derivative
+    is constant, so the ends repeat the first and last full window.
+    """
+    inner = len(rows) - DELTA_WIDTH + 1
+    if inner < 1:
+        return rows[:0]
+    fitted = sum(w * rows[k : k + inner] for k, w in enumerate(weights))
+    return np.pad(fitted, ((DELTA_WIDTH // 2, DELTA_WIDTH // 2), (0, 0)), mode="edge")
+
+
 def spectral_shape(power_rows: np.ndarray, step: float) -> list[np.ndarray]:
     """Centroid, bandwidth, rolloff and flatness of every frame; 0 Hz for empty frames."""
     mag = np.sqrt(power_rows)
@@ -209,7 +222,7 @@ def _resample(x: np.ndarray, rate: int, target: int, zeros: int = 32, beta: floa
     return out
 
 
-def _median_filter(s: np.ndarray, size: int, axis: int, block: int = 8) -> np.ndarray:
+def _median_filter(s: np.ndarray, size: int, axis: int, block: int = 2) -> np.ndarray:
     """Running median with mirrored ends, a few frames at a time so windows stay in cache."""
     half = size // 2
     pad = [(half, half) if a == axis else (0, 0) for a in range(2)]

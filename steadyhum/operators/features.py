@@ -1,8 +1,8 @@
 """Signal features per recording, in one narrow pass.
 
 A recording is one row and stays one: Arrow kernels turn its samples into one small row per
-frame, kept as nested arrays, and array expressions derive deltas, dB levels and pooled
-statistics from them. Nothing is exploded or shuffled.
+frame, kept as nested arrays, and array expressions derive dB levels and pooled statistics
+from them. Nothing is exploded or shuffled.
 """
 
 from __future__ import annotations
@@ -13,12 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import signal as S
-from ..functions.kernels import cepstrum, frame_measures, harmonic_energies
+from ..functions.kernels import MFCC_FAMILIES, cepstrum, frame_measures, harmonic_energies
 from ..functions.signal import SignalParams
 from ..functions.vectors import let, scaled_down
 from .preprocess import decibel
 
-MFCC_FAMILIES = ("mfcc", "mfcc_delta", "mfcc_delta2")
 SPECTRAL_SCALARS = ("spectral_centroid", "spectral_bandwidth", "spectral_rolloff", "spectral_flatness", "zcr")
 TEMPORAL = ("rms_mean", "rms_std", "rms_max", "ste_mean", "ste_std", "dynamic_range_db")
 HARMONIC = ("harmonic_energy", "percussive_energy", "harmonic_ratio")
@@ -35,42 +34,10 @@ def feature_names(params: SignalParams) -> list[str]:
     return [*names, *TEMPORAL, *HARMONIC]
 
 
-# --- per-recording arrays, one element per frame ---
-
-
-def delta(rows: Column, weights: list[float], width: int) -> Column:
-    """Weighted sum over nine neighbouring frames; null with fewer than nine frames.
-
-    The fit is one polynomial for the four frames at either end, and its highest derivative
-    is constant, so the ends repeat the first and last full window.
-    """
-    n, half = S.DELTA_WIDTH, S.DELTA_WIDTH // 2
-    w = F.array(*[F.lit(x) for x in weights])
-    zero = F.array_repeat(F.lit(0.0), F.lit(width))
-
-    def window(t: Column) -> Column:
-        scaled = F.zip_with(F.slice(rows, t + 1, F.lit(n)), w, lambda row, k: F.transform(row, lambda x: x * k))
-        return F.aggregate(scaled, zero, lambda acc, row: F.zip_with(acc, row, lambda a, b: a + b))
-
-    inner = F.transform(F.sequence(F.lit(0), F.size(rows) - n), window)
-    spread = let(
-        inner,
-        lambda d: F.concat(
-            F.array_repeat(F.get(d, F.lit(0)), F.lit(half)), d, F.array_repeat(F.element_at(d, -1), F.lit(half))
-        ),
-    )
-    return F.when(F.size(rows) >= n, spread)
-
-
 def cepstral_frames(waves: DataFrame, keys: list[str], params: SignalParams) -> DataFrame:
-    """(keys, mfcc, mfcc_delta, mfcc_delta2): one row per recording."""
-    coefficients = waves.select(*keys, cepstrum(F.col("samples"), params).alias("mfcc"))
-    return coefficients.withColumns(
-        {
-            "mfcc_delta": delta(F.col("mfcc"), S.SLOPE_WEIGHTS, params.n_mfcc),
-            "mfcc_delta2": delta(F.col("mfcc"), S.CURVATURE_WEIGHTS, params.n_mfcc),
-        }
-    )
+    """(keys, mfcc, mfcc_delta, mfcc_delta2): one row per recording, one element per frame."""
+    families = cepstrum(F.col("samples"), params)
+    return waves.select(*keys, families.alias("_c")).select(*keys, "_c.*")
 
 
 def _floored(values: Column, top_db: Column) -> Column:
@@ -86,16 +53,11 @@ def measured(waves: DataFrame, keys: list[str], params: SignalParams) -> DataFra
     x = F.col("samples")
     kernels = waves.select(
         *keys,
-        cepstrum(x, params).alias("mfcc"),
+        cepstrum(x, params).alias("_c"),
         frame_measures(x, params).alias("measures"),
         harmonic_energies(x, params).alias("split"),
     )
-    return kernels.withColumns(
-        {
-            "mfcc_delta": delta(F.col("mfcc"), S.SLOPE_WEIGHTS, params.n_mfcc),
-            "mfcc_delta2": delta(F.col("mfcc"), S.CURVATURE_WEIGHTS, params.n_mfcc),
-        }
-    )
+    return kernels.select(*keys, "_c.*", "measures", "split")
 
 
 def contrast_rows(measures: str) -> Column:
@@ -135,17 +97,18 @@ def pooled(recordings: DataFrame, keys: list[str], params: SignalParams) -> Data
     p = params
     bands = [f"spectral_contrast_band{b}" for b in range(p.contrast_bands + 1)]
     scalars = [*SPECTRAL_SCALARS, "rms"]
-    shape = F.transform("measures", lambda f: F.array(*[f[m] for m in scalars]))
-    energy = F.transform(F.filter("measures.ste", lambda e: e.isNotNull()), lambda e: F.array(e))
+    rows = {
+        "_shape": F.transform("measures", lambda f: F.array(*[f[m] for m in scalars])),
+        "_bands": contrast_rows("measures"),
+        "_ste": F.transform(F.filter("measures.ste", lambda e: e.isNotNull()), lambda e: F.array(e)),
+    }
+    widths = dict.fromkeys(MFCC_FAMILIES, p.n_mfcc) | {"_shape": len(scalars), "_bands": len(bands), "_ste": 1}
     loud, soft = F.array_max("measures.rms"), F.array_min("measures.rms")
-    statistics = recordings.select(
+    statistics = recordings.withColumns(rows).select(
         *keys,
         "split.*",
         F.size("mfcc").alias("n_frames"),
-        *[mean_std(F.col(f), p.n_mfcc).alias(f) for f in MFCC_FAMILIES],
-        mean_std(shape, len(scalars)).alias("_shape"),
-        mean_std(contrast_rows("measures"), len(bands)).alias("_bands"),
-        mean_std(energy, 1).alias("_ste"),
+        *[mean_std(F.col(c), width).alias(c) for c, width in widths.items()],
         loud.alias("rms_max"),
         F.least(F.lit(S.TOP_DB), decibel(loud * loud) - decibel(soft * soft)).alias("dynamic_range_db"),
     )

@@ -14,26 +14,15 @@ def percent_text(score: Column) -> Column:
     ``format_string`` rounds the shortest decimal text half up (12.25 -> 12.3); the expected
     text follows the stored binary number, ties to even (12.25 -> 12.2, 12.35 -> 12.3).
     """
-    tenths = F.floor(score * 10).cast("bigint")
-    # correct the floor when score * 10 itself was rounded up across an integer
+    # the texts differ only where the shortest decimal form is a tie: an odd number of twentieths
+    twentieths = F.round(score * 20).cast("bigint")
+    tied_text = (F.pmod(twentieths, F.lit(2)) == 1) & (twentieths / F.lit(20.0) == score)
+    # exact comparison of 20 * score with that number, both scaled by 2^46
     scaled = score * F.lit(float(_SCALE))
     whole = F.floor(scaled).cast("bigint")
-    part = scaled - whole
-
-    def reaches(twentieths: Column) -> Column:
-        gap = twentieths * F.lit(_SCALE) - whole * 20
-        return part * 20 >= gap
-
-    base = F.when(reaches(tenths * 2), tenths).otherwise(tenths - 1)
-    middle = base * 2 + 1
-    gap = middle * F.lit(_SCALE) - whole * 20
-    above = part * 20 > gap
-    tie = part * 20 == gap
-    up = above | (tie & (F.pmod(base, F.lit(2)) == 1))
-    rounded = base + F.when(up, F.lit(1)).otherwise(F.lit(0))
-    return F.concat(
-        F.floor(rounded / 10).cast("string"),
-        F.lit("."),
-        F.pmod(rounded, F.lit(10)).cast("string"),
-        F.lit("%"),
-    )
+    part = (scaled - whole) * 20
+    gap = twentieths * F.lit(_SCALE) - whole * 20
+    below = (twentieths - 1) / 2
+    up = (part > gap) | ((part == gap) & (F.pmod(below, F.lit(2)) == 1))
+    settled = (below + F.when(up, 1).otherwise(0)) / 10
+    return F.format_string("%.1f%%", F.when(tied_text, settled).otherwise(score))

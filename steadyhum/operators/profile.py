@@ -30,18 +30,19 @@ def build_profile(recs: DataFrame, vector: str = "vector", names: str | None = N
     normal = recs.where(F.col("label") == "normal")
     profile = element_statistics(normal, MACHINE, vector)
     if names:
-        feature_names = normal.groupBy(*MACHINE).agg(F.min(names).alias("feature_names"))
+        first = F.element_at(F.sort_array(F.collect_set(names)), 1)
+        feature_names = normal.groupBy(*MACHINE).agg(first.alias("feature_names"))
         profile = profile.join(feature_names, MACHINE)
     return profile
 
 
 def profile_violations(recs: DataFrame, vector: str = "vector", names: str = "feature_names") -> DataFrame:
     """Machines whose input cannot form a profile, with every reason."""
-    size = F.size(vector)
+    size, named = F.size(vector), F.xxhash64(names)
     checks = recs.groupBy(*MACHINE).agg(
         F.count_if(F.col("label") != "normal").alias("n_not_normal"),
         F.count_if(F.col("label") == "normal").alias("n_normal"),
-        (F.min(names) != F.max(names)).alias("names_differ"),
+        (F.min(named) != F.max(named)).alias("names_differ"),
         (F.min(size) != F.max(size)).alias("lengths_differ"),
     )
     reasons = F.array(

@@ -162,10 +162,13 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A clip is bounded however long its signal is, so it is safe as one array.
     """
-    samples = numbered_samples(spark, sf_dir)
-    clip = F.floor(F.col("n") / CLIP)
+    samples = numbered_samples(spark, sf_dir).withColumn("clip", F.floor(F.col("n") / CLIP))
     inside = F.struct((F.col("n") % CLIP).alias("i"), (F.col("v") / SIGNAL_SCALE - 0.5).alias("x"))
-    cut = samples.groupBy("signal_id", clip.alias("clip")).agg(F.sort_array(F.collect_list(inside)).alias("s"))
+    # a fixed number of partitions: what follows is heavy on the processor, not on bytes, and
+    # must not be coalesced by size
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = samples.select("signal_id", "clip", inside.alias("s")).repartition(parts, "signal_id", "clip")
+    cut = spread.groupBy("signal_id", "clip").agg(F.sort_array(F.collect_list("s")).alias("s"))
     return cut.select(
         (F.col("signal_id") * 1000000 + F.col("clip")).alias("rec_id"),
         F.lit(SAMPLE_RATE).alias("sample_rate"),

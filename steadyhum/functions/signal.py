@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 from math import gcd
 
 import numpy as np
@@ -201,24 +202,29 @@ def resample(samples: Column, rate: Column, target: int) -> Column:
     return run(samples, rate)
 
 
-def _resample(x: np.ndarray, rate: int, target: int, zeros: int = 32, beta: float = 12.0) -> np.ndarray:
+@lru_cache(maxsize=16)
+def _sinc_taps(up: int, down: int, zeros: int = 32, beta: float = 12.0) -> np.ndarray:
+    """(up, taps) low-pass weights, one row per sub-sample position."""
+    cutoff = min(1.0, up / down) * 0.96
+    half = int(np.ceil(zeros / cutoff))
+    distance = np.arange(2 * half)[None, :] - half - np.arange(up)[:, None] / up
+    kaiser = np.i0(beta * np.sqrt(np.maximum(0.0, 1 - (distance / half) ** 2))) / np.i0(beta)
+    return cutoff * np.sinc(cutoff * distance) * kaiser
+
+
+def _resample(x: np.ndarray, rate: int, target: int, block: int = 4096) -> np.ndarray:
     if rate == target or x.size == 0:
         return x
     up, down = target // gcd(rate, target), rate // gcd(rate, target)
-    cutoff = min(1.0, target / rate) * 0.96
-    half = int(np.ceil(zeros / cutoff))
+    taps = _sinc_taps(up, down)
+    half = taps.shape[1] // 2
     n_out = int(np.ceil(x.size * target / rate))
-    padded = np.pad(x, (half, half + down + 1))
-    view = np.lib.stride_tricks.sliding_window_view(padded, 2 * half)
-    out = np.zeros(n_out)
-    for phase in range(min(up, n_out)):
+    windows = np.lib.stride_tricks.sliding_window_view(np.pad(x, (half, half + down + 1)), 2 * half)
+    out = np.empty(n_out)
+    for start in range(0, n_out, block):
         # output m sits at input position m * down / up
-        whole, frac = divmod(phase * down, up)
-        distance = np.arange(2 * half) - half - frac / up
-        taps = cutoff * np.sinc(cutoff * distance)
-        taps *= np.i0(beta * np.sqrt(np.maximum(0.0, 1 - (distance / half) ** 2))) / np.i0(beta)
-        at = np.arange(whole, whole + down * len(out[phase::up]), down)
-        out[phase::up] = view[at] @ taps
+        whole, phase = np.divmod(np.arange(start, min(start + block, n_out)) * down, up)
+        out[start : start + block] = np.einsum("ij,ij->i", windows[whole], taps[phase])
     return out
 
 

@@ -354,6 +354,25 @@ def resample(spark, sf_dir):
     return moved.select("rec_id", "sample_rate", F.size("samples").alias("n_samples"), r6(total(F.col("samples"))).alias("total"))
 
 
+@query(
+    "resample_lengths",
+    "P2",
+    X.sql(
+        """SELECT rec_id, 16000 AS sample_rate, CAST(CASE WHEN rec_id % 2 = 0 THEN ceil(n * 16000 / 11025.0) ELSE n END AS INTEGER) AS n_samples,
+       round(CASE WHEN rec_id % 2 = 0 THEN 0 ELSE total END, 6) + 0.0 AS unchanged_total
+FROM len JOIN (SELECT rec_id, sum(x) AS total FROM clip GROUP BY rec_id) t USING (rec_id)""",
+        *BASE,
+    ),
+)
+def resample_lengths(spark, sf_dir):
+    """Lengths after resampling, and the untouched content of recordings already at the rate."""
+    waves = X.clips(spark, sf_dir)
+    rate = F.when(F.col("rec_id") % 2 == 0, 11025).otherwise(F.col("sample_rate"))
+    moved = P.resample_waves(waves.withColumn("sample_rate", rate))
+    kept = F.when(F.col("rec_id") % 2 == 0, 0.0).otherwise(total(F.col("samples")))
+    return moved.select("rec_id", "sample_rate", F.size("samples").alias("n_samples"), r6(kept).alias("unchanged_total"))
+
+
 @query(
     "waveform_violations",
     "V5",

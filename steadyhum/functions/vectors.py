@@ -109,10 +109,6 @@ def unit(v: Column, eps: float = UNIT_EPS) -> Column:
     return scaled_down(v, F.greatest(norm(v), F.lit(eps)))
 
 
-def not_finite(x: Column) -> Column:
-    return F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
-
-
 def has_nan(v: Column) -> Column:
     return F.exists(v, lambda x: F.isnan(x))
 

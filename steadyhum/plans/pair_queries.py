@@ -13,7 +13,7 @@ from ..operators.profile import build_profile
 from ..operators.training import TrainingConfig, fit
 from . import views as X
 from .catalog_queries import round_trip_summary
-from .registry import query, r6, rounded
+from .registry import query, rounded
 
 SEED = 42
 BATCH = 16
@@ -136,7 +136,7 @@ def rational_head(dims=(64, 32, 16)) -> PJ.Head:
 
 
 def layer_sql(name: str, source: str, inputs: int, units: int, outer: str = "{s}") -> str:
-    dot = outer.format(s=f"sum(x.v * (((x.i * 31 + u.j * 17) % 101) - 50) / 500.0)")
+    dot = outer.format(s="sum(x.v * (((x.i * 31 + u.j * 17) % 101) - 50) / 500.0)")
     return f"""{name} AS (
   SELECT x.rec_id, u.j AS i, {dot} AS v FROM {source} x, (SELECT unnest(range({units})) AS j) u GROUP BY x.rec_id, u.j)"""
 

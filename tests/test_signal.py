@@ -3,7 +3,6 @@ import wave
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from steadyhum.functions import signal as S
 from steadyhum.functions.signal import SignalParams

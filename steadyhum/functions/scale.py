@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,26 +12,42 @@ DEFAULT_SALTS = 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a private one only for local runs."""
+    """The folder named by ``spark.checkpoint.dir`` or ``setCheckpointDir``, seen by every executor."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    own = tempfile.mkdtemp(prefix="steadyhum-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+    return named
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables."""
+    return f"{shared_dir(spark).rstrip('/')}/steadyhum/{spark.sparkContext.applicationId}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/steadyhum/{uuid.uuid4().hex}/{name}"
+    return f"{scratch_dir(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder through the file system that Spark itself uses for it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application.
+
+    Results are lazy, so this belongs after the last of them has been written or read.
+    """
+    delete_path(spark, scratch_dir(spark))
 
 
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage, survives the loss of executors, and gives the planner true file sizes.
+    :func:`clear` deletes it.
     """
     path = fresh_path(df.sparkSession, name)
     if partition_by:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exactdup, fingerprint, language, packing, pii, records, warc
+from . import exactdup, fingerprint, language, packing, pii, records, warc, wordtable
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,8 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_groups(table(spark, sf_dir, "documents")).drop("bucket", "chain")
+
+
+@query("op10_word_table")
+def op10_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordtable.round_trip(table(spark, sf_dir, "documents"))

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exactdup, fingerprint, language, neardup, packing, pii, records, warc, wordtable
+import corpus_pipeline
+
+from . import chat, exactdup, fingerprint, language, neardup, packing, pii, records, warc, wordtable
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,11 +50,21 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_components(table(spark, sf_dir, "documents"))
 
 
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 @query("op6_language")
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+@query("op7_chat")
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 @query("op8_fingerprint")
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_prints(table(spark, sf_dir, "documents"))

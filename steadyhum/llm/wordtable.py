@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import xxhash
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,15 +39,17 @@ from .common import texts
 from .encoding import SETTLED, byte_of_symbol, default_path, encoder
 from .files import file_system
 
-TABLE_WORDS = 12_000_000
+TABLE_WORDS = 6_000_000
 WORDS_AT_ONCE = 20_000
+ITEMS_AT_ONCE = 500_000
 
 # The word expression of byte-level tokenizer files in Java's syntax; \s there is ASCII only.
 BLANK = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 JAVA_WORDS = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + BLANK + r"\p{L}\p{N}]+|["
+    r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^" + BLANK + r"\p{L}\p{N}]+|["
     + BLANK + "]+(?![^" + BLANK + "])|[" + BLANK + "]+"
 )
+FIRST_RANGE = rf"[^\x{{{SETTLED[0][0]:x}}}-\x{{{SETTLED[0][1]:x}}}]"
 JAVA_UNSETTLED = "[^" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in SETTLED) + "]"
 
 IDS = pa.list_(pa.int32())
@@ -59,7 +62,8 @@ def special_strings(path: str) -> list[str]:
 
 def split_words(keyed: DataFrame, key: str, path: str) -> DataFrame:
     """``key``, words (null for texts to be encoded whole), whole (the text of those, else null)."""
-    odd: Column = F.col("text").rlike(JAVA_UNSETTLED)
+    # Most texts stay within the first range, which is quick to see; all ranges are slow in Java.
+    odd: Column = F.when(F.col("text").rlike(FIRST_RANGE), F.col("text").rlike(JAVA_UNSETTLED)).otherwise(False)
     for mark in special_strings(path):
         odd = odd | F.col("text").contains(mark)
     return keyed.select(key, "text", odd.alias("odd")).select(
@@ -75,7 +79,9 @@ def word_hash(word: str) -> int:
 
 def word_table(docs: DataFrame, path: str) -> str:
     """Encode every distinct word of ``docs`` once; returns the folder of (hash, word, ids)."""
-    distinct = split_words(texts(docs), "doc_id", path).select(F.explode("words").alias("word")).distinct()
+    distinct = split_words(texts(docs), "doc_id", path).select(
+        F.explode(F.array_distinct("words")).alias("word")
+    ).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = encoder(path).library
@@ -102,17 +108,28 @@ class Table:
 
     def __init__(self, folder: str):
         system, inner = file_system(folder)
-        data = pq.read_table(inner, columns=["hash", "ids"], filesystem=system)
-        hashes = data.column("hash").to_numpy().view(np.uint64)
-        lists = data.column("ids").combine_chunks()
-        offsets = lists.offsets.to_numpy()
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.starts = offsets[:-1][order].astype(np.int64)
-        self.counts = np.diff(offsets)[order].astype(np.int32)
-        self.ids = lists.values.to_numpy(zero_copy_only=False)
-        # A row that finds nothing closes the arrays, so that every search lands inside them.
-        self.hashes = np.append(self.hashes, np.uint64(0xFFFFFFFFFFFFFFFF))
+        found = system.get_file_info(pafs.FileSelector(inner))
+        hashes, counts, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.uint16)]
+        for info in sorted(found, key=lambda i: i.path):  # one by one, to hold no second copy
+            if not info.path.endswith(".parquet"):
+                continue
+            data = pq.read_table(info.path, columns=["hash", "ids"], filesystem=system, use_threads=False)
+            lists = data.column("ids").combine_chunks()
+            lengths, values = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+            hashes.append(data.column("hash").to_numpy().view(np.uint64))
+            counts.append(lengths.astype(np.min_scalar_type(int(lengths.max(initial=0)))))
+            ids.append(values.astype(np.min_scalar_type(int(values.max(initial=0)))))
+        del found
+        counts = np.concatenate(counts)
+        starts = np.concatenate([[0], np.cumsum(counts[:-1], dtype=np.uint32)]).astype(np.uint32)[: len(counts)]
+        self.ids = np.concatenate(ids)
+        # A row that finds nothing closes the hashes, so that every search lands inside them.
+        self.hashes = np.concatenate([*hashes, [np.uint64(0xFFFFFFFFFFFFFFFF)]])
+        hashes.clear()
+        order = np.argsort(self.hashes[:-1])
+        self.hashes[:-1] = self.hashes[:-1][order]
+        self.starts, self.counts = starts[order], counts[order]
+        pa.default_memory_pool().release_unused()
 
     def rows(self, words: list[str]) -> np.ndarray:
         wanted = np.fromiter((word_hash(w) for w in words), np.uint64, len(words))
@@ -128,11 +145,23 @@ class Table:
         each = rows[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
         counts = self.counts[each].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(counts)])
-        spots = np.repeat(self.starts[each] - ends[:-1], counts) + np.arange(ends[-1])
+        spots = np.repeat(self.starts[each].astype(np.int64) - ends[:-1], counts) + np.arange(ends[-1])
         lengths = words.value_lengths().fill_null(0).to_numpy()
         return self.ids[spots], ends[np.concatenate([[0], np.cumsum(lengths)])]
 
 
+def slices(batches: Iterator[pa.RecordBatch], items: int = ITEMS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """``batches`` cut so that the lists in column 1 of each hold about ``items`` items together."""
+    for batch in batches:
+        ends = np.cumsum(batch.column(1).value_lengths().fill_null(0).to_numpy())
+        at = 0
+        while at < batch.num_rows:
+            base = int(ends[at - 1]) if at else 0
+            upto = max(at + 1, int(np.searchsorted(ends, base + items, side="right")))
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
 _TABLES: dict[str, Table] = {}
 
 
@@ -144,12 +173,13 @@ def table(folder: str) -> Table:
     return _TABLES[folder]
 
 
-def look_up(split: DataFrame, folder: str, path: str) -> DataFrame:
-    """doc_id, ids of split documents, from the table held by each worker."""
+def look_up(split: DataFrame, folder: str, path: str, decoded: bool = False) -> DataFrame:
+    """doc_id, ids and, if asked for, the decoded text of split documents, from the table held by each worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc_id, words, whole = batch.columns
+        pieces = piece_table(path) if decoded else []
+        for part in slices(batches):
+            doc_id, words, whole = part.columns
             ids, starts = table(folder).join(words)
             odd = {i: encoder(path).encode(t) for i, t in enumerate(whole.to_pylist()) if t is not None}
             if odd:
@@ -157,9 +187,10 @@ def look_up(split: DataFrame, folder: str, path: str) -> DataFrame:
                 starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
                 ids = np.concatenate(parts)
             lists = pa.ListArray.from_arrays(starts.astype(np.int32), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([doc_id, lists], names=["doc_id", "ids"])
+            columns = [doc_id, lists, *([joined_pieces(lists, pieces)] if decoded else [])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
 
-    return split.mapInArrow(run, "doc_id long, ids array<int>")
+    return split.mapInArrow(run, "doc_id long, ids array<int>" + (", decoded string" if decoded else ""))
 
 
 def join_by_word(docs: DataFrame, folder: str, path: str) -> DataFrame:
@@ -188,15 +219,18 @@ def join_by_word(docs: DataFrame, folder: str, path: str) -> DataFrame:
     )
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, table_words: int = TABLE_WORDS) -> DataFrame:
-    """doc_id and ids (array of int) of every row of ``docs`` (doc_id, text)."""
+def encode(
+    docs: DataFrame, tokenizer: str | None = None, table_words: int = TABLE_WORDS, decoded: bool = False
+) -> DataFrame:
+    """doc_id and ids (array of int) of every row of ``docs`` (doc_id, text); with ``decoded``, what they decode to."""
     path = tokenizer or default_path("byte_bpe_50k.json")
     folder = word_table(docs, path)
     entries = docs.sparkSession.read.schema("hash long").parquet(folder)
     size = entries.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("hash").alias("h")).first()
     if size.n <= table_words and size.h == size.n:
-        return look_up(split_words(texts(docs), "doc_id", path), folder, path)
-    return join_by_word(docs, folder, path)
+        return look_up(split_words(texts(docs), "doc_id", path), folder, path, decoded)
+    ids = join_by_word(docs, folder, path)
+    return decode(ids, path) if decoded else ids
 
 
 def piece_table(path: str) -> list[bytes]:
@@ -209,27 +243,34 @@ def piece_table(path: str) -> list[bytes]:
     return [pieces[i] for i in range(max(pieces) + 1)]
 
 
+def joined_pieces(ids: pa.ListArray, pieces: list[bytes]) -> pa.Array:
+    """The text of every list of ids."""
+    flat, ends = ids.flatten().to_numpy(zero_copy_only=False), ids.offsets.to_numpy() - ids.offsets[0].as_py()
+    said = [
+        b"".join(map(pieces.__getitem__, flat[a:b].tolist())).decode("utf-8", "replace")
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)
+    ]
+    return pa.array(said, pa.string())
+
+
 def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """``encoded`` (doc_id, ids) with column ``decoded``: the ids' pieces joined, as text."""
     path = tokenizer or default_path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = piece_table(path)
-        for batch in batches:
-            ids = batch.column(1)
-            flat, ends = ids.flatten().to_numpy(zero_copy_only=False), ids.offsets.to_numpy() - ids.offsets[0].as_py()
-            said = [
-                b"".join(map(pieces.__getitem__, flat[a:b].tolist())).decode("utf-8", "replace")
-                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(said, pa.string())], names=["doc_id", "ids", "decoded"])
+        for batch in slices(batches):
+            doc_id, ids = batch.columns
+            yield pa.RecordBatch.from_arrays(
+                [doc_id, ids, joined_pieces(ids, pieces)], names=["doc_id", "ids", "decoded"]
+            )
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the decoded text of every row."""
-    back = decode(encode(docs))
+    back = encode(docs, decoded=True)
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -6,17 +6,18 @@
 2. Documents with the same set are one class. Only classes go on, so thousands of copies cost
    one row per task, whatever share of the corpus they are.
 3. Classes that share a band key are candidates. Pairs within a bucket are never enumerated:
-   everything in a bucket is paired with one member of it, the pivot. Two such rounds, with
-   different pivots, join what belongs together; what is left are buckets that still hold
+   everything in a bucket is paired with one member of it, the pivot: first the member with the
+   most neighbours in all its buckets, which is near the middle of its group, then members
+   picked by hash. Four such rounds join what belongs together; what is left are buckets that still hold
    different components, and there the rows outside the bucket's largest component meet the
    others in a join whose condition keeps only pairs that the signatures let pass.
 4. The signatures estimate the similarity by counting equal groups of bits, corrected for the
-   share that agrees by chance. Pairs well below the threshold (five standard deviations) go.
+   share that agrees by chance. Pairs well below the threshold (four standard deviations) go.
 5. The others are confirmed on the full shingle sets of both texts. Confirmed links are
    contracted to components after every round, and pairs inside a component are not tested.
 
-Two texts at the threshold of 0.85 miss all bands with a probability of 2e-8 and the estimate
-with 3e-7. Every other step is exact up to collisions of 64-bit shingle hashes.
+Two texts at the very threshold of 0.85 miss all bands with a probability of 2e-8 and the
+estimate with 3e-5, more similar ones far less often. Every other step is exact up to collisions of 64-bit shingle hashes.
 
 Defined results: a null text counts as empty; texts without words have 0 shingles and link with
 nothing; a text of fewer than five words has one shingle, all of it; rows that share a doc_id
@@ -40,10 +41,9 @@ from . import shingles
 from .common import texts, unused
 
 PERCENT = 85
-STAR_ROUNDS = 2
-SIGMAS = 5.0
+SIGMAS = 4.0
 SKETCH = "doc_id long, n_shingles long, key_1 long, key_2 long, bands array<long>, signature array<long>"
-PIVOT_SALT = (0, 0x5DEECE66D1234567)
+PIVOT_SALTS = (0x5DEECE66D1234567, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85)  # each orders the members of a bucket anew
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -164,20 +164,23 @@ def relabel(comp: DataFrame, edges: DataFrame) -> DataFrame:
     return materialize(renamed, "components")
 
 
-def near_components(docs: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text)."""
     rows = materialize(sketch(docs), "sketches")
     linked = rows.where(F.col("key_1").isNotNull() & F.col("doc_id").isNotNull())
     classes = linked.groupBy("key_1", "key_2").agg(
-        F.min("doc_id").alias("rep"), F.first(F.struct("bands", "signature")).alias("s")
+        F.min("doc_id").alias("rep"), F.first(F.struct("n_shingles", "bands", "signature")).alias("s")
     )
-    classes = materialize(classes.select("key_1", "key_2", "rep", "s.bands", "s.signature"), "classes")
+    classes = materialize(classes.select("key_1", "key_2", "rep", "s.n_shingles", "s.bands", "s.signature"), "classes")
     members = linked.join(classes.select("key_1", "key_2", "rep"), ["key_1", "key_2"]).select("doc_id", "rep")
 
-    slots = classes.select(F.explode("bands").alias("band"), "key_1", "rep")
-    crowded = slots.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("band")
+    slots = classes.select(F.posexplode("bands").alias("band_no", "band"), "key_1", "rep")
+    crowded = slots.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     slots = materialize(slots.join(crowded, "band"), "buckets")
-    signatures = classes.select("key_1", "signature")
+    hubs = slots.groupBy("key_1").agg(F.least(F.sum("n"), F.lit(1 << 22)).alias("weight"))
+    hubs = hubs.select("key_1", (F.col("weight") * (1 << 40) + F.col("key_1").bitwiseAND(F.lit((1 << 40) - 1))).alias("rank_0"))
+    ranks = {f"rank_{r}": F.col("key_1").bitwiseXOR(F.lit(salt)) for r, salt in enumerate(PIVOT_SALTS, 1)}
+    ranked = materialize(classes.join(hubs, "key_1").withColumns(ranks), "ranked")
     floor = least_estimate(percent)
 
     # Rows that share a doc_id are one document.
@@ -187,76 +190,98 @@ def near_components(docs: DataFrame, percent: int = PERCENT, star_rounds: int =
     comp = classes.select("rep", F.col("rep").alias("comp")).distinct()
     comp = relabel(comp, edges) if not edges.isEmpty() else materialize(comp, "components")
 
-    def passing(pairs: DataFrame) -> DataFrame:
-        signed = pairs.join(signatures.select(F.col("key_1").alias("a"), F.col("signature").alias("sa")), "a").join(
-            signatures.select(F.col("key_1").alias("b"), F.col("signature").alias("sb")), "b"
-        )
-        return signed.where(estimate(F.col("sa"), F.col("sb")) >= floor).select("a", "b").distinct()
-
-    for r in range(star_rounds):
-        salt = F.lit(PIVOT_SALT[r % len(PIVOT_SALT)])
-        now = slots.join(comp, "rep")
-        open_ = (
-            now.groupBy("band")
-            .agg(
-                F.min("comp").alias("low"),
-                F.max("comp").alias("high"),
-                F.min(F.col("key_1").bitwiseXOR(salt)).bitwiseXOR(salt).alias("pivot"),
-            )
-            .where(F.col("low") < F.col("high"))
-            .select("band", "pivot")
-        )
-        pivot_comp = classes.select(F.col("key_1").alias("pivot"), "rep").join(comp, "rep")
-        pairs = (
-            now.join(open_, "band")
-            .where(F.col("key_1") != F.col("pivot"))
-            .select(F.col("pivot"), "key_1", "comp")
-            .distinct()
-            .join(pivot_comp.select("pivot", F.col("comp").alias("other")), "pivot")
-            .where(F.col("comp") != F.col("other"))
-            .select(F.least("pivot", "key_1").alias("a"), F.greatest("pivot", "key_1").alias("b"))
-            .distinct()
-        )
-        found = materialize(confirm(passing(pairs), docs, classes, percent), "links")
+    for r in range(1 + len(PIVOT_SALTS)):
+        pairs = star_pairs(slots, ranked, comp, floor, percent, f"rank_{r}")
+        found = materialize(confirm(pairs, docs, classes, percent), "links")
         if found.isEmpty():
             break
         comp = relabel(comp, found)
 
-    comp = _join_the_rest(docs, classes, slots, comp, floor, percent)
+    found = materialize(confirm(remaining_pairs(slots, classes, comp, floor, percent), docs, classes, percent), "links")
+    if not found.isEmpty():
+        comp = relabel(comp, found)
     return _results(rows, classes, comp)
 
 
-def _join_the_rest(
-    docs: DataFrame, classes: DataFrame, slots: DataFrame, comp: DataFrame, floor: float, percent: int
-) -> DataFrame:
-    """Components after testing all pairs of different components in buckets that hold several.
+def sizes_near(sizes: tuple[Column, Column], percent: int) -> Column:
+    """Whether two set sizes are near enough for their sets to be similar."""
+    return F.least(*sizes) * 100 >= F.greatest(*sizes) * percent
+
+
+def star_pairs(slots: DataFrame, ranked: DataFrame, comp: DataFrame, floor: float, percent: int, rank: str) -> DataFrame:
+    """Pairs (a, b) of a bucket's pivot, the highest ``rank``, and its members in other components.
+
+    Only pairs that sizes and estimate let pass leave the join.
+    """
+    state = ranked.join(comp, "rep").select("key_1", F.col(rank).alias("rank"), "comp", "n_shingles", "signature")
+    now = slots.select("band", "key_1").join(state, "key_1")
+    open_ = (
+        now.groupBy("band")
+        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("rank").alias("rank"))
+        .where(F.col("low") < F.col("high"))
+        .select(F.col("band").alias("p_band"), "rank")
+    )
+    pivots = open_.join(
+        state.select(
+            "rank",
+            F.col("key_1").alias("pivot"),
+            F.col("comp").alias("c_pivot"),
+            F.col("n_shingles").alias("n_pivot"),
+            F.col("signature").alias("s_pivot"),
+        ),
+        "rank",
+    ).drop("rank")
+    passes = (
+        (F.col("band") == F.col("p_band"))
+        & (F.col("comp") != F.col("c_pivot"))
+        & sizes_near((F.col("n_shingles"), F.col("n_pivot")), percent)
+        & (estimate(F.col("signature"), F.col("s_pivot")) >= floor)
+    )
+    pairs = now.join(pivots, passes)
+    return pairs.select(F.least("pivot", "key_1").alias("a"), F.greatest("pivot", "key_1").alias("b")).distinct()
+
+
+def remaining_pairs(slots: DataFrame, classes: DataFrame, comp: DataFrame, floor: float, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket that the estimate lets pass.
 
     The rows of a bucket's largest component need no test among themselves, so only the others
-    meet the whole bucket.
+    meet the whole bucket. A pair comes out of the first bucket that it shares, only once.
     """
     now = slots.join(comp, "rep")
     held = now.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
-    most = held.groupBy("band").agg(
-        F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("kinds")
-    )
+    most = held.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("kinds"))
     most = most.where(F.col("kinds") > 1).select("band", F.col("top.comp").alias("main"))
-    open_ = now.join(most, "band").join(classes.select("key_1", "signature"), "key_1")
-    open_ = materialize(open_.select("band", "key_1", "comp", "signature", (F.col("comp") != F.col("main")).alias("outside")), "open")
+    open_ = now.join(most, "band").join(classes.select("key_1", "n_shingles", "signature", "bands"), "key_1")
+    open_ = open_.withColumn("outside", F.col("comp") != F.col("main")).drop("main", "rep")
+    open_ = materialize(open_, "open")
     left = open_.where("outside").select(
-        "band", F.col("key_1").alias("x"), F.col("comp").alias("cx"), F.col("signature").alias("sx")
+        "band",
+        F.col("band_no").alias("no"),
+        F.col("key_1").alias("x"),
+        F.col("comp").alias("cx"),
+        F.col("n_shingles").alias("nx"),
+        F.col("signature").alias("sx"),
+        F.col("bands").alias("bx"),
     )
     right = open_.select(
-        "band", F.col("key_1").alias("y"), F.col("comp").alias("cy"), F.col("signature").alias("sy"), "outside"
+        F.col("band").alias("r_band"),
+        F.col("key_1").alias("y"),
+        F.col("comp").alias("cy"),
+        F.col("n_shingles").alias("ny"),
+        F.col("signature").alias("sy"),
+        F.col("bands").alias("by"),
+        "outside",
     )
+    first_shared = F.array_position(F.zip_with("bx", "by", lambda p, q: p == q), True) - 1
     meets = (
-        (left["band"] == right["band"])
+        (F.col("band") == F.col("r_band"))
         & (F.col("cx") != F.col("cy"))
         & (~F.col("outside") | (F.col("x") < F.col("y")))
+        & sizes_near((F.col("nx"), F.col("ny")), percent)
         & (estimate(F.col("sx"), F.col("sy")) >= floor)
+        & (first_shared == F.col("no"))
     )
-    pairs = left.join(right, meets).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    found = materialize(confirm(pairs, docs, classes, percent), "links")
-    return comp if found.isEmpty() else relabel(comp, found)
+    return left.join(right, meets).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _results(rows: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:

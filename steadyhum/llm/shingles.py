@@ -15,7 +15,8 @@ SHINGLE_WORDS = 5
 CHUNK_BYTES = 2 << 20
 BANDS = 24
 ROWS = 4
-LOW_BITS = 4
+HASHES = 384  # the first BANDS * ROWS of them make the bands, all of them the signature
+LOW_BITS = 2
 
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -25,7 +26,6 @@ BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
 BASE = 0x9E3779B97F4A7C13  # odd, so that it has an inverse modulo 2^64
 MIX_1, MIX_2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
-HASHES = BANDS * ROWS
 FACTORS = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)).reshape(HASHES, 1)
 TERMS = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32).reshape(HASHES, 1)
 
@@ -143,7 +143,7 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 def band_keys(best: np.ndarray) -> np.ndarray:
     """A 64-bit key per band, of all bits of its minima and the band's number."""
     h = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in best.reshape(BANDS, ROWS).T:
+    for column in best[: BANDS * ROWS].reshape(BANDS, ROWS).T:
         h = mix(h * MIX_2 + column.astype(np.uint64))
     return h.view(np.int64)
 

@@ -11,18 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Fixed values of the seeded draw: a multiplicative hash modulo a Mersenne prime.
 HASH_MODULUS = 2147483647
-HASH_MULTIPLIER = 2654435761
-HASH_SEED_STEP = 40503
 
 
 def seeded_hash(key: Column, seed: int) -> Column:
-    """Deterministic draw in [0, HASH_MODULUS) from a non-negative id; never overflows."""
-    reduced = F.pmod(key.cast("bigint"), F.lit(HASH_MODULUS))
-    return F.pmod(
-        reduced * F.lit(HASH_MULTIPLIER) + F.lit(seed * HASH_SEED_STEP), F.lit(HASH_MODULUS)
-    )
+    """Draw in [0, HASH_MODULUS) from an id and a seed; another seed gives an unrelated order.
+
+    The first 15 hex digits of the MD5 of ``id:seed``, which any SQL dialect can compute.
+    """
+    text = F.concat(key.cast("bigint").cast("string"), F.lit(f":{seed}"))
+    drawn = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+    return F.pmod(drawn, F.lit(HASH_MODULUS))
 
 
 def default_buckets(df: DataFrame) -> int:

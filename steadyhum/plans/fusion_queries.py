@@ -113,20 +113,21 @@ def missing_embeddings(spark, sf_dir):
 
 
 def fused_table(spark, sf_dir):
-    """Temporal features of a clip with the embedding of the recording of the same number."""
+    """Temporal features of every clip with the embedding of the recording of its signal's number."""
     names = list(FT.TEMPORAL)
     features = FT.feature_vector(pooled(spark, sf_dir).select("rec_id", *names), names)
-    first = features.where("rec_id % 1000000 = 0").withColumn("rec_id", F.floor(F.col("rec_id") / 1000000))
-    return FU.attach_embeddings(first, embedding_table(spark, sf_dir))
+    features = features.withColumn("signal_id", F.floor(F.col("rec_id") / 1000000))
+    embeddings = embedding_table(spark, sf_dir).withColumnRenamed("rec_id", "signal_id")
+    return FU.attach_embeddings(features, embeddings, "signal_id")
 
 
-FUSED_SQL = """ready AS (SELECT rec_id // 1000000 AS rid, * EXCLUDE (rec_id) FROM temporal WHERE rec_id % 1000000 = 0),
+FUSED_SQL = """ready AS (SELECT rec_id // 1000000 AS rid, * FROM temporal),
 fused AS (
-  SELECT rid AS rec_id, p.position, CASE p.position WHEN 0 THEN rms_mean WHEN 1 THEN rms_std WHEN 2 THEN rms_max
+  SELECT rec_id, p.position, CASE p.position WHEN 0 THEN rms_mean WHEN 1 THEN rms_std WHEN 2 THEN rms_max
          WHEN 3 THEN ste_mean WHEN 4 THEN ste_std ELSE dynamic_range_db END AS value
   FROM ready, (SELECT unnest(range(6)) AS position) p WHERE rid IN (SELECT vec_id FROM embeddings WHERE vec_id % 9 <> 0)
   UNION ALL
-  SELECT d.rec_id, d.i + 6, d.v FROM dim d JOIN ready ON rid = d.rec_id WHERE d.rec_id % 9 <> 0)"""
+  SELECT ready.rec_id, d.i + 6, d.v FROM dim d JOIN ready ON rid = d.rec_id WHERE d.rec_id % 9 <> 0)"""
 FUSED_VIEWS = (*OK, FXOK, TEMPORAL_SQL, *X.DIM_VIEWS, FUSED_SQL)
 
 

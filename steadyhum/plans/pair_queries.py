@@ -20,7 +20,7 @@ BATCH = 16
 
 
 def hash_sql(key: str, seed: int) -> str:
-    return f"((({key}) % 2147483647) * 2654435761 + {seed} * 40503) % 2147483647"
+    return f"(CAST('0x' || substr(md5(concat(CAST({key} AS BIGINT), ':{seed}')), 1, 15) AS BIGINT) % 2147483647)"
 
 
 INDEX_SQL = f"""normals AS (SELECT *, {hash_sql('rec_id', SEED)} AS h FROM rec WHERE label = 'normal'),

@@ -77,7 +77,7 @@ def contrast_rows(measures: str) -> Column:
 
 
 def mean_std(rows: Column, width: int) -> Column:
-    """struct<mean, std> over the frames of ``array<array<double>>``; std is of the population."""
+    """struct<mean, std> over the frames of ``array<array<double>>``, null without frames; std is of the population."""
     zero = F.array_repeat(F.lit(0.0), F.lit(width))
     n = F.size(rows).cast("double")
 
@@ -89,7 +89,7 @@ def mean_std(rows: Column, width: int) -> Column:
         deviations = F.zip_with(squares, F.array_repeat(n, width), lambda s, k: F.sqrt(s / k))
         return F.struct(mean.alias("mean"), deviations.alias("std"))
 
-    return let(scaled_down(summed(lambda row: row), n), spread)
+    return F.when(F.size(rows) > 0, let(scaled_down(summed(lambda row: row), n), spread))
 
 
 def pooled(recordings: DataFrame, keys: list[str], params: SignalParams) -> DataFrame:
@@ -139,13 +139,18 @@ def long_enough(waves: DataFrame, params: SignalParams) -> DataFrame:
     return waves.where((size >= params.n_fft) & (F.floor(size / params.hop) + 1 >= S.DELTA_WIDTH))
 
 
-def extract(waves: DataFrame, keys: list[str], params: SignalParams | None = None) -> DataFrame:
+def extract(
+    waves: DataFrame, keys: list[str], params: SignalParams | None = None, complete: bool = True
+) -> DataFrame:
     """All features as named columns, in vector order, one row per recording, without a shuffle.
 
-    Recordings in ``too_short`` give no row.
+    Recordings in ``too_short`` give no row. Without ``complete`` every recording with a sample
+    gives one, with nulls where a family needs more: nine frames for the deltas, one uncentred
+    frame for the short-time energy.
     """
     p = params or SignalParams()
-    return pooled(measured(long_enough(waves, p), keys, p), keys, p).drop("n_frames")
+    fit = long_enough(waves, p) if complete else waves.where(F.size("samples") > 0)
+    return pooled(measured(fit, keys, p), keys, p).drop("n_frames")
 
 
 def feature_vector(features: DataFrame, names: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from ..operators import features as FT
 from ..operators import fusion as FU
 from . import views as X
 from .registry import query, r6
-from .wave_queries import FXOK, OK, TEMPORAL_SQL, pooled
+from .wave_queries import FXOK, OK, TEMPORAL_SQL, temporal
 
 REC = "rec_id, machine_type, machine_id, label, filename"
 
@@ -115,7 +115,7 @@ def missing_embeddings(spark, sf_dir):
 def fused_table(spark, sf_dir):
     """Temporal features of every clip with the embedding of the recording of its signal's number."""
     names = list(FT.TEMPORAL)
-    features = FT.feature_vector(pooled(spark, sf_dir).select("rec_id", *names), names)
+    features = FT.feature_vector(temporal(spark, sf_dir), names)
     features = features.withColumn("signal_id", F.floor(F.col("rec_id") / 1000000))
     embeddings = embedding_table(spark, sf_dir).withColumnRenamed("rec_id", "signal_id")
     return FU.attach_embeddings(features, embeddings, "signal_id")

@@ -21,7 +21,8 @@ SMALL = SignalParams(
 # --- checking SQL, written from the definitions ---
 
 LEN_SQL = "len AS (SELECT rec_id, count(*) AS n FROM clip GROUP BY rec_id)"
-LONG_SQL = "clip_ok AS (SELECT rec_id, n, 1 + n // 16 AS t FROM len WHERE n >= 32 AND 1 + n // 16 >= 9)"
+LONG_SQL = """clip_ok AS (SELECT rec_id, n, 1 + n // 16 AS t FROM len),
+clip_long AS (SELECT * FROM clip_ok WHERE n >= 32 AND t >= 9)"""
 
 
 def frames_sql(name: str, length: int, source: str = "len", samples: str = "clip") -> str:
@@ -71,7 +72,7 @@ mfcc AS (
   FROM db64, (SELECT unnest(range(5)) AS c) c GROUP BY rec_id, frame, c.c)"""
 DELTA_SQL = """delta AS (
   SELECT m.rec_id, m.frame, m.c, any_value(m.v) AS v, sum(k.k / 60.0 * o.v) AS d1, sum(k.w / 462.0 * o.v) AS d2
-  FROM mfcc m JOIN clip_ok USING (rec_id),
+  FROM mfcc m JOIN clip_long USING (rec_id),
        (VALUES (-4, 28), (-3, 7), (-2, -8), (-1, -17), (0, -20), (1, -17), (2, -8), (3, 7), (4, 28)) k(k, w)
   JOIN mfcc o ON o.rec_id = m.rec_id AND o.c = m.c AND o.frame = greatest(4, least(t - 5, m.frame)) + k.k
   GROUP BY m.rec_id, m.frame, m.c)"""
@@ -130,7 +131,7 @@ SPECTRAL_SELECT = (
 TEMPORAL_SQL = """rms AS (SELECT rec_id, frame, sqrt(sum(x * x) / 32) AS r FROM fxok GROUP BY rec_id, frame),
 ste AS (
   SELECT t.rec_id, t.frame, sum(c.x * c.x) AS e
-  FROM (SELECT rec_id, unnest(range((n - 32) // 16 + 1)) AS frame FROM clip_ok) t
+  FROM (SELECT rec_id, unnest(range((n - 32) // 16 + 1)) AS frame FROM clip_ok WHERE n >= 32) t
   JOIN clip c ON c.rec_id = t.rec_id AND c.i >= t.frame * 16 AND c.i < t.frame * 16 + 32 GROUP BY t.rec_id, t.frame),
 rms_pool AS (
   SELECT rec_id, avg(r) AS rms_mean, stddev_pop(r) AS rms_std, max(r) AS rms_max,
@@ -394,7 +395,7 @@ def waveform_violations(spark, sf_dir):
 
 
 def cepstral(spark, sf_dir):
-    return FT.cepstral_frames(FT.long_enough(X.clips(spark, sf_dir), SMALL), KEYS, SMALL)
+    return FT.cepstral_frames(X.clips(spark, sf_dir), KEYS, SMALL)
 
 
 @query(
@@ -431,8 +432,13 @@ def mfcc_deltas(spark, sf_dir):
     )
 
 
-def pooled(spark, sf_dir):
-    return FT.extract(X.clips(spark, sf_dir), KEYS, SMALL)
+def pooled(spark, sf_dir, complete=True):
+    return FT.extract(X.clips(spark, sf_dir), KEYS, SMALL, complete)
+
+
+def temporal(spark, sf_dir):
+    """Temporal features of all clips of at least one uncentred frame."""
+    return pooled(spark, sf_dir, complete=False).select("rec_id", *FT.TEMPORAL).where("ste_mean IS NOT NULL")
 
 
 @query("mfcc_features", "F4", X.sql(MFCC_SELECT, *DELTA_VIEWS))
@@ -449,17 +455,17 @@ SPECTRAL_NAMES = [
 
 @query("spectral_features", "F5 F6 F7 F8 F9 F10", X.sql(SPECTRAL_SELECT, *SPECTRAL_VIEWS))
 def spectral_features(spark, sf_dir):
-    return tidy(pooled(spark, sf_dir).select("rec_id", *SPECTRAL_NAMES), SPECTRAL_NAMES)
+    return tidy(pooled(spark, sf_dir, complete=False).select("rec_id", *SPECTRAL_NAMES), SPECTRAL_NAMES)
 
 
 @query("temporal_features", "F11 F12 F13", X.sql(TEMPORAL_SELECT, *OK, FXOK, TEMPORAL_SQL))
 def temporal_features(spark, sf_dir):
-    return rounded(pooled(spark, sf_dir).select("rec_id", *FT.TEMPORAL), *FT.TEMPORAL, digits=5)
+    return rounded(temporal(spark, sf_dir), *FT.TEMPORAL, digits=5)
 
 
 @query("harmonic_features", "F14 F15", X.sql(HARMONIC_SELECT, *OK, FXOK, PWOK, HPSS_SQL))
 def harmonic_features(spark, sf_dir):
-    return rounded(pooled(spark, sf_dir).select("rec_id", *FT.HARMONIC), *FT.HARMONIC, digits=5)
+    return rounded(pooled(spark, sf_dir, complete=False).select("rec_id", *FT.HARMONIC), *FT.HARMONIC, digits=5)
 
 
 ALL_NAMES = FT.feature_names(SMALL)

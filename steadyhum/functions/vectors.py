@@ -109,6 +109,10 @@ def unit(v: Column, eps: float = UNIT_EPS) -> Column:
     return scaled_down(v, F.greatest(norm(v), F.lit(eps)))
 
 
+def has_null(v: Column) -> Column:
+    return F.exists(v, lambda x: x.isNull())
+
+
 def has_nan(v: Column) -> Column:
     return F.exists(v, lambda x: F.isnan(x))
 

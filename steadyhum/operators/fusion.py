@@ -7,7 +7,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import as_double, has_inf, has_nan
+from ..functions.vectors import as_double, has_inf, has_nan, has_null
 
 REQUIRED_METADATA = ("machine_type", "machine_id", "label", "filename")
 
@@ -28,6 +28,7 @@ def _vector_reasons(vector: str, names: str | None = None, dim: int | None = Non
     v = F.col(vector)
     reasons = [
         F.when(v.isNull() | (F.size(v) == 0), "empty vector"),
+        F.when(has_null(v), "null values"),
         F.when(has_nan(v), "NaN values"),
         F.when(has_inf(v), "infinite values"),
     ]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.kernels import drift_metrics
 from ..functions.moments import element_moments
 from ..functions.scale import bounded_join, materialize
-from ..functions.vectors import has_inf, has_nan
+from ..functions.vectors import has_inf, has_nan, has_null
 from .catalog import MACHINE, cap_per_machine, exclude_files
 
 
@@ -57,7 +57,20 @@ def profile_violations(recs: DataFrame, vector: str = "vector", names: str = "fe
 def usable(recs: DataFrame, vector: str = "vector") -> DataFrame:
     """Recordings whose vector is present and finite; the rest belong in a violation table."""
     v = F.col(vector)
-    return recs.where(v.isNotNull() & ~has_nan(v) & ~has_inf(v))
+    return recs.where((F.size(v) > 0) & ~has_null(v) & ~has_nan(v) & ~has_inf(v))
+
+
+def of_common_length(members: DataFrame, vector: str = "vector") -> DataFrame:
+    """Members whose vector has their machine's most frequent length, of equally frequent ones the longest.
+
+    Only counts per machine and length are shuffled.
+    """
+    sized = members.withColumn("_size", F.size(vector))
+    counts = sized.groupBy(*MACHINE, "_size").agg(F.count(F.lit(1)).alias("_n"))
+    most = counts.groupBy(*MACHINE).agg(F.max(F.struct("_n", "_size")).alias("_most"))
+    most = materialize(most.select(*MACHINE, F.col("_most._size").alias("_common")), "common_length")
+    joined = bounded_join(sized, most, MACHINE, [F.col("filename")], F.lit(64))
+    return joined.where(F.col("_size") == F.col("_common")).drop("_size", "_common")
 
 
 def build_learned_profile(

@@ -96,7 +96,7 @@ def batch_loss(z: np.ndarray, temperature: float) -> tuple[float, np.ndarray]:
 def nt_xent(paired: DataFrame, a: str = "a", b: str = "b", temperature: float = TEMPERATURE) -> DataFrame:
     """(batch, n_pairs, loss) of unit vectors; a group is one batch, so its size is the batch size."""
     if temperature <= 0:
-        raise ValueError(f"temperature must be > 0, got {temperature}")
+        raise ValueError(f"the temperature has to be positive, not {temperature}")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         z = np.concatenate([stack(pdf[a]), stack(pdf[b])])
@@ -128,7 +128,12 @@ def weights_table(spark: SparkSession, head: Head, model_id: str) -> DataFrame:
     return spark.createDataFrame(rows, WEIGHTS_SCHEMA)
 
 
-def head_from_table(weights: DataFrame) -> Head:
+def head_from_table(weights: DataFrame, model_id: str | None = None) -> Head:
+    """The head of ``model_id``; it may be left out where the table holds one model."""
+    if model_id is not None:
+        weights = weights.where(F.col("model_id") == model_id)
+    elif weights.select("model_id").distinct().limit(2).count() > 1:
+        raise ValueError("the weights table holds several models, name one")
     layers = {1: [], 2: []}
     for r in weights.orderBy("layer", "unit").collect():
         layers[r["layer"]].append((r["weights"], r["bias"]))

@@ -9,6 +9,7 @@ from ..operators import features as FT
 from ..operators import fusion as FU
 from . import views as X
 from .registry import query, r6
+from .report import health_report, report_violations
 from .wave_queries import FXOK, OK, TEMPORAL_SQL, temporal
 
 REC = "rec_id, machine_type, machine_id, label, filename"
@@ -99,6 +100,23 @@ def embedding_table(spark, sf_dir):
     return X.recordings(spark, sf_dir).where("rec_id % 9 <> 0").select("rec_id", F.col("vector").alias("embedding"))
 
 
+@query(
+    "report_outcomes",
+    "H8 V2",
+    X.sql(
+        """SELECT rec_id, CASE WHEN rec_id % 17 = 0 THEN 'NaN values' WHEN rec_id % 29 = 0 THEN 'infinite values'
+       WHEN rec_id % 19 = 0 THEN 'length differs from the profile' ELSE 'scored' END AS outcome FROM rec""",
+        *X.REC_VIEWS,
+    ),
+)
+def report_outcomes(spark, sf_dir):
+    """What becomes of every recording when some vectors are spoiled: a score or a violation."""
+    recs = X.recordings(spark, sf_dir).drop("vector").join(spoiled(spark, sf_dir).select("rec_id", "vector"), "rec_id")
+    members = recs.where("label = 'normal'")
+    scored = health_report(recs, members).select("rec_id", F.lit("scored").alias("outcome"))
+    return scored.unionByName(report_violations(recs, members, ["rec_id"]).withColumnRenamed("violation", "outcome"))
+
+
 @query("attach_embeddings", "V6", X.sql(f"SELECT {REC}, 64 AS embedding_dim FROM rec WHERE rec_id % 9 <> 0", *X.REC_VIEWS))
 def attach_embeddings(spark, sf_dir):
     recs = X.recordings(spark, sf_dir).drop("vector")

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from steadyhum.functions.ranking import HASH_MODULUS, seeded_hash
 from steadyhum.operators import pairs as PR
 from steadyhum.operators import projection as PJ
 from steadyhum.operators import training as TR
@@ -165,3 +166,22 @@ def test_production_head_dimensions(spark):
     row = PJ.project(df, head).first()
     assert len(row["embedding"]) == 256 and np.linalg.norm(row["embedding"]) == pytest.approx(1.0)
     assert PJ.projection_violations(PJ.project(df.withColumn("k", F.lit(1)), head), ["k"], 128).first()["violation"] == "wrong dimension"
+
+
+def test_another_seed_gives_an_unrelated_order(spark):
+    ids = spark.range(10000)
+    picked = [
+        {r.id for r in ids.where(seeded_hash(F.col("id"), seed) < HASH_MODULUS // 5).collect()} for seed in (47, 48, 1047)
+    ]
+    for a in range(3):
+        assert 0.18 < len(picked[a]) / 10000 < 0.22
+        for b in range(a):
+            assert 0.15 < len(picked[a] & picked[b]) / len(picked[a]) < 0.25
+
+
+def test_a_table_of_two_models_is_not_merged(spark):
+    heads = [PJ.Head.initial((6, 4, 2), seed) for seed in (1, 2)]
+    table = PJ.weights_table(spark, heads[0], "a").union(PJ.weights_table(spark, heads[1], "b"))
+    assert np.array_equal(PJ.head_from_table(table, "b").w1, heads[1].w1)
+    with pytest.raises(ValueError, match="several models"):
+        PJ.head_from_table(table)

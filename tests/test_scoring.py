@@ -12,6 +12,7 @@ from steadyhum.operators import drift as D
 from steadyhum.operators import evaluate as E
 from steadyhum.operators import health as H
 from steadyhum.operators import profile as P
+from steadyhum.plans.report import health_report, report_violations
 
 SCHEMA = "machine_type string, machine_id string, label string, filename string, vector array<double>"
 
@@ -157,3 +158,18 @@ def test_pca_against_svd(recs):
     coords = E.pca_coordinates(recs).agg(F.var_pop("pc1"), F.var_pop("pc2"), F.avg("pc1")).first()
     np.testing.assert_allclose(coords[:2], s[:2] / len(x), rtol=1e-9)
     assert abs(coords[2]) < 1e-9
+
+
+def test_null_elements_and_mixed_lengths_become_violations(spark):
+    rows = [("fan", "id_00", "normal", f"{i}.wav", [1.0 + i, 2.0]) for i in range(6)]
+    rows += [("fan", "id_00", "normal", "short.wav", [1.0]), ("fan", "id_00", "normal", "null.wav", [1.0, None])]
+    rows += [("fan", "id_09", "abnormal", "alone.wav", [1.0, 2.0]), ("fan", "id_00", "normal", "none.wav", None)]
+    recs = spark.createDataFrame(rows, "machine_type string, machine_id string, label string, filename string, vector array<double>")
+    members = recs.where("label = 'normal'")
+    scored = {r.filename for r in health_report(recs, members).collect()}
+    listed = {r.filename: r.violation for r in report_violations(recs, members, ["filename"]).collect()}
+    assert listed == {
+        "short.wav": "length differs from the profile", "null.wav": "null values",
+        "alone.wav": "no profile", "none.wav": "empty vector",
+    }
+    assert scored == {f"{i}.wav" for i in range(6)}

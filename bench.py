@@ -12,6 +12,7 @@ import time
 
 from pyspark.sql import SparkSession
 
+from steadyhum.functions.scale import clear
 from steadyhum.plans import QUERIES
 
 HEADLINE = [
@@ -67,6 +68,7 @@ def main() -> None:
         start = time.perf_counter()
         run(QUERIES[name](spark, sf_dir))
         seconds[name] = round(time.perf_counter() - start, 3)
+        clear(spark)
     spark.stop()
     print(
         json.dumps(

@@ -2,8 +2,8 @@
 
 Every task folds its Arrow batches into one partial (count, mean, squared deviations, min,
 max) per key; partials meet per share of the tasks and then per key. A key with any number of
-rows therefore never sends more than one small row per task, and no merge step sees more
-than a share of the tasks.
+rows therefore sends one small row per task, or, where a task meets more than ``KEYS_HELD``
+keys, one whenever the task has collected that many.
 """
 
 from __future__ import annotations

@@ -25,7 +25,8 @@ def seeded_hash(key: Column, seed: int) -> Column:
 
 
 def default_buckets(df: DataFrame) -> int:
-    return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """As many as shuffle partitions, between 16 and 256."""
+    return min(256, max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def hash_bucket(h: Column, buckets: int) -> Column:
@@ -43,8 +44,16 @@ def quantile_bucket(df: DataFrame, column: str, buckets: int | None = None) -> C
     bounds = sorted(set(marks))
     if not bounds:
         return F.lit(0)
-    literals = F.array(*[F.lit(float(b)) for b in bounds])
-    return F.size(F.filter(literals, lambda b: b <= F.col(column).cast("double")))
+    value = F.col(column).cast("double")
+
+    def search(low: int, high: int) -> Column:
+        """How many bounds are at most the value, known to lie in [low, high]: a binary search."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value < F.lit(float(bounds[middle])), search(low, middle)).otherwise(search(middle + 1, high))
+
+    return F.when(value.isNull(), 0).otherwise(search(0, len(bounds)))
 
 
 def bucket_offsets(

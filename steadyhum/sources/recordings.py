@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +33,15 @@ def scan_files(
 
 
 def relative_path(path: Column, root: str) -> Column:
-    """Path below ``root``, or null when ``path`` is not below it."""
-    base = root.rstrip("/") + "/"
+    """Path below ``root``, or null when ``path`` is not below it.
+
+    ``root`` may be a URI, a local path or relative to the working folder; ``.`` and ``..`` are resolved.
+    """
+    scheme, rest = re.match(r"([a-z][a-z0-9+.-]*:(?://[^/]*)?)?(.*)", root, re.S).groups()
+    if scheme is None or scheme.startswith("file:"):
+        scheme, rest = "", os.path.abspath(rest)
+    base = scheme + "/" + os.path.normpath("/" + rest.lstrip("/")).strip("/") + "/"
+    base = base.replace("//", "/") if not scheme else base
     local = F.regexp_replace(path, "^file:/+", "/")
     return F.when(F.startswith(local, F.lit(base)), F.substr(local, F.lit(len(base) + 1)))
 

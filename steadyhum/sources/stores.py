@@ -57,7 +57,7 @@ def contract_violations(
     ``required`` maps field name to Spark type. ``same_length`` names two array fields
     (such as names and vector) that must agree in length.
     """
-    schema = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in required.items()])
+    schema = ", ".join(f"`{n}` {t}" for n, t in required.items())
     doc = F.from_json(F.col(json_column), schema)
     checks: list[Column] = [
         F.when(doc[n].isNull(), F.concat(F.lit("missing "), F.lit(n))) for n in required

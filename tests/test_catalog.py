@@ -103,3 +103,12 @@ def test_store_grows_once(spark, tmp_path):
 def test_required_columns(spark):
     with pytest.raises(ValueError, match="label"):
         S.require_columns(spark.range(1), ["id", "label"])
+
+
+@pytest.mark.parametrize("root", ["/data/x", "/data/x/", "file:///data/x", "file:/data/x", "../data/x", "s3a://bucket/x"])
+def test_roots_as_paths_and_uris(spark, monkeypatch, root):
+    monkeypatch.chdir("/tmp")
+    listed = "s3a://bucket/x/fan/a.wav" if root.startswith("s3a") else "file:///data/x/fan/a.wav"
+    df = spark.createDataFrame([(listed,), ("file:///data/xy/fan/a.wav",)], "path string")
+    got = df.select(R.relative_path(F.col("path"), root).alias("r")).collect()
+    assert [r.r for r in got] == ["fan/a.wav", None]

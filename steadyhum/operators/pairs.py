@@ -141,11 +141,11 @@ def split_validation(positives: DataFrame, share: float = 0.2, seed: int = 42) -
     return ranked.withColumn("is_validation", F.col("position") <= n_val).drop("position", "n_pairs")
 
 
-def split_violations(positives: DataFrame, share: float = 0.2) -> DataFrame:
-    """Why a set of positive pairs cannot be trained on; empty if it can."""
+def split_violations(positives: DataFrame, share: float = 0.2, keys: list[str] | None = None) -> DataFrame:
+    """Why a set of positive pairs, or the set of each of ``keys``, cannot be trained on; empty if it can."""
     n = F.col("n_positive")
     left = n - F.greatest(F.lit(1), F.floor(n * share))
-    counted = positives.agg(F.count(F.lit(1)).alias("n_positive"))
+    counted = positives.groupBy(*(keys or [])).agg(F.count(F.lit(1)).alias("n_positive"))
     reason = F.when(n < 2, "fewer than two positive pairs").when(left < 2, "fewer than two training pairs")
     return counted.withColumn("violation", reason).where(F.col("violation").isNotNull())
 

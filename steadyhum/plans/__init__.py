@@ -3,6 +3,7 @@
 from . import (  # noqa: F401
     catalog_queries,
     evaluation_queries,
+    flagship_queries,
     fusion_queries,
     health_queries,
     pair_queries,

@@ -98,15 +98,14 @@ def validation_split(spark, sf_dir):
     "split_violations",
     "K4",
     X.sql(
-        """SELECT n AS n_positive, CASE WHEN n < 2 THEN 'fewer than two positive pairs' ELSE 'fewer than two training pairs' END AS violation
-FROM (SELECT count(*) AS n FROM positive WHERE anchor_id < (SELECT min(anchor_id) FROM positive) + 2) t WHERE n < 3""",
-        *POSITIVE_VIEWS,
+        """SELECT customer, n AS n_positive, CASE WHEN n < 2 THEN 'fewer than two positive pairs' ELSE 'fewer than two training pairs' END AS violation
+FROM (SELECT o_custkey AS customer, count(*) AS n FROM orders GROUP BY o_custkey) t WHERE n < 3""",
     ),
 )
 def split_violations(spark, sf_dir):
-    pairs = positive_pairs(spark, sf_dir)
-    first = materialize(pairs, "positives")
-    return PR.split_violations(first.where(F.col("anchor_id") < first.agg(F.min("anchor_id")).scalar() + 2))
+    """Orders as pairs, one set per customer; some customers have too few."""
+    pairs = X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("anchor_id"), F.col("o_custkey").alias("customer"))
+    return PR.split_violations(pairs, keys=["customer"])
 
 
 BATCH_SQL = f"""batched AS (
@@ -132,21 +131,29 @@ def rational_head(dims=(64, 32, 16)) -> PJ.Head:
         j, i = np.arange(units)[:, None], np.arange(inputs)[None, :]
         return ((i * 31 + j * 17) % 101 - 50) / 500.0
 
-    return PJ.Head(layer(h, d), np.zeros(h), layer(o, h), np.zeros(o))
+    def bias(units: int) -> np.ndarray:
+        return (np.arange(units) * 13 % 29 - 14) / 100.0
 
+    return PJ.Head(layer(h, d), bias(h), layer(o, h), bias(o))
 
-def layer_sql(name: str, source: str, inputs: int, units: int, outer: str = "{s}") -> str:
-    dot = outer.format(s="sum(x.v * (((x.i * 31 + u.j * 17) % 101) - 50) / 500.0)")
+
+WEIGHT_SQL = "(((x.i * 31 + u.j * 17) % 101) - 50) / 500.0"
+BIAS_SQL = "CAST(u.j * 13 % 29 - 14 AS DOUBLE) / 100"
+
+
+def layer_sql(name: str, source: str, units: int, outer: str = "{s}") -> str:
+    dot = outer.format(s=f"(sum(x.v * {WEIGHT_SQL}) + {BIAS_SQL})")
     return f"""{name} AS (
   SELECT x.rec_id, u.j AS i, {dot} AS v FROM {source} x, (SELECT unnest(range({units})) AS j) u GROUP BY x.rec_id, u.j)"""
 
 
+PROJECTED_SQL = """projected AS (
+  SELECT rec_id, CAST(i AS INTEGER) AS i, v / greatest(sqrt(sum(v * v) OVER (PARTITION BY rec_id)), 1e-12) AS v FROM outer_layer)"""
 PROJECT_VIEWS = (
     *X.DIM_VIEWS,
-    layer_sql("hidden", "dim", 64, 32, "greatest(0.0, {s})"),
-    layer_sql("outer_layer", "hidden", 32, 16),
-    """projected AS (
-  SELECT rec_id, CAST(i AS INTEGER) AS i, v / greatest(sqrt(sum(v * v) OVER (PARTITION BY rec_id)), 1e-12) AS v FROM outer_layer)""",
+    layer_sql("hidden", "dim", 32, "greatest(0.0, {s})"),
+    layer_sql("outer_layer", "hidden", 16),
+    PROJECTED_SQL,
 )
 
 

@@ -105,6 +105,8 @@ def extend_store(recordings: DataFrame, path: str, compute, schema: T.StructType
     except AnalysisException:
         store = spark.createDataFrame([], schema)
     fresh = compute(store_misses(recordings, store)).select(*schema.names)
+    # few files per machine, and several tasks for a machine with most of the recordings
+    fresh = fresh.hint("rebalance", "machine_type", "machine_id")
     fresh.write.mode("append").partitionBy("machine_type", "machine_id").parquet(path)
     grown = spark.read.schema(schema).parquet(path)
     return grown.join(with_store_key(recordings).select(*STORE_KEY), STORE_KEY, "left_semi")

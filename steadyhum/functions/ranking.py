@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scale import materialize
+
 HASH_MODULUS = 2147483647
+THINNED_ROWS = 1000  # up to here Spark limits groups before the shuffle, and one task holds salts times as many rows
 
 
 def seeded_hash(key: Column, seed: int) -> Column:
@@ -56,6 +59,16 @@ def quantile_bucket(df: DataFrame, column: str, buckets: int | None = None) -> C
     return F.when(value.isNull(), 0).otherwise(search(0, len(bounds)))
 
 
+def in_ordered_buckets(df: DataFrame, order: list[Column], buckets: int | None = None) -> DataFrame:
+    """``df`` written in ranges of any sortable columns, with the range as ``_bucket``.
+
+    Rows of equal order share a bucket. The table is written because sampled bounds differ
+    from one evaluation to the next.
+    """
+    n = buckets or default_buckets(df)
+    return materialize(df.repartitionByRange(n, *order).withColumn("_bucket", F.spark_partition_id()), "ordered")
+
+
 def bucket_offsets(
     df: DataFrame,
     keys: list[str],
@@ -103,7 +116,14 @@ def first_n(
     position: str = "position",
     salts: int = 16,
 ) -> DataFrame:
-    """First ``n`` rows per group, thinned inside salted sub-groups before the group meets."""
+    """First ``n`` rows per group.
+
+    A small ``n`` is thinned inside salted sub-groups before the group meets; for a large one
+    rows are numbered in ordered buckets, so that no task ever holds ``n`` rows of a group.
+    """
+    if n > THINNED_ROWS:
+        ranges = in_ordered_buckets(df, order)
+        return number_rows(ranges, keys, order, F.col("_bucket"), position).where(F.col(position) <= n)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)))
     thin = W.partitionBy(*keys, "_salt").orderBy(*order)
     thinned = salted.withColumn("_r", F.row_number().over(thin)).where(F.col("_r") <= n)

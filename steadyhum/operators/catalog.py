@@ -34,11 +34,11 @@ def machine_ids(recs: DataFrame, machine_type: str | None = None) -> DataFrame:
 
 
 def summary(recs: DataFrame) -> DataFrame:
-    """One row: machine types, machine ids, recordings by label."""
+    """One row: numbers of machine types and ids, recordings by label; the names themselves are
+    the tables ``machine_types`` and ``machine_ids``."""
     return recs.agg(
-        F.size(F.collect_set("machine_type")).cast("bigint").alias("n_machine_types"),
-        F.array_join(F.sort_array(F.collect_set("machine_type")), ",").alias("machine_types"),
-        F.array_join(F.sort_array(F.collect_set("machine_id")), ",").alias("machine_ids"),
+        F.count_distinct("machine_type").alias("n_machine_types"),
+        F.count_distinct("machine_id").alias("n_machine_ids"),
         F.count_if(F.col("label") == "normal").alias("n_normal"),
         F.count_if(F.col("label") == "abnormal").alias("n_abnormal"),
         F.count(F.lit(1)).alias("n_total"),

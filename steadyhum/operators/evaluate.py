@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.ranking import bucket_offsets, first_n, number_rows, quantile_bucket
+from ..functions.ranking import bucket_offsets, first_n, in_ordered_buckets, number_rows, quantile_bucket
 from ..functions.scale import bounded_join, materialize
 from ..functions.vectors import as_double
 from .catalog import MACHINE
@@ -217,17 +217,15 @@ def roc_curve(scored: DataFrame, score: str = "anomaly_score", keys: list[str] |
     """
     keys = keys or []
     counts = both_classes(_score_counts(scored, score, keys))
-    points = counts.select(
-        *keys,
-        "threshold",
+    point = F.struct(
+        F.col("threshold").cast("double").alias("threshold"),
         ((F.col("neg_before") + F.col("neg")) / F.col("neg_total")).alias("fpr"),
         ((F.col("pos_before") + F.col("pos")) / F.col("pos_total")).alias("tpr"),
     )
+    start = F.struct(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     first = (F.col("pos_before") == 0) & (F.col("neg_before") == 0)
-    start = counts.where(first).select(
-        *keys, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
-    )
-    return start.unionByName(points)
+    points = F.when(first, F.array(start, point)).otherwise(F.array(point))
+    return counts.select(*keys, F.explode(points).alias("_p")).select(*keys, "_p.*")
 
 
 def roc_auc(scored: DataFrame, score: str = "anomaly_score", keys: list[str] | None = None) -> DataFrame:
@@ -274,9 +272,9 @@ def explained_variance(embedded: DataFrame, vector: str = "vector", k: int = 2)
 
 
 def trend_series(scored: DataFrame, value: str, order: str, keys: list[str] = MACHINE) -> DataFrame:
-    """(machine, 0-based recording index, value) in recording order."""
-    bucket = quantile_bucket(scored, order)
-    numbered = number_rows(scored.select(*keys, order, value), keys, [F.col(order)], bucket, "_n")
+    """(machine, 0-based recording index, value) in recording order; ``order`` may be a number, a time or a path."""
+    ranges = in_ordered_buckets(scored.select(*keys, order, value), [F.col(order)])
+    numbered = number_rows(ranges, keys, [F.col(order)], F.col("_bucket"), "_n")
     return numbered.select(
         *keys, (F.col("_n") - 1).alias("recording_index"), F.col(order), F.col(value).alias("value")
     )

@@ -164,10 +164,10 @@ def batches(pairs: DataFrame, batch_size: int, seed: int) -> DataFrame:
 
 
 def pair_summary(normal: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row: machine types, machine ids, recordings, pairs by class, balanced pairs."""
+    """One row: numbers of machine types, machine ids and recordings, pairs by class, balanced pairs."""
     catalogued = normal.agg(
-        F.array_join(F.sort_array(F.collect_set("machine_type")), ",").alias("machine_types"),
-        F.array_join(F.sort_array(F.collect_set("machine_id")), ",").alias("machine_ids"),
+        F.count_distinct("machine_type").alias("n_machine_types"),
+        F.count_distinct("machine_id").alias("n_machine_ids"),
         F.count(F.lit(1)).alias("n_recordings"),
     )
     counted = pair_counts(pairs).select("n_positive", "n_negative", (2 * F.col("n_per_class")).alias("n_balanced"))

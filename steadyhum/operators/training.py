@@ -2,7 +2,9 @@
 
 A step is a set of mini-batches. Executors compute one gradient per batch, Spark sums the
 gradients block by block, and the driver, which only ever holds the model, applies Adam and
-broadcasts the new weights. One batch per step gives plain sequential mini-batch training.
+broadcasts the new weights. One batch per step gives plain sequential mini-batch training; an
+epoch takes at most ``max_steps`` steps, so with more batches than that a step holds several.
+Pairs stay keys until their batch is known; vectors are joined once per epoch.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ class TrainingConfig:
     validation_share: float = 0.2
     seed: int = 42
     batches_per_step: int = 1
+    max_steps: int = 1000
     gradient_blocks: int = 16
 
 
@@ -84,8 +87,8 @@ def _shaped(flat: np.ndarray, head: Head) -> list[np.ndarray]:
     return shaped
 
 
-def step_gradient(batched: DataFrame, head: Head, config: TrainingConfig) -> tuple[list[np.ndarray], list[float]]:
-    """Mean gradient and the losses of the batches in ``batched`` (batch, batch_position, a, b).
+def step_gradient(batched: DataFrame, head: Head, config: TrainingConfig) -> tuple[list[np.ndarray], float, int]:
+    """Mean gradient, mean loss and number of the batches in ``batched`` (batch, batch_position, a, b).
 
     Gradients are summed per block on the executors, so the reduction is spread and only one
     gradient of model size reaches the driver.
@@ -110,11 +113,12 @@ def step_gradient(batched: DataFrame, head: Head, config: TrainingConfig) -> tup
     per_batch = batched.groupBy("batch").applyInPandas(run, GRADIENT_SCHEMA)
     summed = per_batch.groupBy("block").agg(
         Summarizer.mean(array_to_vector("gradient")).alias("g"),
-        F.collect_list(F.when(F.col("block") == 0, F.col("loss"))).alias("losses"),
+        F.avg("loss").alias("loss"),
+        F.count(F.lit(1)).alias("n"),
     )
-    rows = sorted(summed.select("block", vector_to_array("g").alias("g"), "losses").collect())
+    rows = sorted(summed.select("block", vector_to_array("g").alias("g"), "loss", "n").collect())
     flat = np.concatenate([np.asarray(r["g"]) for r in rows])
-    return _shaped(flat, head), list(rows[0]["losses"])
+    return _shaped(flat, head), rows[0]["loss"], rows[0]["n"]
 
 
 def mean_loss(batched: DataFrame, head: Head, config: TrainingConfig) -> float:
@@ -138,14 +142,22 @@ def with_vectors(pairs: DataFrame, vectors: DataFrame, key: str = "rec_id", vect
     return pairs.join(a, "anchor_id").join(b, "paired_id")
 
 
-def epoch_steps(train: DataFrame, config: TrainingConfig, epoch: int) -> tuple[DataFrame, int]:
-    """The epoch's batches written by step, so that a step reads its own folder only."""
-    batched = batches(train, config.batch_size, config.seed + 100 + epoch)
-    step = F.floor(F.col("batch") / config.batches_per_step).cast("int")
-    arranged = batched.select("batch", "batch_position", "a", "b", step.alias("step"))
-    stored = materialize(arranged, f"epoch_{epoch}", partition_by="step")
-    last = stored.agg(F.max("step")).first()[0]
-    return stored, 0 if last is None else last + 1
+def epoch_steps(
+    train: DataFrame, vectors: DataFrame, config: TrainingConfig, epoch: int
+) -> tuple[DataFrame, int]:
+    """The epoch's batches with their vectors, written in step order, and the number of steps.
+
+    Files hold ranges of steps, so the filter of a step skips nearly all of them by their statistics.
+    """
+    keys = batches(train, config.batch_size, config.seed + 100 + epoch)
+    keys = materialize(keys.select("anchor_id", "paired_id", "batch", "batch_position"), f"batches_{epoch}")
+    last = keys.agg(F.max("batch")).first()[0]
+    n_batches = 0 if last is None else last + 1
+    per_step = max(config.batches_per_step, math.ceil(n_batches / config.max_steps))
+    step = F.floor(F.col("batch") / per_step).cast("int")
+    joined = with_vectors(keys.withColumn("step", step), vectors)
+    arranged = joined.select("step", "batch", "batch_position", "a", "b").repartitionByRange("step").sortWithinPartitions("step")
+    return materialize(arranged, f"epoch_{epoch}"), math.ceil(n_batches / per_step)
 
 
 def fit(positives: DataFrame, vectors: DataFrame, config: TrainingConfig | None = None, head: Head | None = None):
@@ -158,22 +170,20 @@ def fit(positives: DataFrame, vectors: DataFrame, config: TrainingConfig | None
     problem = split_violations(positives, c.validation_share).first()
     if problem:
         raise ValueError(problem["violation"])
-    split = materialize(
-        with_vectors(split_validation(positives, c.validation_share, c.seed), vectors), "training_pairs"
-    )
+    split = materialize(split_validation(positives, c.validation_share, c.seed), "training_pairs")
     train, held = split.where(~F.col("is_validation")), split.where("is_validation")
-    validation = materialize(batches(held, c.batch_size, c.seed + 6), "validation_pairs")
-    model = head or Head.initial((len(split.select("a").first()[0]), c.hidden, c.output), c.seed)
+    validation = materialize(with_vectors(batches(held, c.batch_size, c.seed + 6), vectors), "validation_pairs")
+    model = head or Head.initial((len(vectors.select("vector").first()[0]), c.hidden, c.output), c.seed)
     adam, best, history = Adam(model, c.learning_rate), None, []
     for epoch in range(1, c.epochs + 1):
-        stored, n_steps = epoch_steps(train, c, epoch)
-        losses: list[float] = []
+        stored, n_steps = epoch_steps(train, vectors, c, epoch)
+        total, seen = 0.0, 0
         for step in range(n_steps):
-            grads, step_losses = step_gradient(stored.where(F.col("step") == step), model, c)
+            grads, loss, n = step_gradient(stored.where(F.col("step") == step), model, c)
             model = adam.step(model, grads)
-            losses += step_losses
+            total, seen = total + loss * n, seen + n
         val = mean_loss(validation, model, c)
-        history.append((epoch, float(np.mean(losses)) if losses else 0.0, val))
+        history.append((epoch, total / seen if seen else 0.0, val))
         if val < (best.validation_loss if best else math.inf):
             settings = {"temperature": c.temperature, "batch_size": c.batch_size, "learning_rate": c.learning_rate}
             best = Checkpoint(model, epoch, val, adam.state(), settings)

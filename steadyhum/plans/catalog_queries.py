@@ -28,6 +28,40 @@ def scan_files(spark, sf_dir):
     return files.select(R.relative_path(F.col("path"), sf_dir).alias("filename"))
 
 
+@query(
+    "scan_written_files",
+    "S1",
+    X.sql("SELECT DISTINCT concat('machine_type=', machine_type, '/machine_id=', machine_id) AS folder FROM rec", *X.REC_VIEWS),
+)
+def scan_written_files(spark, sf_dir):
+    """The folders of a scan over recordings that were saved one folder per machine."""
+    path = fresh_path(spark, "by_machine")
+    S.save_table(X.recordings(spark, sf_dir), path)
+    files = R.scan_files(spark, path, extension=".parquet")
+    folder = F.regexp_replace(R.relative_path(F.col("path"), path), "/[^/]*$", "")
+    return files.select(folder.alias("folder")).distinct()
+
+
+@query(
+    "manifest_files",
+    "S1",
+    X.sql(
+        """SELECT rec_id, relative_path FROM path_fx WHERE rec_id % 7 <> 0 AND rec_id % 23 <> 0""",
+        *X.PATH_VIEWS,
+    ),
+)
+def manifest_files(spark, sf_dir):
+    """The scan from an inventory table in which some files are of another kind or elsewhere."""
+    rid, inside = F.col("rec_id"), F.concat(F.lit("s3a://plant/audio/"), F.col("relative_path"))
+    path = (
+        F.when(rid % 7 == 0, F.concat(inside, F.lit(".txt")))
+        .when(rid % 23 == 0, F.concat(F.lit("s3a://plant/audio2/"), F.col("relative_path")))
+        .otherwise(inside)
+    )
+    manifest = X.paths(spark, sf_dir).select("rec_id", path.alias("path"))
+    return R.listed_files(manifest, "s3a://plant/audio").select("rec_id", "relative_path")
+
+
 def parsed(spark, sf_dir):
     return R.parse_paths(X.paths(spark, sf_dir))
 
@@ -108,8 +142,7 @@ def machine_ids(spark, sf_dir):
     "catalog_summary",
     "C3",
     X.sql(
-        """SELECT count(DISTINCT machine_type) AS n_machine_types, string_agg(DISTINCT machine_type, ',' ORDER BY machine_type) AS machine_types,
-       string_agg(DISTINCT machine_id, ',' ORDER BY machine_id) AS machine_ids,
+        """SELECT count(DISTINCT machine_type) AS n_machine_types, count(DISTINCT machine_id) AS n_machine_ids,
        count(*) FILTER (label = 'normal') AS n_normal, count(*) FILTER (label = 'abnormal') AS n_abnormal, count(*) AS n_total
 FROM rec""",
         *X.REC_VIEWS,

@@ -267,13 +267,57 @@ def roc_auc_by_machine(spark, sf_dir):
     return rounded(E.roc_auc(E.predict(X.scores(spark, sf_dir)), keys=["machine_id"]), "auc", digits=9)
 
 
-@query("pca_coordinates", "E15")
+def principal_axis_sql(k: int, matrix: str, squarings: int = 16) -> list[str]:
+    """The leading axis of ``matrix`` by repeated squaring, and the matrix without it."""
+    first = f"m{k}_0 AS MATERIALIZED (SELECT i, j, c / max(abs(c)) OVER () AS c FROM {matrix})"
+    squares = [
+        f"""m{k}_{t} AS MATERIALIZED (SELECT i, j, c / max(abs(c)) OVER () AS c FROM (
+  SELECT a.i, b.j, sum(a.c * b.c) AS c FROM m{k}_{t - 1} a JOIN m{k}_{t - 1} b ON a.j = b.i GROUP BY a.i, b.j) t)"""
+        for t in range(1, squarings + 1)
+    ]
+    last = f"m{k}_{squarings}"
+    axis = f"""axis{k} AS MATERIALIZED (
+  SELECT i, a / sqrt(sum(a * a) OVER ()) * sign(max_by(a, abs(a)) OVER ()) AS a
+  FROM (SELECT i, c AS a FROM {last} WHERE j = (SELECT i FROM {last} WHERE i = j ORDER BY c DESC, i LIMIT 1)) t)"""
+    size = f"size{k} AS MATERIALIZED (SELECT sum(x.a * m.c * y.a) AS l FROM {matrix} m JOIN axis{k} x ON x.i = m.i JOIN axis{k} y ON y.i = m.j)"
+    rest = f"""rest{k} AS MATERIALIZED (
+  SELECT m.i, m.j, m.c - l * x.a * y.a AS c FROM {matrix} m JOIN axis{k} x ON x.i = m.i JOIN axis{k} y ON y.i = m.j, size{k})"""
+    return [first, *squares, axis, size, rest]
+
+
+PCA_VIEWS = (
+    *X.DIM_VIEWS,
+    "centred AS MATERIALIZED (SELECT rec_id, label, i, v - avg(v) OVER (PARTITION BY i) AS v FROM dim)",
+    """cov AS MATERIALIZED (
+  SELECT a.i, b.i AS j, sum(a.v * b.v) / (count(*) - 1) AS c FROM centred a JOIN centred b USING (rec_id) GROUP BY a.i, b.i)""",
+    *principal_axis_sql(1, "cov"),
+    *principal_axis_sql(2, "rest1"),
+)
+
+
+@query(
+    "pca_coordinates",
+    "E15",
+    X.sql(
+        """SELECT rec_id, label, round(sum(v * axis1.a), 6) + 0.0 AS pc1, round(sum(v * axis2.a), 6) + 0.0 AS pc2
+FROM centred JOIN axis1 USING (i) JOIN axis2 USING (i) GROUP BY rec_id, label""",
+        *PCA_VIEWS,
+    ),
+)
 def pca_coordinates(spark, sf_dir):
     recs = X.recordings(spark, sf_dir)
     return rounded(E.pca_coordinates(recs).select("rec_id", "label", "pc1", "pc2"), "pc1", "pc2")
 
 
-@query("pca_explained_variance", "E15")
+@query(
+    "pca_explained_variance",
+    "E15",
+    X.sql(
+        """SELECT component, round(l / (SELECT sum(c) FROM cov WHERE i = j), 6) + 0.0 AS explained_variance_ratio
+FROM (SELECT 1 AS component, l FROM size1 UNION ALL SELECT 2, l FROM size2) t""",
+        *PCA_VIEWS,
+    ),
+)
 def pca_explained_variance(spark, sf_dir):
     return rounded(E.explained_variance(X.recordings(spark, sf_dir)), "explained_variance_ratio")
 

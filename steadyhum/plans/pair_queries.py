@@ -10,7 +10,7 @@ from ..functions.vectors import unit
 from ..operators import pairs as PR
 from ..operators import projection as PJ
 from ..operators.profile import build_profile
-from ..operators.training import TrainingConfig, fit
+from ..operators.training import TrainingConfig, fit, step_gradient, with_vectors
 from . import views as X
 from .catalog_queries import round_trip_summary
 from .registry import query, rounded
@@ -197,12 +197,13 @@ def paired_units(spark, sf_dir):
     return batched(spark, sf_dir).join(a, "anchor_id").join(b, "paired_id")
 
 
+MEMBER_SQL = """member AS (
+  SELECT batch, batch_position AS p, 0 AS side, anchor_id AS rec_id FROM batched
+  UNION ALL SELECT batch, batch_position, 1, paired_id FROM batched)"""
 LOSS_VIEWS = (
     *X.DIM_VIEWS, INDEX_SQL, POSITIVE_SQL, BATCH_SQL,
     "units AS (SELECT rec_id, i, v / sqrt(sum(v * v) OVER (PARTITION BY rec_id)) AS v FROM dim)",
-    """member AS (
-  SELECT batch, batch_position AS p, 0 AS side, anchor_id AS rec_id FROM batched
-  UNION ALL SELECT batch, batch_position, 1, paired_id FROM batched)""",
+    MEMBER_SQL,
     """sim AS (
   SELECT a.batch, a.p, a.side, b.p AS p2, b.side AS side2, sum(x.v * y.v) / 0.1 AS s
   FROM member a JOIN member b ON a.batch = b.batch AND (a.p <> b.p OR a.side <> b.side)
@@ -258,6 +259,61 @@ def training_history(spark, sf_dir):
     return history
 
 
+STEP_VIEWS = (
+    *PROJECT_VIEWS, INDEX_SQL, POSITIVE_SQL, BATCH_SQL, MEMBER_SQL,
+    """near AS (
+  SELECT a.batch, a.p, a.side, b.p AS p2, b.side AS side2, sum(x.v * y.v) / 0.1 AS s
+  FROM member a JOIN member b ON a.batch = b.batch AND (a.p <> b.p OR a.side <> b.side)
+  JOIN projected x ON x.rec_id = a.rec_id JOIN projected y ON y.rec_id = b.rec_id AND y.i = x.i
+  GROUP BY a.batch, a.p, a.side, b.p, b.side)""",
+    """soft AS (
+  SELECT *, exp(s - m) / sum(exp(s - m)) OVER (PARTITION BY batch, p, side) AS q, 1 + count(*) OVER (PARTITION BY batch, p, side) AS n2
+  FROM (SELECT *, max(s) OVER (PARTITION BY batch, p, side) AS m FROM near) t)""",
+    "pull AS (SELECT batch, p, side, p2, side2, (q - CASE WHEN p = p2 THEN 1 ELSE 0 END) / n2 AS g FROM soft)",
+    """d_unit AS (
+  SELECT a.batch, a.p, a.side, z.i, sum((a.g + b.g) * z.v) / 0.1 AS v
+  FROM pull a JOIN pull b ON b.batch = a.batch AND b.p = a.p2 AND b.side = a.side2 AND b.p2 = a.p AND b.side2 = a.side
+  JOIN member m ON m.batch = a.batch AND m.p = a.p2 AND m.side = a.side2 JOIN projected z ON z.rec_id = m.rec_id
+  GROUP BY a.batch, a.p, a.side, z.i)""",
+    """d_out AS (
+  SELECT d.batch, d.p, d.side, m.rec_id, d.i, (d.v - sum(d.v * z.v) OVER (PARTITION BY d.batch, d.p, d.side) * z.v) / r.l AS v
+  FROM d_unit d JOIN member m USING (batch, p, side) JOIN projected z ON z.rec_id = m.rec_id AND z.i = d.i
+  JOIN (SELECT rec_id, sqrt(sum(v * v)) AS l FROM outer_layer GROUP BY rec_id) r ON r.rec_id = m.rec_id)""",
+    """d_hidden AS (
+  SELECT d.batch, d.p, d.side, d.rec_id, x.i, sum(d.v * ((((x.i * 31 + d.i * 17) % 101) - 50) / 500.0)) AS v
+  FROM d_out d JOIN hidden x ON x.rec_id = d.rec_id WHERE x.v > 0 GROUP BY d.batch, d.p, d.side, d.rec_id, x.i)""",
+    "n_batch AS (SELECT count(DISTINCT batch) AS nb FROM batched)",
+    """slope AS (
+  SELECT 1 AS layer, d.i AS unit, x.i + 1 AS position, sum(d.v * x.v) AS g FROM d_hidden d JOIN dim x ON x.rec_id = d.rec_id GROUP BY d.i, x.i
+  UNION ALL SELECT 1, i, 0, sum(v) FROM d_hidden GROUP BY i
+  UNION ALL SELECT 2, d.i, x.i + 1, sum(d.v * x.v) FROM d_out d JOIN hidden x ON x.rec_id = d.rec_id GROUP BY d.i, x.i
+  UNION ALL SELECT 2, i, 0, sum(v) FROM d_out GROUP BY i)""",
+    """place AS (
+  SELECT 1 AS layer, u.j AS unit, q.position FROM (SELECT unnest(range(32)) AS j) u, (SELECT unnest(range(65)) AS position) q
+  UNION ALL SELECT 2, u.j, q.position FROM (SELECT unnest(range(16)) AS j) u, (SELECT unnest(range(33)) AS position) q)""",
+)
+
+
+@query(
+    "training_step",
+    "K11",
+    X.sql(
+        """SELECT CAST(layer AS INTEGER) AS layer, CAST(unit AS INTEGER) AS unit, CAST(position AS INTEGER) AS position,
+       round(coalesce(g, 0) / nb, 6) + 0.0 AS gradient FROM place LEFT JOIN slope USING (layer, unit, position), n_batch
+UNION ALL SELECT 0, 0, 0, round(avg(l), 6) + 0.0 FROM (SELECT batch, -avg(ln(q)) FILTER (p = p2) AS l FROM soft GROUP BY batch) t""",
+        *STEP_VIEWS,
+    ),
+)
+def training_step(spark, sf_dir):
+    """Loss (layer 0) and gradient of one step over all batches; position 0 is a unit's bias."""
+    arranged = with_vectors(batched(spark, sf_dir), X.recordings(spark, sf_dir))
+    grads, loss, _ = step_gradient(arranged, rational_head(), SMALL_TRAINING)
+    units = PJ.weights_table(spark, PJ.Head(*grads), "gradient")
+    values = F.posexplode(F.concat(F.array("bias"), F.col("weights"))).alias("position", "gradient")
+    first = spark.createDataFrame([(0, 0, 0, loss)], "layer int, unit int, position int, gradient double")
+    return rounded(units.select("layer", "unit", values).unionByName(first), "gradient")
+
+
 HISTORY_SQL = """history AS (
   SELECT CAST(user_id % 12 + 1 AS INTEGER) AS epoch, avg(value) AS training_loss,
          CAST(round(avg(value) FILTER (event_type = 'error') / 20) AS DOUBLE) AS validation_loss
@@ -309,8 +365,8 @@ def weights_round_trip(spark, sf_dir):
     "pair_summary",
     "K14",
     X.sql(
-        """SELECT (SELECT string_agg(DISTINCT machine_type, ',' ORDER BY machine_type) FROM normals) AS machine_types,
-       (SELECT string_agg(DISTINCT machine_id, ',' ORDER BY machine_id) FROM normals) AS machine_ids,
+        """SELECT (SELECT count(DISTINCT machine_type) FROM normals) AS n_machine_types,
+       (SELECT count(DISTINCT machine_id) FROM normals) AS n_machine_ids,
        (SELECT count(*) FROM normals) AS n_recordings, count(*) FILTER (label = 1) AS n_positive, count(*) FILTER (label = 0) AS n_negative,
        2 * least(count(*) FILTER (label = 1), count(*) FILTER (label = 0)) AS n_balanced FROM pairs""",
         *PAIR_VIEWS,

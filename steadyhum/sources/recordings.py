@@ -46,6 +46,15 @@ def relative_path(path: Column, root: str) -> Column:
     return F.when(F.startswith(local, F.lit(base)), F.substr(local, F.lit(len(base) + 1)))
 
 
+def listed_files(manifest: DataFrame, root: str, extension: str = ".wav", path: str = "path") -> DataFrame:
+    """The rows of a manifest below ``root`` with ``extension``, plus ``relative_path``.
+
+    For collections too large to list from the driver: an inventory table takes the place of the scan.
+    """
+    below = manifest.withColumn("relative_path", relative_path(F.col(path), root))
+    return below.where(F.col("relative_path").isNotNull() & F.endswith(F.col(path), F.lit(extension)))
+
+
 def parse_paths(files: DataFrame, path: str = "relative_path") -> DataFrame:
     """Add machine_type, machine_id, label, filename and ``reject_reason`` (null = accepted).
 

@@ -3,6 +3,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from steadyhum.functions.ranking import first_n, number_rows, quantile_bucket
+from steadyhum.operators.evaluate import trend_series
 from steadyhum.operators import catalog as C
 from steadyhum.sources import recordings as R
 from steadyhum.sources import stores as S
@@ -112,3 +113,24 @@ def test_roots_as_paths_and_uris(spark, monkeypatch, root):
     df = spark.createDataFrame([(listed,), ("file:///data/xy/fan/a.wav",)], "path string")
     got = df.select(R.relative_path(F.col("path"), root).alias("r")).collect()
     assert [r.r for r in got] == ["fan/a.wav", None]
+
+
+def test_first_rows_of_any_number_match_a_window(spark):
+    from pyspark.sql import Window as W
+
+    df = spark.range(20000).select(
+        "id", (F.col("id") % 3).alias("k"), F.lpad(F.pmod(F.xxhash64("id"), F.lit(5000)).cast("string"), 5, "0").alias("path")
+    )
+    order = [F.col("path"), F.col("id")]
+    direct = df.withColumn("p", F.row_number().over(W.partitionBy("k").orderBy(*order)))
+    for n in (3, 5000):
+        top = first_n(df, ["k"], order, n, [F.col("id")], "p").select("id", "k", "path", F.col("p").cast("int"))
+        wanted = direct.where(F.col("p") <= n)
+        assert top.count() == wanted.count() and top.exceptAll(wanted).count() == 0
+
+
+def test_trends_follow_paths(spark):
+    rows = [("fan", m, f"{m}/{i:03d}.wav", float(i)) for m in ("a", "b") for i in (5, 3, 9, 1)]
+    df = spark.createDataFrame(rows, "machine_type string, machine_id string, relative_path string, health_score double")
+    out = trend_series(df, "health_score", "relative_path").orderBy("machine_id", "recording_index").collect()
+    assert [(r["recording_index"], r["value"]) for r in out] == [(0, 1.0), (1, 3.0), (2, 5.0), (3, 9.0)] * 2

@@ -73,3 +73,30 @@ def test_no_cross_joins(spark, name):
 
 def test_pairs_carry_no_vectors(recs):
     assert "embedding:array" not in plan_of(PR.indexed(recs))
+
+
+def test_batches_are_formed_from_keys(spark, recs, monkeypatch):
+    from steadyhum.operators import training as TR
+
+    stored = []
+    monkeypatch.setattr(TR, "materialize", lambda df, name: stored.append((name, df)) or materialize(df, name))
+    positives = PR.build_pairs(recs.where("label = 'normal'").drop("vector")).where("label = 1")
+    config = TR.TrainingConfig(batch_size=16, max_steps=3)
+    arranged, steps = TR.epoch_steps(positives, recs, config, 1)
+    keys = plan_of(dict(stored)["batches_1"])
+    assert "embedding:array" not in keys and "Window" in keys
+    assert "Window" not in plan_of(dict(stored)["epoch_1"])
+    assert steps == 3 and arranged.select("step").distinct().count() == 3
+    assert "PushedFilters: [IsNotNull(step), EqualTo(step,1)]" in plan_of(arranged.where("step = 1"))
+
+
+def test_the_full_report_computes_features_once(spark, monkeypatch):
+    from steadyhum.plans import from_files as FF
+
+    calls = []
+    real = FF.dsp_vectors
+    monkeypatch.setattr(FF, "dsp_vectors", lambda *a: calls.append(1) or real(*a))
+    report = QUERIES["full_report"](spark, SF)
+    assert calls == [1]
+    plan = plan_of(report)
+    assert "samples" not in plan and "feature_vector" not in plan and "Exchange hashpartitioning" not in plan

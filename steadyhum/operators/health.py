@@ -12,6 +12,8 @@ STATE_THRESHOLDS = {"EXCELLENT": 90.0, "GOOD": 75.0, "WARNING": 50.0}
 WORST_STATE = "CRITICAL"
 NORM_FLOOR = 1e-8
 
+SCORE_DECIMALS = 9
+
 # Explanation rules (score_min, score_max, summary, possible_causes,
 # recommendation). Bounds are inclusive, the first match wins, the last rule also takes
 # everything out of range.
@@ -36,10 +38,14 @@ EXPLANATION_RULES = [
 
 
 def health_score(norm_euclidean: Column, healthy_norm: Column) -> Column:
-    """100 at zero drift, 50 at the healthy norm, 0 at twice the healthy norm."""
+    """100 at zero drift, 50 at the healthy norm, 0 at twice the healthy norm.
+
+    Kept to nine decimals: the two members of a machine both score 50, and the order of sums,
+    which differs from run to run, must not decide their state.
+    """
     scale = 2.0 * F.greatest(healthy_norm, F.lit(NORM_FLOOR))
     raw = 100.0 * (1.0 - norm_euclidean / scale)
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw))
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)), SCORE_DECIMALS)
 
 
 def health_state(score: Column, thresholds: dict[str, float] | None = None) -> Column:

@@ -83,7 +83,7 @@ HEALTH_SQL = """hn AS (
   FROM dr WHERE label = 'normal' GROUP BY machine_type, machine_id),
 health0 AS (
   SELECT dr.*, healthy_norm,
-         greatest(0.0, least(100.0, 100.0 * (1.0 - norm_euclidean_distance / (2.0 * greatest(healthy_norm, 1e-8))))) AS health_score
+         round(greatest(0.0, least(100.0, 100.0 * (1.0 - norm_euclidean_distance / (2.0 * greatest(healthy_norm, 1e-8))))), 9) AS health_score
   FROM dr JOIN hn USING (machine_type, machine_id)),
 health AS (
   SELECT *, printf('%.1f%%', health_score) AS health_percentage,

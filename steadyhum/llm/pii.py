@@ -5,12 +5,17 @@ expressions are the contract's, written so that each is linear in the text: a ma
 begin where its run of characters begins or where the last match ended, and runs are possessive.
 
 Bootstrapping then learns from the corpus itself. The values of the base spans are seeds. The
-two words before a value are its lexical pattern. Seeds and candidates (tokens of six or more
-letters, digits, ``_`` and ``-``, one a digit, outside the base spans) form a bipartite graph of
-patterns and values. A few rounds score it: a pattern's confidence in a kind is the share of its
-values that belong to it, a value's score is that of its best pattern. Candidates whose score
-reaches ``min_score`` under a pattern with ``min_support`` seeds or more become spans of kind
-``identifier``. Base spans are never changed by this.
+two words before a value are its lexical pattern, read from the text whatever was matched in it;
+a value that only punctuation separates from the one before belongs to a list and takes the
+pattern of the list. Seeds and candidates (tokens of six or more letters, digits, ``_`` and
+``-``, one a digit, outside the base spans) form a bipartite graph of patterns and values. A
+pattern's confidence in a kind is the share of its values that belong to it, a value's score is
+that of its best pattern, and a value whose score reaches ``min_score`` counts as a seed for all
+its other patterns, so patterns without base seeds can follow. Patterns with fewer than
+``min_support`` seeds of a kind tell nothing. The scores rise round by round to their fixed point
+(no confidence changes by more than ``CHANGE``, at most ``MAX_ROUNDS`` rounds). Candidates under
+a pattern whose confidence reaches ``min_score`` become spans of kind ``identifier``. Base spans
+are never changed by this.
 
 Everything is DataFrame expressions. Scanning is row-local; only pairs of context and value,
 combined map-side, and the rows of discovered spans are shuffled.
@@ -25,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scale import materialize
+from ..functions.scale import bounded_join, materialize
 from .common import texts, unused
 
 KINDS = ("email", "ip", "card", "phone", "identifier")
@@ -37,7 +42,8 @@ PATTERNS = {
 }
 CANDIDATE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{6,}+"
 BLOCK = 256
-ROUNDS = 3
+MAX_ROUNDS = 100
+CHANGE = 1e-6
 MIN_SCORE = 0.8
 MIN_SUPPORT = 5
 CONTEXT_CHARS = 64
@@ -83,65 +89,109 @@ def may_hold(kind: str, text: Column) -> Column:
 def located(gaps: Column, found: Column) -> Column:
     """Array of (start, end, value, before) from the texts between matches and the matches.
 
-    Positions are running sums, taken in blocks so that the work stays linear in the matches.
+    ``before`` is the end of the text before the match, with whatever was matched in it. Positions
+    are running sums, taken in blocks so that the work stays linear in the matches.
     """
     item = "array<struct<start:int,end:int,value:string,before:string>>"
-    sized = F.transform(
-        found,
-        lambda m, i: F.struct(
-            F.length(F.get(gaps, i)).alias("gap"),
-            F.length(m).alias("n"),
-            m.alias("value"),
-            F.right(F.get(gaps, i), F.lit(CONTEXT_CHARS)).alias("before"),
-        ),
-    )
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int")),
-        lambda b: F.slice(sized, b * BLOCK + 1, F.lit(BLOCK)),
-    )
+    cut = lambda c: F.right(c, F.lit(CONTEXT_CHARS))
+
+    def taken(first: Column, n: Column, made) -> Column:
+        return F.zip_with(F.slice(gaps, first + 1, n), F.slice(found, first + 1, n), made)
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        span = F.struct(
-            start.alias("start"), (start + x["n"]).alias("end"), x["value"].alias("value"), x["before"].alias("before")
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.length(x["value"])
+        before = cut(F.concat(acc["tail"], cut(x["gap"])))
+        span = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), before.alias("before"))
+        return F.struct(
+            end.alias("at"),
+            cut(F.concat(before, cut(x["value"]))).alias("tail"),
+            F.concat(acc["spans"], F.array(span)).alias("spans"),
         )
-        return F.struct((start + x["n"]).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(item).alias("spans"))
-    local = F.transform(blocks, lambda block: F.aggregate(block, zero, step))
-    whole = F.transform(
-        local,
-        lambda block, j: F.struct(
-            F.aggregate(F.slice(local, F.lit(1), j), F.lit(0), lambda a, x: a + x["at"]).alias("offset"),
-            block["spans"].alias("spans"),
-        ),
-    )
-    shifted = F.transform(
-        whole,
-        lambda block: F.transform(
-            block["spans"],
-            lambda s: F.struct(
-                (s["start"] + block["offset"]).alias("start"),
-                (s["end"] + block["offset"]).alias("end"),
-                s["value"].alias("value"),
-                s["before"].alias("before"),
-            ),
-        ),
-    )
-    return F.when(F.size(found) > 0, F.flatten(shifted)).otherwise(F.array().cast(item))
-
 
-def context(before: Column) -> Column:
-    """The last two words of ``before`` in lower case, digits as 0, without punctuation."""
+    def block(b: Column) -> Column:
+        first = b * BLOCK
+        near = F.lit(CONTEXT_CHARS // 2)  # no match is shorter than two characters
+        head = taken(first - near, near, lambda g, m: F.concat(cut(g), cut(m)))
+        tail = F.when(b > 0, cut(F.array_join(head, ""))).otherwise("")
+        zero = F.struct(F.lit(0).alias("at"), tail.alias("tail"), F.array().cast(item).alias("spans"))
+        n = F.least(F.lit(BLOCK), F.size(found) - first)
+        return F.aggregate(taken(first, n, lambda g, m: F.struct(g.alias("gap"), m.alias("value"))), zero, step)
+
+    def whole(local: Column) -> Column:
+        def shifted(x: Column, j: Column) -> Column:
+            offset = F.aggregate(F.slice(local, F.lit(1), j), F.lit(0), lambda a, y: a + y["at"])
+            moved = lambda o: F.transform(
+                x["spans"],
+                lambda s: F.struct(
+                    (s["start"] + o).alias("start"),
+                    (s["end"] + o).alias("end"),
+                    s["value"].alias("value"),
+                    s["before"].alias("before"),
+                ),
+            )
+            return F.transform(F.array(offset), moved)[0]
+
+        return F.flatten(F.transform(local, shifted))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int"))
+    # The array keeps the blocks from being computed again for every block.
+    spans = F.transform(F.array(F.transform(blocks, block)), whole)[0]
+    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(item))
+
+
+def words(before: Column) -> Column:
+    """The words of ``before`` in lower case, digits as 0, without punctuation."""
     plain = F.regexp_replace(F.lower(before), r"[0-9]", "0")
-    words = F.regexp_replace(plain, r"[^\p{L}0]+", " ")
-    return F.regexp_extract(words, r"((?:\S+ )?\S+) ?$", 1)
+    return F.trim(F.regexp_replace(plain, r"[^\p{L}0]+", " "))
+
+
+def in_context(matches: Column) -> Column:
+    """``matches``, ordered by start, with the pattern of each instead of the text before it.
+
+    The pattern is the last two words; a match that is one of them is read as ``0``. Matches of a
+    list, with no word between them, have the pattern of the first.
+    """
+
+    def own(m: Column, i: Column) -> Column:
+        ended = F.greatest(*[F.get(matches, i - k)["end"] for k in (1, 2, 3, 4)])  # spans may overlap
+        gap = F.greatest(m["start"] - ended, F.lit(0))
+        near = ended.isNotNull() & (gap < CONTEXT_CHARS)
+        last = words(F.when(near, F.right(m["before"], gap)).otherwise(m["before"]))
+        two = F.regexp_extract(last, r"((?:\S+ )?\S+)$", 1)
+        return (
+            F.when(near & (last == ""), F.lit(None))
+            .when(near & ~last.contains(" "), F.concat(F.lit("0 "), last))
+            .otherwise(two)
+        )
+
+    def listed(own_patterns: Column) -> Column:
+        def lists(heads: Column) -> Column:
+            def members(h: Column, k: Column) -> Column:
+                n = F.coalesce(F.get(heads, k + 1), F.size(matches)) - h
+                return F.transform(
+                    F.slice(matches, h + 1, n),
+                    lambda m: F.struct(
+                        m["start"].alias("start"),
+                        m["rank"].alias("rank"),
+                        m["end"].alias("end"),
+                        m["value"].alias("value"),
+                        F.get(own_patterns, h).alias("before"),
+                    ),
+                )
+
+            return F.flatten(F.transform(heads, members))
+
+        numbered = F.transform(own_patterns, lambda p, i: F.when(p.isNotNull(), i))
+        return F.transform(F.array(F.array_compact(numbered)), lists)[0]
+
+    return F.transform(F.array(F.transform(matches, own)), listed)[0]
 
 
 def scan(docs: DataFrame, text: str, out: str) -> DataFrame:
-    """``docs`` with array ``out`` of all matches of column ``text``: (kind, start, end, value, before, valid).
+    """``docs`` with array ``out`` of all matches of column ``text``: (start, rank, end, value, before).
 
-    ``valid`` is false for matches that fail their check and for candidates that touch a base span.
+    Matches that fail their check and candidates that touch a base span are left out.
     """
     t = F.col(text)
     names = {k: (unused(docs, f"gaps_{k}"), unused(docs, f"found_{k}")) for k in (*PATTERNS, "identifier")}
@@ -164,7 +214,7 @@ def scan(docs: DataFrame, text: str, out: str) -> DataFrame:
                 F.lit(KINDS.index(kind)).alias("rank"),
                 s["end"].alias("end"),
                 s["value"].alias("value"),
-                context(s["before"]).alias("before"),
+                s["before"].alias("before"),
                 ok(s).alias("valid"),
             ),
         )
@@ -178,6 +228,7 @@ def scan(docs: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(
         out, F.array_sort(F.filter(F.concat(F.col(base), F.col(loose)), lambda m: m["valid"]))
     )
+    df = df.withColumn(out, in_context(F.col(out)))
     return df.drop(base, loose, *spans.values(), *[c for pair in names.values() for c in pair])
 
 
@@ -199,51 +250,71 @@ def written(spans: Column) -> Column:
     )
 
 
-def score_graph(edges: DataFrame, rounds: int, min_score: float, min_support: int) -> DataFrame:
+def score_graph(edges: DataFrame, max_rounds: int, min_score: float, min_support: int) -> DataFrame:
     """Accepted (before, value) pairs of candidates, from distinct ``edges`` (before, value, rank).
 
-    ``rank`` is the kind of a seed and that of ``identifier`` for candidates. Only patterns that
-    have both a kind with enough seeds and candidates can tell anything, so the rest goes first.
+    ``rank`` is the kind of a seed and that of ``identifier`` for candidates. Only patterns with
+    candidates and with ``min_support`` values that are or may become seeds can tell anything, so
+    the rest goes first. Confidences only rise. Values that no other pattern scores higher belong to
+    a pattern as surely as it says itself, (seeds + own * c) / (degree + 1) = c, which is solved and
+    not iterated, so the rounds do not grow with the number of unseen values.
     """
-    loose = len(PATTERNS)
+    kinds, loose = range(len(PATTERNS)), len(PATTERNS)
     degree = edges.groupBy("before").agg(
         F.count(F.lit(1)).alias("degree"),
-        *[F.sum((F.col("rank") == r).cast("int")).alias(f"seeds_{r}") for r in range(loose)],
+        *[F.sum((F.col("rank") == r).cast("int")).alias(f"seeds_{r}") for r in kinds],
         F.sum((F.col("rank") == loose).cast("int")).alias("loose"),
     )
-    enough = F.greatest(*[F.col(f"seeds_{r}") for r in range(loose)]) >= min_support
-    patterns = materialize(
-        degree.where(enough & (F.col("loose") > 0) & (F.col("before") != "")), "patterns"
-    )
-    links = materialize(
-        edges.where(F.col("rank") == loose).join(patterns.select("before"), "before", "left_semi"), "links"
-    )
-    scores = links.select("value").distinct().select("value", *[F.lit(0.0).alias(f"s_{r}") for r in range(loose)])
-    for _ in range(rounds):
-        gained = links.join(scores, "value").groupBy("before").agg(
-            *[F.sum(f"s_{r}").alias(f"g_{r}") for r in range(loose)]
-        )
-        sure = patterns.join(gained, "before", "left").select(
-            "before",
-            *[
-                F.when(
-                    F.col(f"seeds_{r}") >= min_support,
-                    (F.col(f"seeds_{r}") + F.coalesce(F.col(f"g_{r}"), F.lit(0.0))) / (F.col("degree") + 1),
-                ).otherwise(0.0).alias(f"c_{r}")
-                for r in range(loose)
-            ],
-        )
-        sure = materialize(sure, "confidence")
-        scores = materialize(
-            links.join(sure, "before").groupBy("value").agg(*[F.max(f"c_{r}").alias(f"s_{r}") for r in range(loose)]),
-            "scores",
-        )
-    best = F.greatest(*[F.col(f"c_{r}") for r in range(loose)])
-    return links.join(sure.where(best >= min_score), "before").select("before", "value").distinct()
+    most = F.greatest(*[F.col(f"seeds_{r}") for r in kinds])
+    patterns = degree.where((F.col("loose") > 0) & (F.col("before") != "") & (most + F.col("loose") >= min_support))
+    first = {
+        f"c_{r}": F.when(
+            F.col(f"seeds_{r}") >= min_support, F.col(f"seeds_{r}") / (F.col("degree") + 1 - F.col("loose"))
+        ).otherwise(0.0)
+        for r in kinds
+    }
+    sure = materialize(patterns.withColumns(first), "patterns")
+    best = F.greatest(*[F.col(f"c_{r}") for r in kinds])
+    row_bytes = F.octet_length("before") + 8 * len(sure.columns)
+    if sure.where(best > 0).isEmpty():
+        return edges.select("before", "value").limit(0)
+    links = edges.where(F.col("rank") == loose).select("before", "value")
+    links = materialize(links.join(sure.select("before"), "before", "left_semi"), "links")
+    for _ in range(max_rounds):
+        told = sure.select("before", *[f"c_{r}" for r in kinds])
+        held = bounded_join(links, told, ["before"], [F.col("value")], row_bytes)
+        scores = held.groupBy("value").agg(*[F.max(f"c_{r}").alias(f"s_{r}") for r in kinds])
+        sums = []
+        for r in kinds:
+            s, higher = F.col(f"s_{r}"), F.col(f"s_{r}") > F.col(f"c_{r}")
+            seed = higher & (s >= min_score)
+            sums.append(F.sum(seed.cast("int")).alias(f"new_{r}"))
+            sums.append(F.sum((~higher).cast("int")).alias(f"own_{r}"))
+            sums.append(F.sum(F.when(seed, 1.0).when(higher, s).otherwise(0.0)).alias(f"gain_{r}"))
+        gained = held.join(scores, "value").groupBy("before").agg(*sums)
+        raised = {
+            f"now_{r}": F.when(
+                F.col(f"seeds_{r}") + F.col(f"new_{r}") >= min_support,
+                F.greatest(
+                    F.col(f"c_{r}"),
+                    (F.col(f"seeds_{r}") + F.col(f"gain_{r}")) / (F.col("degree") + 1 - F.col(f"own_{r}")),
+                ),
+            ).otherwise(0.0)
+            for r in kinds
+        }
+        rise = F.greatest(*[F.col(f"now_{r}") - F.col(f"c_{r}") for r in kinds])
+        grown = sure.join(gained, "before").withColumns(raised).withColumn("rise", rise)
+        kept = [c for c in sure.columns if not c.startswith("c_")]
+        grown = materialize(grown.select(*kept, *[F.col(f"now_{r}").alias(f"c_{r}") for r in kinds], "rise"), "confidence")
+        sure = grown.drop("rise")
+        if grown.where(F.col("rise") > CHANGE).isEmpty():
+            break
+    told = sure.where(best >= min_score).select("before")
+    return bounded_join(links, told, ["before"], [F.col("value")], F.octet_length("before")).select("before", "value")
 
 
 def discover(
-    found: DataFrame, rounds: int = ROUNDS, min_score: float = MIN_SCORE, min_support: int = MIN_SUPPORT
+    found: DataFrame, max_rounds: int = MAX_ROUNDS, min_score: float = MIN_SCORE, min_support: int = MIN_SUPPORT
 ) -> DataFrame:
     """Spans of kind identifier per (doc_id, text_hash): array ``added``, for rows that have any.
 
@@ -253,7 +324,7 @@ def discover(
         "doc_id", "text_hash", "m.start", "m.end", "m.rank", "m.before", "m.value"
     )
     edges = materialize(seen.select("before", "value", "rank").distinct(), "edges")
-    accepted = score_graph(edges, rounds, min_score, min_support)
+    accepted = score_graph(edges, max_rounds, min_score, min_support)
     loose = len(PATTERNS)
     hits = seen.where(F.col("rank") == loose).join(accepted, ["before", "value"], "left_semi")
     each = hits.select("doc_id", "text_hash", "start", "rank", "end").distinct()

@@ -148,6 +148,35 @@ def test_contexts_discover_identifiers(spark):
     assert rows[100] == "identifier:22:31" and rows[101] == rows[102] == ""
 
 
+def identifiers(spark, said):
+    rows = pii.report(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")).collect()
+    spans = {r.doc_id: [s.split(":") for s in r.spans.split(",")] for r in rows}
+    return [{t[int(a) : int(b)] for k, a, b in (s for s in spans[i] if len(s) == 3) if k == "identifier"} for i, t in enumerate(said)]
+
+
+def test_identifiers_found_support_further_contexts(spark):
+    said = [f"please contact me via name{i}@mail.example.com today" for i in range(12)]
+    said += [f"please contact me via handle{i}x today" for i in range(8)]
+    said += [f"the owner is handle{i}x again" for i in range(8)] + ["the owner is stranger9z again"]
+    said += ["the colour is handle1x again", "the colour is stranger9y again"]
+    got = identifiers(spark, said)
+    assert got[28] == {"stranger9z"} and got[12] == {"handle0x"} and got[30] == set()
+
+
+def test_contexts_with_more_unseen_values_than_seeds(spark):
+    said = [f"please contact me via name{i}@mail.example.com today" for i in range(12)]
+    said += [f"please contact me via handle{i}x today" for i in range(100)]
+    assert identifiers(spark, said)[12:] == [{f"handle{i}x"} for i in range(100)]
+
+
+def test_identifiers_in_a_list_share_its_context(spark):
+    said = [f"please contact me via name{i}@mail.example.com today" for i in range(12)]
+    many = [f"handle{i}x" for i in range(600)]
+    said += ["please contact me via " + ", ".join(many) + " today", "at room 12 via handle1x"]
+    got = identifiers(spark, said)
+    assert got[12] == set(many) and got[13] == set()
+
+
 def test_token_records(spark, docs, empty):
     e = encoder(default_path("word_bpe_49k.json")).library
     want, start = [], 0

@@ -1,12 +1,16 @@
-"""Document fingerprints: a Merkle tree over sections, paragraphs and sentences.
+"""Document fingerprints: a Merkle tree over sections, paragraphs, sentences and pieces.
 
-A paragraph is a line, a sentence ends at ``.``, ``!`` or ``?`` before a blank. Sentences are
-hashed, a paragraph hashes its sentence hashes, a section its paragraph hashes, the root the
-section hashes. Sections end where a paragraph's hash says so, not after a fixed count, so an
-inserted paragraph disturbs its own section only.
+A paragraph is a line, a sentence ends at ``.``, ``!`` or ``?`` before a blank. A sentence of up
+to ``LONG`` characters is one piece. Longer ones (code, lists, scripts without these marks) are
+cut into pieces by content: they are read as units (a word with the character after it, any
+other single character), and a piece ends after a unit where a hash of it and the three before
+says so, every 32nd on average, at ``MOST_UNITS`` units at the latest. Pieces are hashed, a sentence
+hashes its piece hashes, a paragraph its sentence hashes, a section its paragraph hashes, the root
+the section hashes. Sections too end where a paragraph's hash says so, not after a fixed count,
+so an inserted paragraph disturbs its own section only.
 
 The fingerprint is one string, ``root:tree``. The root (64 hex digits) is equal exactly when
-the texts are. In the tree, a sentence is the first 8 hex digits of its hash, ``,`` closes a
+the texts are. In the tree, a piece is the first 8 hex digits of its hash, ``,`` closes a
 paragraph and ``;`` a section, so two fingerprints alone show which branches differ.
 Everything is column expressions; a row never leaves its task for its fingerprint.
 
@@ -28,17 +32,60 @@ from .common import texts
 SENTENCE_END = r"(?<=[.!?]) "
 SECTION_CLOSERS = "0123"  # a paragraph whose hash begins so closes its section: every fourth
 LEAF_DIGITS = 8
+LONG = 256
+PIECE_UNITS = 32
+MOST_UNITS = 256
+# Runs of more than 24 letters are no words; they are cut after vowels, or without these after 24 letters.
+UNIT = r"(?s)[A-Za-z]{1,24}+(?![A-Za-z])[^A-Za-z]?|[A-Za-z]{0,23}?[AEIOUaeiou]|[A-Za-z]{1,24}+|[^A-Za-z]"
+
+
+def pieces(sentence: Column) -> Column:
+    """The pieces of a sentence, in order; joined they are the sentence."""
+
+    def cut(units: Column) -> Column:
+        n = F.size(units)
+
+        def closes(i: Column) -> Column:  # the units of a window are told apart by their place
+            return F.pmod(F.xxhash64(*[F.get(units, i - k) for k in (1, 2, 3, 4)]), F.lit(PIECE_UNITS)) == 0
+
+        def capped(ends: Column) -> Column:
+            def steps(end: Column, j: Column) -> Column:
+                begin = F.coalesce(F.get(ends, j - 1), F.lit(0))
+                forced = F.sequence(begin + MOST_UNITS, end, F.lit(MOST_UNITS))
+                return F.when(end - begin > MOST_UNITS, F.array_union(forced, F.array(end))).otherwise(F.array(end))
+
+            return F.flatten(F.transform(ends, steps))
+
+        def joined(ends: Column) -> Column:
+            def piece(end: Column, j: Column) -> Column:
+                begin = F.coalesce(F.get(ends, j - 1), F.lit(0))
+                return F.array_join(F.slice(units, begin + 1, end - begin), "")
+
+            return F.transform(ends, piece)
+
+        natural = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | closes(i))
+        # The arrays keep what they hold from being computed again for every element.
+        ends = F.transform(F.array(natural), capped)[0]
+        return F.transform(F.array(ends), joined)[0]
+
+    units = F.regexp_extract_all(sentence, F.lit(UNIT), F.lit(0))
+    return F.when(F.length(sentence) > LONG, F.transform(F.array(units), cut)[0]).otherwise(F.array(sentence))
 
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint string of a non-null text."""
 
     def paragraph(line: Column) -> Column:
-        hashes = F.transform(F.split(line, SENTENCE_END, -1), lambda s: F.sha2(s, 256))
-        return F.struct(
-            F.sha2(F.array_join(hashes, ""), 256).alias("hash"),
-            F.array_join(F.transform(hashes, lambda h: F.left(h, F.lit(LEAF_DIGITS))), "").alias("leaves"),
+        hashes = F.transform(
+            F.split(line, SENTENCE_END, -1), lambda s: F.transform(pieces(s), lambda p: F.sha2(p, 256))
         )
+        return F.transform(
+            F.array(hashes),
+            lambda of: F.struct(
+                F.sha2(F.array_join(F.transform(of, lambda h: F.sha2(F.array_join(h, ""), 256)), ""), 256).alias("hash"),
+                F.array_join(F.transform(F.flatten(of), lambda h: F.left(h, F.lit(LEAF_DIGITS))), "").alias("leaves"),
+            ),
+        )[0]
 
     def closed(p: Column, field: str) -> Column:
         closes = F.lit(SECTION_CLOSERS).contains(F.left(p["hash"], F.lit(1)))
@@ -88,6 +135,27 @@ def changed_branches(a: Column, b: Column) -> Column:
     return F.transform(lacking, lambda n: F.struct(n["section"], n["paragraph"]))
 
 
+def changed_pieces(a: Column, b: Column) -> Column:
+    """Where two fingerprints differ: (section, paragraph, piece) of ``a``, counted from 0, whose leaf ``b`` lacks."""
+    sections = F.split(F.substring_index(a, ":", -1), ";", -1)
+
+    def found(section: Column, i: Column) -> Column:
+        def inside(paragraph: Column, j: Column) -> Column:
+            cut = F.regexp_extract_all(paragraph, F.lit(f"[0-9a-f]{{{LEAF_DIGITS}}}"), F.lit(0))
+            return F.transform(
+                cut,
+                lambda leaf, k: F.struct(i.alias("section"), j.alias("paragraph"), k.alias("piece"), leaf.alias("leaf")),
+            )
+
+        return F.flatten(F.transform(F.split(F.rtrim(section, F.lit(",")), ",", -1), inside))
+
+    numbered = F.flatten(F.transform(sections, found))
+    lacking = F.transform(
+        F.array(leaves(b)), lambda other: F.filter(numbered, lambda n: ~F.array_contains(other, n["leaf"]))
+    )[0]
+    return F.transform(lacking, lambda n: F.struct(n["section"], n["paragraph"], n["piece"]))
+
+
 def neighbours(docs: DataFrame) -> DataFrame:
     """Per distinct doc_id: doc_id, next_id (ascending, the last is followed by the first), n_chars.
 

@@ -343,6 +343,31 @@ def test_changed_branches_locate_an_edit(spark):
     assert len(row.c) == 1 and 0.5 < row.l < 1
 
 
+def test_long_texts_without_sentence_marks_have_many_leaves(spark):
+    rng = np.random.default_rng(3)
+    drawn = lambda letters, n: "".join(rng.choice(list(letters), n))
+    whole = {
+        "words": " ".join(WORDS[k] + str(k) for k in rng.integers(0, 12, 3000))[:6000],
+        "han": drawn("天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏", 6000),
+        "acid": drawn("ACGT", 6000),
+        "digits": drawn("0123456789", 6000),
+        "consonants": drawn("BCDFGHKLMNP", 6000),
+    }
+    same = {"run": "q" * 6000, "line": ("一" * 300 + "。") * 20}
+    rows = [(k, t, t[:2000] + "天7x" + t[2000:4500] + t[::-1][:1500]) for k, t in (whole | same).items()]
+    df = spark.createDataFrame(rows, "kind string, a string, b string").withColumns(
+        {c: fingerprint.fingerprint(F.col(t)) for c, t in (("x", "a"), ("y", "b"))}
+    )
+    got = df.select(
+        "kind", "a", F.flatten(F.transform(F.split("a", fingerprint.SENTENCE_END, -1), fingerprint.pieces)).alias("cut"),
+        fingerprint.likeness(F.col("x"), F.col("y")).alias("near"), fingerprint.changed_pieces(F.col("x"), F.col("y")).alias("at"),
+    ).collect()
+    for r in got:
+        assert "".join(r.cut) == r.a and max(map(len, r.cut)) <= 256 * 25, r.kind
+        if r.kind in whole:
+            assert 0.4 < r.near < 1 and len(r.cut) > 10 and 0 < len(r.at) < 0.6 * len(r.cut), (r.kind, r.near, len(r.cut))
+
+
 @pytest.mark.parametrize("capacity", [1, 3, 65536])
 def test_exact_copies(spark, docs, empty, capacity):
     groups = collections.defaultdict(list)

@@ -149,8 +149,11 @@ def band_keys(best: np.ndarray) -> np.ndarray:
 
 
 def packed_signature(best: np.ndarray) -> np.ndarray:
-    """The low bits of the minima, 64 / LOW_BITS of them to a long."""
+    """The low bits of the mixed minima, 64 / LOW_BITS of them to a long.
+
+    Without mixing, the low bits of ``a * x + b`` with odd ``a`` would agree for all hashes or for none.
+    """
     per = 64 // LOW_BITS
-    low = (best & np.uint32((1 << LOW_BITS) - 1)).astype(np.uint64).reshape(-1, per)
+    low = (mix(best.astype(np.uint64)) & U((1 << LOW_BITS) - 1)).reshape(-1, per)
     shifts = (np.arange(per, dtype=np.uint64) * U(LOW_BITS))[None, :]
     return np.bitwise_or.reduce(low << shifts, axis=1).view(np.int64)

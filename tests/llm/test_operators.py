@@ -247,6 +247,26 @@ def test_near_duplicates_of_a_family_of_copies(spark):
     assert {r.doc_id: r.component_id for r in got} == comp and len(set(comp.values())) > 1
 
 
+def test_near_duplicates_of_few_shingles(spark):
+    rows = []
+    for i in range(2000):
+        words = [f"w{i}x{k}" for k in range(11)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:10]))]  # 7 and 6 shingles
+    got = neardup.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 4000 and [r.doc_id for r in got if r.component_id != r.doc_id // 2 * 2] == []
+
+
+def test_chance_agreement_of_few_shingles_is_a_quarter():
+    rng = np.random.default_rng(1)
+    agree = []
+    for _ in range(300):
+        a, b = (shingles.minima(rng.integers(0, 1 << 63, 1, dtype=np.uint64)) for _ in range(2))
+        bits = shingles.packed_signature(a) ^ shingles.packed_signature(b)
+        pairs = np.unpackbits(bits.view(np.uint8)).reshape(-1, 2)
+        agree.append(1 - pairs.any(axis=1).mean())
+    assert abs(np.mean(agree) - 0.25) < 0.01 and max(agree) < 0.4
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("aB \n\tcé", max_size=40), max_size=20))
 def test_shingle_sets_count_as_plain_sets(some):

@@ -2,8 +2,8 @@
 
 A step is a set of mini-batches. Executors compute one gradient per batch, Spark sums the
 gradients block by block, and the driver, which only ever holds the model, applies Adam and
-broadcasts the new weights. One batch per step gives plain sequential mini-batch training; an
-epoch takes at most ``max_steps`` steps, so with more batches than that a step holds several.
+broadcasts the new weights. One batch per step gives plain sequential mini-batch training, at
+any size. Only an explicit ``max_steps`` merges more batches into a step, which changes the result.
 Pairs stay keys until their batch is known; vectors are joined once per epoch.
 """
 
@@ -42,7 +42,7 @@ class TrainingConfig:
     validation_share: float = 0.2
     seed: int = 42
     batches_per_step: int = 1
-    max_steps: int = 1000
+    max_steps: int | None = None  # bounds the steps of an epoch by merging batches; changes the result
     gradient_blocks: int = 16
 
 
@@ -153,7 +153,9 @@ def epoch_steps(
     keys = materialize(keys.select("anchor_id", "paired_id", "batch", "batch_position"), f"batches_{epoch}")
     last = keys.agg(F.max("batch")).first()[0]
     n_batches = 0 if last is None else last + 1
-    per_step = max(config.batches_per_step, math.ceil(n_batches / config.max_steps))
+    per_step = config.batches_per_step
+    if config.max_steps is not None:
+        per_step = max(per_step, math.ceil(n_batches / config.max_steps))
     step = F.floor(F.col("batch") / per_step).cast("int")
     joined = with_vectors(keys.withColumn("step", step), vectors)
     arranged = joined.select("step", "batch", "batch_position", "a", "b").repartitionByRange("step").sortWithinPartitions("step")

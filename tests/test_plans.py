@@ -90,6 +90,15 @@ def test_batches_are_formed_from_keys(spark, recs, monkeypatch):
     assert "PushedFilters: [IsNotNull(step), EqualTo(step,1)]" in plan_of(arranged.where("step = 1"))
 
 
+def test_steps_do_not_merge_batches_unless_asked(spark):
+    from steadyhum.operators import training as TR
+
+    pairs = spark.range(2200).selectExpr("id AS anchor_id", "id + 1 AS paired_id")
+    vectors = spark.range(2201).selectExpr("id AS rec_id", "array(1.0D, 2.0D) AS vector")
+    assert TR.epoch_steps(pairs, vectors, TR.TrainingConfig(batch_size=2), 1)[1] == 1100
+    assert TR.epoch_steps(pairs, vectors, TR.TrainingConfig(batch_size=2, max_steps=550), 1)[1] == 550
+
+
 def test_the_full_report_computes_features_once(spark, monkeypatch):
     from steadyhum.plans import from_files as FF
 

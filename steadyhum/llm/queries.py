@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import chat, exactdup, fingerprint, language, neardup, packing, pii, records, warc, wordtable
+from . import chat, exactdup, fingerprint, language, neardup, packing, pii, records, sql, vectorcodes, warc, wordtable
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_word_table")
 def op10_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordtable.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query("op11_vector_codes", sql.vector_codes())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.code_report(table(spark, sf_dir, "embeddings"))

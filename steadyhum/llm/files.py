@@ -18,18 +18,20 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 class TaskFile:
-    """A file that appears under its name only when it is complete.
+    """A file of one attempt of a task, under a name of its own.
 
-    Attempts write to names of their own; the last rename wins, and all attempts hold the same
-    bytes, so a task that is lost or run twice does no harm.
+    ``path`` belongs into the rows that the task returns. Spark keeps the rows of one attempt only, so
+    an index never names a file of another attempt, whatever order rows came in or however often a
+    task ran; files of other attempts are never read.
     """
 
-    def __init__(self, folder: str, name: str):
+    def __init__(self, folder: str, stem: str, suffix: str = ""):
+        name = f"{stem}-{uuid.uuid4().hex}{suffix}"
+        self.path = f"{folder}/{name}"
         self.fs, inner = file_system(folder)
         self.fs.create_dir(inner, recursive=True)
-        self.final = f"{inner}/{name}"
-        self.temporary = f"{inner}/.{name}.{uuid.uuid4().hex}"
-        self.stream = self.fs.open_output_stream(self.temporary)
+        self.inner = f"{inner}/{name}"
+        self.stream = self.fs.open_output_stream(self.inner)
         self.position = 0
 
     def write(self, data: bytes) -> int:
@@ -39,13 +41,12 @@ class TaskFile:
         self.position += len(data)
         return at
 
-    def commit(self) -> None:
+    def close(self) -> None:
         self.stream.close()
-        self.fs.move(self.temporary, self.final)
 
     def abort(self) -> None:
         self.stream.close()
-        self.fs.delete_file(self.temporary)
+        self.fs.delete_file(self.inner)
 
 
 def read_ranges(

@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import chat, exactdup, fingerprint, language, neardup, packing, pii, records, sql, vectorcodes, warc, wordtable
+from . import (
+    chat,
+    exactdup,
+    fingerprint,
+    language,
+    neardup,
+    packing,
+    pii,
+    records,
+    sql,
+    suffixdedup,
+    vectorcodes,
+    warc,
+    wordtable,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +107,8 @@ def op10_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_vector_codes", sql.vector_codes())
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.code_report(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_suffix_dedup", sql.repeats())
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.repeat_report(table(spark, sf_dir, "documents"))

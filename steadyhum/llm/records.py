@@ -13,7 +13,7 @@ data that holds CRCs stays sound. Ids take two bytes where the vocabulary allows
 The index has a row per record: file, offset, length, doc_id, n_tokens and the ids before it in
 its file. Any selection of it, in any order, can be read: ranges are sorted and merged per task.
 
-Tasks write files under temporary names and rename them, so lost or repeated tasks do no harm.
+Tasks write files under names of their own that the index holds, so lost or repeated tasks do no harm.
 
 Defined results: a null text counts as empty and has only the end id; null ids come first, equal
 ids in the order of a hash of their text; an empty table gives no files and no rows.
@@ -99,18 +99,18 @@ def write_records(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, enc, out = TaskContext.get().partitionId(), encoder(path), None
         width = 2 if max(end_id, enc.library.get_vocab_size()) <= 0xFFFF else 4
-        end, before, name = np.array([end_id], "<u4"), 0, f"part-{part:06d}.ids"
+        end, before, name = np.array([end_id], "<u4"), 0, f"part-{part:06d}"
         try:
             for batch in batches:
                 if out is None and batch.num_rows:
-                    out = TaskFile(folder, name)
+                    out = TaskFile(folder, name, ".ids")
                     out.write(MAGIC + bytes([width, 0, 0, 0]))
                 rows = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     ids = np.concatenate([enc.encode(text.as_py()), end])
                     head = struct.pack("<?q", doc_id is not None, doc_id or 0)
                     record = frame(head + ids.astype(f"<u{width}").tobytes())
-                    rows.append((f"{folder}/{name}", part, out.write(record), len(record), doc_id, len(ids), before))
+                    rows.append((out.path, part, out.write(record), len(record), doc_id, len(ids), before))
                     before += len(ids)
                 if rows:
                     columns = zip(zip(*rows, strict=True), INDEX_ARROW.types, strict=True)
@@ -120,7 +120,7 @@ def write_records(
                 out.abort()
             raise
         if out:
-            out.commit()
+            out.close()
 
     order = [F.asc_nulls_first("doc_id"), F.xxhash64("text").asc()]
     ordered = texts(docs).repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(*order)

@@ -57,3 +57,44 @@ def vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int
            (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, e, j)) FROM book_{rounds}) AS codebooks_sha256
     FROM coded JOIN kept USING (vec_id)
     """
+
+
+def repeats(length: int = 100) -> str:
+    """Every string of ``length`` bytes with its first place, in hexadecimal; then the bytes that repeats cover."""
+    wide = 2 * length
+    return f"""
+    WITH docs AS MATERIALIZED (
+        SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+    ),
+    strings AS MATERIALIZED (
+        SELECT doc_id, i, md5_number(substr(h, 2 * i - 1, {wide})) AS s
+        FROM (SELECT doc_id, h, unnest(range(1, n - {length - 2})) AS i FROM docs WHERE n >= {length})
+    ),
+    later AS MATERIALIZED (
+        SELECT doc_id, i FROM strings QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1
+    ),
+    runs AS MATERIALIZED (
+        SELECT doc_id, min(i) AS a, max(i) + {length - 1} AS b
+        FROM (
+            SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run
+            FROM (
+                SELECT doc_id, i,
+                       CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {length} THEN 0 ELSE 1 END AS fresh
+                FROM later
+            )
+        ) GROUP BY doc_id, run
+    ),
+    gaps AS (
+        SELECT doc_id, b + 1 AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) - 1 AS b FROM runs
+        UNION ALL SELECT doc_id, 1, min(a) - 1 FROM runs GROUP BY doc_id
+    ),
+    pieces AS (
+        SELECT doc_id, string_agg(substr(h, 2 * a - 1, 2 * (coalesce(b, n) - a + 1)), '' ORDER BY a) AS kept
+        FROM gaps JOIN docs USING (doc_id) WHERE coalesce(b, n) >= a GROUP BY doc_id
+    ),
+    sums AS (SELECT doc_id, sum(b - a + 1) AS gone, count(*) AS spans FROM runs GROUP BY doc_id)
+    SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+           CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+           sha256(unhex(CASE WHEN gone IS NULL THEN h ELSE coalesce(kept, '') END)) AS kept_sha256
+    FROM docs LEFT JOIN sums USING (doc_id) LEFT JOIN pieces USING (doc_id)
+    """

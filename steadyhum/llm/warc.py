@@ -154,12 +154,12 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
     """Write a record per row of ``pages`` (page_id, url, html); returns the index, itself in files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, out = f"part-{TaskContext.get().partitionId():06d}.warc.gz", None
+        name, out = f"part-{TaskContext.get().partitionId():06d}", None
         try:
             for batch in batches:
                 rows = []
                 if out is None and batch.num_rows:
-                    out = TaskFile(folder, name)
+                    out = TaskFile(folder, name, ".warc.gz")
                     head = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(None, name)), ("WARC-Date", DATE)]
                     out.write(gzip_member(build_record([*head, ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")))
                 for page_id, url, payload, digest, refers_to in zip(*batch.columns, strict=True):
@@ -167,7 +167,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
                     digest = base32_digest(digest.as_py())
                     record = gzip_member(page_record(page_id, url, payload.as_py(), digest, refers_to))
                     kind = "response" if refers_to is None else "revisit"
-                    rows.append((f"{folder}/{name}", out.write(record), len(record), url, digest, page_id, kind))
+                    rows.append((out.path, out.write(record), len(record), url, digest, page_id, kind))
                 if rows:
                     columns = zip(zip(*rows, strict=True), INDEX_ARROW.types, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], schema=INDEX_ARROW)
@@ -176,7 +176,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
                 out.abort()
             raise
         if out:
-            out.commit()
+            out.close()
 
     place = f"{folder}/index"
     with_references(pages, least_bytes).mapInArrow(run, INDEX).write.mode("overwrite").parquet(place)

@@ -31,7 +31,7 @@ class TaskFile:
         self.fs, inner = file_system(folder)
         self.fs.create_dir(inner, recursive=True)
         self.inner = f"{inner}/{name}"
-        self.stream = self.fs.open_output_stream(self.inner)
+        self.stream = self.fs.open_output_stream(self.inner, compression=None)  # else a name in .gz compresses
         self.position = 0
 
     def write(self, data: bytes) -> int:

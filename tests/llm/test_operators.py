@@ -431,3 +431,14 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, table, SF)
     assert last.select("doc_id").distinct().count() == before
     assert QUERIES["pipeline"](spark, SF).count() == last.count()
+
+
+def test_a_task_run_twice_in_another_order_leaves_one_readable_archive(spark):
+    """The index names the files of one attempt; a second attempt, rows in another order, is another file."""
+    pages = [(i, f"http://x/{i}", f"page {i} " * (i + 1)) for i in range(30)]
+    schema = "page_id long, url string, html string"
+    folder = warc.fresh_path(spark, "twice")
+    first = warc.write_archives(spark.createDataFrame(pages, schema).coalesce(1), folder).collect()
+    before = spark.createDataFrame(first, warc.INDEX)
+    warc.write_archives(spark.createDataFrame(pages[::-1], schema).coalesce(1), folder).collect()
+    assert {r.page_id: r.payload.decode() for r in warc.read_archives(before).collect()} == {i: h for i, _, h in pages}

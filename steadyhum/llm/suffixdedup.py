@@ -54,7 +54,8 @@ from .files import TaskFile, read_ranges
 
 LENGTH = 100
 BLOCK_BYTES = 4 << 20
-SLICE = 1 << 16
+DIGEST = 12
+SLICE = 1 << 14
 BUCKETS_PER_PARTITION = 4
 BUCKET_ENTRIES = 1 << 20
 BLOCKS_PER_TASK = 16
@@ -104,32 +105,37 @@ def cover_for(length: int) -> tuple[int, tuple[int, ...]]:
     return period, COVERS[period]
 
 
-def fingerprints(data: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
-    """A 64-bit fingerprint of the ``size`` bytes from each position that has as many.
+def fingerprints(data: np.ndarray, size: int, starts: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit fingerprint of the ``size`` bytes from each of ``starts``, which must ascend.
 
-    Polynomials in 64-bit arithmetic over random byte values, built by doubling, in slices that stay in cache.
+    Polynomials in 64-bit arithmetic over random byte values, built by doubling for all positions of
+    a slice at once; slices without a start are skipped.
     """
-    count = max(0, len(data) - size + 1)
-    out = np.empty(count, np.uint64)
+    out = np.empty(len(starts), np.uint64)
     with np.errstate(over="ignore"):
         factors = [np.uint64(MULTIPLIERS[seed])]
         while 2 << len(factors) <= 2 * size:
             factors.append(factors[-1] * factors[-1])
-        for at in range(0, count, SLICE):
-            upto = min(count, at + SLICE)
-            power, done, total = BYTE_VALUES[seed][data[at : upto + size - 1]], 0, None
+        done = 0
+        while done < len(starts):
+            at = int(starts[done])
+            upto = int(np.searchsorted(starts, at + SLICE))
+            own = starts[done:upto] - at
+            count = int(own[-1]) + 1
+            power, place, total = BYTE_VALUES[seed][data[at : at + count + size - 1]], 0, None
             for k, factor in enumerate(factors):
                 width = 1 << k
                 if size & width:  # the parts of ``size``, short ones first
-                    part = power[done : done + upto - at]
-                    total = part.copy() if total is None else total * factor + part
-                    done += width
+                    part = power[place : place + count][own]
+                    total = part if total is None else total * factor + part
+                    place += width
                 if 2 * width <= size:
                     power = power[:-width] * factor + power[width:]
             total ^= total >> np.uint64(32)
             total *= MIX
             total ^= total >> np.uint64(29)
-            out[at:upto] = total
+            out[done:upto] = total
+            done = upto
     return out
 
 
@@ -150,8 +156,8 @@ class Spread:
 class Block:
     """Whole documents, ascending by id, one after another."""
 
-    def __init__(self, doc_ids: list[int | None], ends: np.ndarray, data: np.ndarray):
-        self.doc_ids, self.ends, self.data = doc_ids, ends, data
+    def __init__(self, doc_ids: list[int | None], ends: np.ndarray, digests: np.ndarray, data: np.ndarray):
+        self.doc_ids, self.ends, self.digests, self.data = doc_ids, ends, digests, data
         self.sizes = np.diff(ends, prepend=0)
         self.starts = ends - self.sizes
 
@@ -159,14 +165,18 @@ class Block:
     def of(cls, docs: list[tuple[int | None, bytes]]) -> Block:
         docs = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0))
         ends = np.cumsum([len(t) for _, t in docs], dtype=np.int64)
-        return cls([i for i, _ in docs], ends, np.frombuffer(b"".join(t for _, t in docs), np.uint8))
+        digests = b"".join(hashlib.sha256(t).digest()[:DIGEST] for _, t in docs)
+        data = b"".join(t for _, t in docs)
+        return cls(
+            [i for i, _ in docs], ends, np.frombuffer(digests, np.uint8).reshape(-1, DIGEST), np.frombuffer(data, np.uint8)
+        )
 
     def to_bytes(self) -> bytes:
         head = np.array([len(self.doc_ids)], "<i8").tobytes()
         null = np.array([i is None for i in self.doc_ids], np.uint8).tobytes()
         ids = np.array([i or 0 for i in self.doc_ids], "<i8").tobytes()
-        raw = head + null + ids + self.ends.astype("<i8").tobytes() + self.data.tobytes()
-        return zstandard.ZstdCompressor(level=1).compress(raw)
+        rest = (self.ends.astype("<i8"), self.digests, self.data)
+        return zstandard.ZstdCompressor(level=1).compress(head + null + ids + b"".join(a.tobytes() for a in rest))
 
     @classmethod
     def from_bytes(cls, packed: bytes) -> Block:
@@ -176,7 +186,8 @@ class Block:
         ids = np.frombuffer(raw, "<i8", n, 8 + n).tolist()
         ends = np.frombuffer(raw, "<i8", n, 8 + 9 * n)
         doc_ids = [None if gone else i for i, gone in zip(ids, null.tolist(), strict=True)]
-        return cls(doc_ids, ends, np.frombuffer(raw, np.uint8, offset=8 + 17 * n))
+        digests = np.frombuffer(raw, np.uint8, DIGEST * n, 8 + 17 * n).reshape(-1, DIGEST)
+        return cls(doc_ids, ends, digests, np.frombuffer(raw, np.uint8, offset=8 + (17 + DIGEST) * n))
 
 
 @dataclass
@@ -269,10 +280,8 @@ class Search:
 
     def copies(self) -> Found:
         """Whole texts."""
-        b = self.block
-        digests = [hashlib.sha256(b.data[b.starts[d] : b.ends[d]]).digest()[:12] for d in self.long]
-        parts = np.array([list(d) for d in digests], np.uint8).reshape(-1, 12)
-        high, low = from_bytes(parts[:, :8]), from_bytes(parts[:, 8:])
+        digests = self.block.digests[self.long]
+        high, low = from_bytes(digests[:, :8]), from_bytes(digests[:, 8:])
         return first_keys(high, low, self.order[self.long], self.plan.id_bytes, self.plan.buckets)
 
     def drop(self, answers: list | None) -> None:
@@ -294,11 +303,11 @@ class Search:
         self.size = length - period + 1
         in_cover = np.isin(np.arange(period), offsets)
         self.spots = np.flatnonzero((self.left >= self.size) & in_cover[self.at % period])
-        return repeated_keys(fingerprints(self.block.data, self.size)[self.spots], self.plan.buckets)
+        return repeated_keys(fingerprints(self.block.data, self.size, self.spots), self.plan.buckets)
 
     def keys_at(self, starts: np.ndarray, size: int) -> Found:
-        high = fingerprints(self.block.data, size)[starts]
-        low = fingerprints(self.block.data, size, 1)[starts] >> np.uint64(32)
+        high = fingerprints(self.block.data, size, starts)
+        low = fingerprints(self.block.data, size, starts, 1) >> np.uint64(32)
         return first_keys(high, low, self.order[self.doc[starts]], self.plan.id_bytes, self.plan.buckets)
 
     def contexts(self, answers: list | None) -> Found:
@@ -409,7 +418,7 @@ def with_answers(index: DataFrame, answers: dict[str, DataFrame], tasks: int) ->
     for name, df in answers.items():
         gathered = df.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
         index = index.join(gathered, "block", "left")
-    return index.repartition(tasks, "block")
+    return index.repartition(tasks, F.xxhash64("block"))  # by block alone, the join's few partitions would be kept
 
 
 def opened(batches: Iterable[pa.RecordBatch], plan: Plan) -> Iterator[tuple[int, Search, dict[str, list | None]]]:

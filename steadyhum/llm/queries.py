@@ -15,6 +15,7 @@ from . import (
     language,
     neardup,
     packing,
+    phrases,
     pii,
     records,
     sql,
@@ -109,6 +110,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.code_report(table(spark, sf_dir, "embeddings"))
 
 
+@query("op12_collocations", sql.collocations())
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op13_suffix_dedup", sql.repeats())
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.repeat_report(table(spark, sf_dir, "documents"))

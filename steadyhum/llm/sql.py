@@ -98,3 +98,47 @@ def repeats(length: int = 100) -> str:
            sha256(unhex(CASE WHEN gone IS NULL THEN h ELSE coalesce(kept, '') END)) AS kept_sha256
     FROM docs LEFT JOIN sums USING (doc_id) LEFT JOIN pieces USING (doc_id)
     """
+
+
+def collocations(min_count: int = 30, longest: int = 4, share: int = 80, top: int = 2000) -> str:
+    """Phrases as joined words, counted by grouping; cuts, inner phrases and ranks as in the contract."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    sizes = "\n        UNION ALL ".join(
+        f"SELECT lang, {n} AS size, array_to_string(w[i : i + {n - 1}], ' ') AS phrase, count(*) AS f\n"
+        f"        FROM (SELECT lang, w, unnest(range(1, len(w) - {n - 2})) AS i FROM pieces) GROUP BY ALL"
+        for n in range(1, longest + 1)
+    )
+    return f"""
+    WITH pieces AS MATERIALIZED (
+        SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') AS w
+        FROM (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+            FROM documents
+        )
+    ),
+    every AS MATERIALIZED (
+        {sizes}
+    ),
+    counts AS MATERIALIZED (SELECT lang, size, phrase, string_split(phrase, ' ') AS w, f FROM every WHERE f >= {min_count}),
+    totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM every WHERE size = 1 GROUP BY lang),
+    cuts AS (
+        SELECT c.lang, c.phrase, c.f AS a, k, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * c.f // (x.f + y.f) AS BIGINT) AS score
+        FROM (SELECT *, unnest(range(1, size)) AS k FROM counts WHERE size > 1) c
+        JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : k], ' ')
+        JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1 :], ' ')
+    ),
+    worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inside AS (
+        SELECT lang, array_to_string(w[i : i + k - 1], ' ') AS phrase, max(f) AS f
+        FROM (
+            SELECT *, unnest(range(1, size - k + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS k FROM counts WHERE size > 2)
+        ) GROUP BY ALL
+    ),
+    kept AS (
+        SELECT worst.* FROM worst LEFT JOIN inside USING (lang, phrase)
+        WHERE inside.f IS NULL OR 100 * inside.f < {share} * a
+    )
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM kept JOIN totals USING (lang) QUALIFY rank <= {top}
+    """

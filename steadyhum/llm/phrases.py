@@ -49,6 +49,7 @@ from .files import file_system
 MIN_COUNT = 30
 LONGEST = 4
 TOP = 2000
+SHARES = 32
 SHARE = 80
 UNKNOWN = "und"
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -568,8 +569,12 @@ def collocations(
     """lang, rank, phrase, a, l, r, n, score: the best phrases of every language, or all with ``top`` None."""
     counts, words, totals = count_frequent(docs, min_count, longest)
     found = not_inside_longer(scored(counts), counts, share, longest)
-    order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = spelled(found, words).withColumn("rank", F.row_number().over(order))
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    ranked = spelled(found, words).withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(SHARES)))
+    if top is not None:  # the best of each share first, so that no task ranks all phrases of a language
+        best = F.row_number().over(W.partitionBy("lang", "share").orderBy(*order))
+        ranked = ranked.withColumn("rank", best).where(F.col("rank") <= top)
+    ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)))
     if top is not None:
         ranked = ranked.where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select(

@@ -6,13 +6,14 @@ language whose dictionary gives the fewest bytes is the prediction; when the run
 nearly as few the prediction is marked as rejected. A text is compressed in windows of 4096
 bytes, all of them, so that a long text's own repetitions do not drown the dictionary.
 
-Learning sees a bounded sample of labelled rows: per language about ``rows_per_language``
-rows, chosen by a hash of their id over the whole table, ``sample_chars`` code points from the
-middle of each, and ``dictionary_bytes`` in all. Predicting uses whole texts and only texts.
+Learning sees a bounded sample of labelled rows: of each language the ``rows_per_language`` rows that
+come first by a hash of id and text, over the whole table, ``sample_chars`` code points from the
+middle of each, and ``dictionary_bytes`` in all. Every language with a text has a dictionary, up to
+``most_languages``, the most frequent ones. Predicting uses whole texts and only texts.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0 and is rejected;
 ties go to the first language by name; without any labelled row all documents are ``und``;
-repeated rows and null ids are predicted like any other row.
+repeated rows and null ids are learned from and predicted like any other row.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pandas as pd
 import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import unused
@@ -31,6 +33,7 @@ from .common import unused
 ROWS_PER_LANGUAGE = 400
 SAMPLE_CHARS = 300
 DICTIONARY_BYTES = 110_000
+MOST_LANGUAGES = 256
 LEVEL = 5
 WINDOW_BYTES = 4096
 MIN_MARGIN = 0.002
@@ -55,35 +58,35 @@ def learn(
     rows_per_language: int = ROWS_PER_LANGUAGE,
     sample_chars: int = SAMPLE_CHARS,
     dictionary_bytes: int = DICTIONARY_BYTES,
+    most_languages: int = MOST_LANGUAGES,
 ) -> Model:
-    """Model from ``labelled`` (doc_id, text, lang). Its driver memory is bounded by the parameters."""
+    """Model from ``labelled`` (doc_id, text, lang).
+
+    The driver gets at most ``most_languages * rows_per_language`` samples of ``sample_chars``. Tasks cut
+    each language to its first rows before they are shuffled, so a language of any size is no burden.
+    """
     usable = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
-    if not counts:
+    common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    if not common:
         return Model(())
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, rows_per_language / n))).otherwise(share)
+    middle = F.greatest(F.lit(1), F.floor((F.length("text") - sample_chars) / 2)).cast("int")
+    drawn = usable.select(
+        "lang",
+        F.xxhash64("doc_id", "text").alias("draw"),
+        F.substr("text", middle, F.lit(sample_chars)).alias("text"),
+    )
+    place = F.row_number().over(W.partitionBy("lang").orderBy("draw", "text"))
     sample = (
-        usable.where(draw < share)
-        .select(
-            "lang",
-            "doc_id",
-            F.substr(
-                "text",
-                F.greatest(F.lit(1), F.floor((F.length("text") - sample_chars) / 2)).cast("int"),
-                F.lit(sample_chars),
-            ).alias("text"),
-        )
-        .orderBy("lang", F.xxhash64("doc_id"), "text")
-        .limit(2 * rows_per_language * len(counts))
+        drawn.where(F.col("lang").isin([r.lang for r in common]))
+        .withColumn("place", place)
+        .where(F.col("place") <= rows_per_language)
+        .orderBy("lang", "place")
         .collect()
     )
-    parts: dict[str, list[bytes]] = {lang: [] for lang in counts}
+    parts: dict[str, list[bytes]] = {}
     for r in sample:
-        parts[r.lang].append(r.text.lower().encode("utf-8", "replace"))
-    return Model(tuple((lang, b"\n".join(parts[lang])[:dictionary_bytes]) for lang in sorted(counts)))
+        parts.setdefault(r.lang, []).append(r.text.lower().encode("utf-8", "replace"))
+    return Model(tuple((lang, b"\n".join(own)[:dictionary_bytes]) for lang, own in sorted(parts.items())))
 
 
 def predictor(model: Model):

@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+from array import array
 
 import numpy as np
 import regex
@@ -39,6 +40,8 @@ SETTLED = (
 UNSETTLED = regex.compile("[^" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in SETTLED) + "]")
 WORD_END = "\x01"  # closes a word where the vocabulary marks word ends; never in a settled text
 END_MARK = "</w>"
+RUNS_KNOWN = 300_000  # some 200 bytes each; forgotten all at once
+LONG_RUN = 32  # longer ones are not remembered
 
 
 def default_path(name: str) -> str:
@@ -83,6 +86,26 @@ def unsettled(text: str) -> bool:
     return bool(UNSETTLED.search(text))
 
 
+class RunIds(dict):
+    """Ids, as bytes, of runs of words between blanks; each run is split and merged once while it is remembered."""
+
+    def __init__(self, core, words):
+        super().__init__()
+        self.core, self.words = core, words
+
+    def __missing__(self, run: str) -> bytes:
+        if not run:
+            return b""
+        # Letters alone are one word; else every word is closed, the last one too.
+        text = run + WORD_END if run.isascii() and run.isalpha() else WORD_END.join([*self.words.findall(run), ""])
+        ids = array("I", self.core.encode_ordinary(text)).tobytes()
+        if len(run) <= LONG_RUN:
+            if len(self) >= RUNS_KNOWN:
+                self.clear()
+            self[run] = ids
+        return ids
+
+
 class Encoder:
     """Encodes texts to arrays of unsigned 32-bit ids."""
 
@@ -118,6 +141,7 @@ class Encoder:
         pattern = rf"[^{end}]+{end}" if end else words
         self.core = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.normalise, self.words = normalise, regex.compile(words) if end else None
+        self.known = RunIds(self.core, self.words)
 
     def library_ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -129,9 +153,8 @@ class Encoder:
         if self.normalise:
             text = self.normalise(text)
         if self.words:
-            found = self.words.findall(text)
-            found.append("")  # so that the last word is closed too
-            text = WORD_END.join(found)
+            runs = text.replace("\n", " ").split(" ")  # no word holds a blank
+            return np.frombuffer(b"".join(map(self.known.__getitem__, runs)), "I").astype("<u4", copy=False)
         return self.core.encode_to_numpy(text).astype("<u4", copy=False)
 
     def encode(self, text: str) -> np.ndarray:

@@ -36,7 +36,7 @@ def _lists(counts: list[int], values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
-def _frame_rows(matrices: list[np.ndarray]) -> pa.ListArray:
+def frame_lists(matrices: list[np.ndarray]) -> pa.ListArray:
     """(frames, width) matrices as ``array<array<double>>``."""
     width = matrices[0].shape[1] if matrices else 0
     flat = np.concatenate([m.ravel() for m in matrices]) if matrices else np.empty(0)
@@ -50,7 +50,7 @@ def spectrogram(samples: Column, window: np.ndarray, hop: int, bands: np.ndarray
     @F.arrow_udf("array<array<double>>")
     def run(column: pa.Array) -> pa.Array:
         powers = [S.power(x, window, hop) for x in signals(column)]
-        return _frame_rows(powers if bands is None else [p @ bands.T for p in powers])
+        return frame_lists(powers if bands is None else [p @ bands.T for p in powers])
 
     return run(samples)
 
@@ -68,7 +68,7 @@ def cepstrum(samples: Column, params: SignalParams) -> Column:
     def run(column: pa.Array) -> pa.Array:
         plain = [S.cepstra(S.power(x, window, p.hop) @ bands.T, dct) for x in signals(column)]
         families = [plain, *[[S.deltas(c, w) for c in plain] for w in (S.SLOPE_WEIGHTS, S.CURVATURE_WEIGHTS)]]
-        return pa.StructArray.from_arrays([_frame_rows(f) for f in families], names=list(MFCC_FAMILIES))
+        return pa.StructArray.from_arrays([frame_lists(f) for f in families], names=list(MFCC_FAMILIES))
 
     return run(samples)
 

@@ -127,7 +127,12 @@ def power(x: np.ndarray, window: np.ndarray, hop: int) -> np.ndarray:
     n = len(window)
     if len(x) == 0:
         return np.empty((0, n // 2 + 1))
-    spectrum = np.fft.rfft(framed(np.pad(x.astype(np.float64), n // 2), n, hop) * window, axis=1)
+    return frame_power(framed(np.pad(x.astype(np.float64), n // 2), n, hop), window)
+
+
+def frame_power(frames: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """(frames, bins) power spectrum of ready frames."""
+    spectrum = np.fft.rfft(frames * window, axis=1)
     return spectrum.real**2 + spectrum.imag**2
 
 

@@ -2,6 +2,7 @@
 
 from . import (  # noqa: F401
     catalog_queries,
+    chunk_queries,
     evaluation_queries,
     flagship_queries,
     fusion_queries,

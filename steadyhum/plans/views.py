@@ -183,6 +183,20 @@ clip AS (
   FROM samples)"""
 
 
+def signal_chunks(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """Whole signals as recordings, in chunks of ``size`` samples: (rec_id, start, samples)."""
+    samples = numbered_samples(spark, sf_dir).withColumn("chunk", F.floor(F.col("n") / size))
+    inside = F.struct("n", (F.col("v") / SIGNAL_SCALE - 0.5).alias("x"))
+    cut = samples.groupBy("signal_id", "chunk").agg(F.sort_array(F.collect_list(inside)).alias("s"))
+    return cut.select(
+        F.col("signal_id").alias("rec_id"), (F.col("chunk") * size).cast("long").alias("start"), F.col("s.x").alias("samples")
+    )
+
+
+SIGNAL_SQL = SAMPLE_SQL + f""",
+clip AS (SELECT signal_id AS rec_id, CAST(n AS INTEGER) AS i, v / {SIGNAL_SCALE} - 0.5 AS x FROM samples)"""
+
+
 def sql(body: str, *views: str) -> str:
     """``body`` behind the named view fragments."""
     return "WITH " + ",\n".join(views) + "\n" + body if views else body

@@ -25,7 +25,8 @@ from ..functions import signal as S
 from ..functions.kernels import frame_lists, signals
 from ..functions.scale import bounded_join, materialize
 from ..functions.signal import SignalParams
-from .preprocess import decibel, mel_weights_of
+from ..functions.vectors import scaled_down
+from .preprocess import SILENCE_PEAK, decibel, mel_weights_of, peak
 
 CELL_FRAMES = 512
 BORDER = S.DELTA_WIDTH - 1  # frames on each side that the deltas at a recording's ends look at
@@ -166,6 +167,13 @@ def with_top(rows: DataFrame, keys: list[str], value: Column, name: str) -> Data
     return joined.drop("_key")
 
 
+def normalize(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, start, samples): samples divided by the recording's largest absolute one, unless it is silent."""
+    peaked = with_top(chunks.select(*keys, "start", "samples"), keys, peak(F.col("samples")), "_peak")
+    divisor = F.when(F.col("_peak") < SILENCE_PEAK, 1.0).otherwise(F.col("_peak"))
+    return peaked.select(*keys, "start", scaled_down(F.col("samples").cast("array<double>"), divisor).alias("samples"))
+
+
 def log_mel(chunks: DataFrame, keys: list[str], params: SignalParams, cell_frames_n: int = CELL_FRAMES) -> DataFrame:
     """(keys, frame, mel): band power in dB relative to the recording's loudest band."""
     melled = power_frames(chunks, keys, params.n_fft, params.hop, mel_weights_of(params), cell_frames_n)

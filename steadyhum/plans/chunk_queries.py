@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scale import fresh_path
+from ..functions.vectors import total
 from ..operators import chunked as C
 from ..operators.preprocess import mel_weights_of
+from ..sources import wav_ranges as R
+from ..sources.wav import encode_wav
 from . import views as X
 from . import wave_queries as Q
 from .registry import query, r6, rounded
@@ -131,3 +135,60 @@ def chunk_violations(spark, sf_dir):
     whole = chunks(spark, sf_dir)
     gappy = whole.where(~((F.col("rec_id") % 3 == 0) & (F.col("start") % 300 == 0)))
     return C.chunk_violations(gappy.unionByName(whole.where("rec_id % 3 = 1 AND start = 200")), KEYS)
+
+
+PCM_VIEWS = (X.SIGNAL_SQL, Q.QUANTISED_SQL)
+
+
+def written_wavs(spark, sf_dir):
+    """(rec_id, path) of WAV files of whole signals, some of them spoiled."""
+    samples = X.numbered_samples(spark, sf_dir).select(
+        F.col("signal_id").alias("rec_id"), F.struct("n", (F.col("v") / X.SIGNAL_SCALE - 0.5).alias("x")).alias("s")
+    )
+    waves = samples.groupBy("rec_id").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    content = encode_wav(F.col("s.x"), F.lit(X.SAMPLE_RATE))
+    spoiled = (
+        F.when(F.col("rec_id") % 17 == 0, F.lit(b""))
+        .when(F.col("rec_id") % 17 == 1, F.lit(b"not a wav file"))
+        .otherwise(F.col("content"))
+    )
+    files = waves.select("rec_id", F.concat(F.col("rec_id"), F.lit(".wav")).alias("name"), content.alias("content"))
+    return R.write_wavs(files.withColumn("content", spoiled), fresh_path(spark, "wavs"))
+
+
+@query(
+    "wav_ranges",
+    "S4",
+    X.sql(
+        f"""SELECT rec_id, CAST(start AS BIGINT) AS start, CASE WHEN ok THEN 16000 END AS sample_rate, CASE WHEN ok THEN 1 END AS channels,
+       CASE WHEN ok THEN n END AS n_samples, CASE WHEN ok THEN round(s, 5) + 0.0 END AS total, NOT ok AS failed
+FROM (SELECT rec_id, rec_id % 17 > 1 AS ok, CASE WHEN rec_id % 17 > 1 THEN i // {CHUNK} * {CHUNK} ELSE 0 END AS start,
+             CAST(count(*) AS INTEGER) AS n, sum(x) AS s FROM pcm GROUP BY ALL) t""",
+        *PCM_VIEWS,
+    ),
+)
+def wav_ranges(spark, sf_dir):
+    read = R.read_wav_chunks(written_wavs(spark, sf_dir), range_frames=CHUNK)
+    samples = F.col("samples").cast("array<double>")
+    return read.select(
+        "rec_id", "start", "sample_rate", "channels",
+        F.when(samples.isNotNull(), F.size(samples)).alias("n_samples"),
+        r6(total(samples), 5).alias("total"),
+        F.col("error").isNotNull().alias("failed"),
+    )
+
+
+@query(
+    "chunked_preprocess_wav",
+    "P9 S4",
+    X.sql(
+        Q.LOG_MEL_SELECT.replace("CAST(frame AS INTEGER)", "CAST(frame AS BIGINT)"),
+        *PCM_VIEWS,
+        "unit AS (SELECT rec_id, i, x / max(abs(x)) OVER (PARTITION BY rec_id) AS x FROM pcm WHERE rec_id % 17 > 1)",
+        "len AS (SELECT rec_id, count(*) AS n FROM unit GROUP BY rec_id)",
+        Q.frames_sql("fx32", 32, "len", "unit"), Q.PW32, Q.MEL32,
+    ),
+)
+def chunked_preprocess_wav(spark, sf_dir):
+    read = R.read_wav_chunks(written_wavs(spark, sf_dir), range_frames=CHUNK).where("error IS NULL")
+    return Q.tidy_log_mel(C.log_mel(C.normalize(read, KEYS), KEYS, Q.SMALL, CELL))

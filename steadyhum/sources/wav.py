@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 _PCM = {1: "u1", 2: "<i2", 4: "<i4"}
 
 
-def _pcm_to_float(raw: bytes, width: int) -> np.ndarray:
+def pcm_to_float(raw: bytes, width: int) -> np.ndarray:
     if width == 3:
         b = np.frombuffer(raw, dtype="u1").reshape(-1, 3).astype(np.int32)
         return ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) << 8).astype(np.float64) / 2.0**31
@@ -36,7 +36,7 @@ def _decode(raw: bytes | None) -> tuple[int | None, int | None, np.ndarray | Non
             data = f.readframes(f.getnframes())
         if not data:
             return rate, channels, None, "no samples"
-        mono = _pcm_to_float(data, width).reshape(-1, channels).mean(axis=1)
+        mono = pcm_to_float(data, width).reshape(-1, channels).mean(axis=1)
         return rate, channels, mono.astype(np.float32), None
     except (wave.Error, EOFError, KeyError, ValueError) as exc:
         return None, None, None, f"not a readable wav: {exc}"

@@ -1,33 +1,52 @@
-"""Synchronous data-parallel training of the projection head.
-
-A step is a set of mini-batches. Executors compute one gradient per batch, Spark sums the
-gradients block by block, and the driver, which only ever holds the model, applies Adam and
-broadcasts the new weights. One batch per step gives plain sequential mini-batch training, at
-any size. Only an explicit ``max_steps`` merges more batches into a step, which changes the result.
-Pairs stay keys until their batch is known; vectors are joined once per epoch.
+"""Synchronous data-parallel training of the projection head, one Adam step per mini-batch.
+
+An epoch is one job. Its pairs stay keys until their batch is known; vectors are then joined once and
+dealt to a few barrier tasks, which all hold the model and the optimizer's state. Of every batch a
+task reads its share of the pairs and projects them; an all-gather brings the projections together, as
+the loss compares all pairs of a batch, and a second one the gradient: its factors, a few numbers
+per row of the batch, or, for batches larger than the model, the sums of every task. All tasks then make the same
+step, so their models stay equal. If a task is lost, the stage starts again from the state before the epoch.
+
+What is gathered goes through small files in the shared folder. A barrier task context's own all-gather
+would send it through the driver and looks for answers once a second, which is longer than a job per
+step takes. The driver gets the last state, from one task.
+
+Where barrier stages cannot run (dynamic allocation, or ``workers`` 0), and where batches are merged into
+steps, every step is a job: one gradient per batch, summed block by block, and Adam on the driver. One
+batch per step gives the same training either way. Only an explicit ``batches_per_step`` or ``max_steps`` merges
+more batches into a step, which changes the result.
 """
 
 from __future__ import annotations
 
+import io
 import math
+import time
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kernels import stack
-from ..functions.scale import materialize
+from ..functions.scale import fresh_path, materialize
 from ..functions.vectors import UNIT_EPS
+from ..sources.wav_ranges import file_system
 from .pairs import batches, split_validation, split_violations
 from .projection import TEMPERATURE, Checkpoint, Head, batch_loss
 
 # Fixed values of the optimizer.
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
 
+PATIENCE = 600.0  # seconds that a worker waits for another one's message
+PARTNERS = 1 << 40  # the place of the first partner, behind all anchors
 GRADIENT_SCHEMA = "batch long, loss double, block int, gradient array<double>"
 
 
@@ -44,6 +63,7 @@ class TrainingConfig:
     batches_per_step: int = 1
     max_steps: int | None = None  # bounds the steps of an epoch by merging batches; changes the result
     gradient_blocks: int = 16
+    workers: int = 4  # barrier tasks of an epoch; 0 makes every step a job
 
 
 def gradient(head: Head, x: np.ndarray, temperature: float) -> tuple[float, list[np.ndarray]]:
@@ -64,6 +84,14 @@ class Adam:
         self.m = [np.zeros_like(p) for p in head.parts()]
         self.v = [np.zeros_like(p) for p in head.parts()]
 
+    @classmethod
+    def of(cls, other: Adam) -> Adam:
+        """A copy with state arrays of its own."""
+        made = cls.__new__(cls)
+        made.rate, made.t = other.rate, other.t
+        made.m, made.v = [x.copy() for x in other.m], [x.copy() for x in other.v]
+        return made
+
     def step(self, head: Head, grads: list[np.ndarray]) -> Head:
         self.t += 1
         updated = []
@@ -142,6 +170,14 @@ def with_vectors(pairs: DataFrame, vectors: DataFrame, key: str = "rec_id", vect
     return pairs.join(a, "anchor_id").join(b, "paired_id")
 
 
+def epoch_keys(train: DataFrame, config: TrainingConfig, epoch: int) -> tuple[DataFrame, int]:
+    """The epoch's batches as keys, written once, and their number."""
+    keys = batches(train, config.batch_size, config.seed + 100 + epoch)
+    keys = materialize(keys.select("anchor_id", "paired_id", "batch", "batch_position"), f"batches_{epoch}")
+    last = keys.agg(F.max("batch")).first()[0]
+    return keys, 0 if last is None else last + 1
+
+
 def epoch_steps(
     train: DataFrame, vectors: DataFrame, config: TrainingConfig, epoch: int
 ) -> tuple[DataFrame, int]:
@@ -149,10 +185,7 @@ def epoch_steps(
 
     Files hold ranges of steps, so the filter of a step skips nearly all of them by their statistics.
     """
-    keys = batches(train, config.batch_size, config.seed + 100 + epoch)
-    keys = materialize(keys.select("anchor_id", "paired_id", "batch", "batch_position"), f"batches_{epoch}")
-    last = keys.agg(F.max("batch")).first()[0]
-    n_batches = 0 if last is None else last + 1
+    keys, n_batches = epoch_keys(train, config, epoch)
     per_step = config.batches_per_step
     if config.max_steps is not None:
         per_step = max(per_step, math.ceil(n_batches / config.max_steps))
@@ -162,6 +195,175 @@ def epoch_steps(
     return materialize(arranged, f"epoch_{epoch}"), math.ceil(n_batches / per_step)
 
 
+def worker_slots(spark: SparkSession, workers: int) -> list[int]:
+    """A number per worker that Spark's hash partitioning into as many partitions sends to a partition of its own."""
+    part = F.pmod(F.hash("id"), F.lit(workers))
+    found = spark.range(64 * workers).groupBy(part.alias("part")).agg(F.min("id").alias("id")).collect()
+    slots = {r.part: r.id for r in found}
+    if len(slots) < workers:
+        raise RuntimeError(f"no number for each of {workers} workers")
+    return [slots[w] for w in range(workers)]
+
+
+class Exchange:
+    """All-gather between the tasks of a barrier stage, through a folder that all of them see."""
+
+    def __init__(self, folder: str, worker: int, workers: int, patience: float = PATIENCE):
+        self.system, self.folder = file_system(folder)
+        self.worker, self.workers, self.patience, self.turn = worker, workers, patience, 0
+        self.system.create_dir(self.folder, recursive=True)
+
+    def _name(self, turn: int, worker: int) -> str:
+        return f"{self.folder}/{turn}-{worker}"
+
+    def all_gather(self, message: bytes) -> list[bytes]:
+        """The messages of all workers in their order; every worker has to call this equally often."""
+        self.turn += 1
+        own = self._name(self.turn, self.worker)
+        with self.system.open_output_stream(f"{own}.part", compression=None) as f:
+            f.write(message)
+        self.system.move(f"{own}.part", own)
+        found = [message if w == self.worker else self._read(self._name(self.turn, w)) for w in range(self.workers)]
+        if self.turn > 1:  # all have written this turn's, so all have read the last one's
+            self.system.delete_file(self._name(self.turn - 1, self.worker))
+        return found
+
+    def _read(self, name: str) -> bytes:
+        until, pause = time.monotonic() + self.patience, 0.0005
+        while True:
+            try:
+                with self.system.open_input_file(name) as f:
+                    return f.read()
+            except FileNotFoundError:
+                if time.monotonic() > until:
+                    raise
+                time.sleep(pause)
+                pause = min(0.02, 1.5 * pause)
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    return b"".join(np.ascontiguousarray(a, dtype=np.float64).tobytes() for a in arrays)
+
+
+def unpacked(message: bytes, widths: list[int]) -> list[np.ndarray]:
+    """The arrays of a message of (rows, width) arrays with equal numbers of rows."""
+    flat = np.frombuffer(message, np.float64)
+    rows = flat.size // sum(widths)
+    ends = np.cumsum([rows * w for w in widths])
+    return [flat[e - rows * w : e].reshape(rows, w) for e, w in zip(ends, widths, strict=True)]
+
+
+def gathered(exchange: Exchange, widths: list[int], places: np.ndarray, *arrays: np.ndarray) -> list[np.ndarray]:
+    """All workers' places in the batch, ascending, and their rows of ``arrays`` in that order."""
+    messages = [unpacked(m, [1, *widths]) for m in exchange.all_gather(packed(places[:, None], *arrays))]
+    every = np.concatenate([m[0][:, 0] for m in messages])
+    order = np.argsort(every)
+    return [every[order], *(np.concatenate([m[i + 1] for m in messages])[order] for i in range(len(widths)))]
+
+
+def joint_gradient(
+    exchange: Exchange, head: Head, places: np.ndarray, x: np.ndarray, temperature: float
+) -> tuple[float, list[np.ndarray]]:
+    """Loss and gradient of a batch of which this worker holds the rows ``x``, at ascending ``places`` of all anchors, then all partners."""
+    hidden = np.maximum(x @ head.w1.T + head.b1, 0.0)
+    out = hidden @ head.w2.T + head.b2
+    length = np.maximum(np.linalg.norm(out, axis=1, keepdims=True), UNIT_EPS)
+    own = out / length
+    every, z = gathered(exchange, [out.shape[1]], places, own)
+    loss, dz = batch_loss(z, temperature)
+    dz = dz[np.searchsorted(every, places)]
+    d_out = (dz - (dz * own).sum(axis=1, keepdims=True) * own) / length
+    d_hidden = (d_out @ head.w2) * (hidden > 0)
+    widths = [x.shape[1], hidden.shape[1], d_hidden.shape[1], d_out.shape[1]]
+    if len(z) * sum(widths) <= exchange.workers * sum(p.size for p in head.parts()):
+        _, x, hidden, d_hidden, d_out = gathered(exchange, widths, places, x, hidden, d_hidden, d_out)
+        return loss, [d_hidden.T @ x, d_hidden.sum(axis=0), d_out.T @ hidden, d_out.sum(axis=0)]
+    part = [d_hidden.T @ x, d_hidden.sum(axis=0), d_out.T @ hidden, d_out.sum(axis=0)]
+    sums = [np.frombuffer(m, np.float64) for m in exchange.all_gather(packed(*[g.ravel() for g in part]))]
+    return loss, _shaped(np.sum(sums, axis=0), head)
+
+
+def batchwise(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(batch, positions, anchors, partners) of rows sorted by batch; an Arrow batch may end within one."""
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def whole() -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        table = pa.Table.from_batches(held)
+        positions = table.column("batch_position").to_numpy()
+        sides = []
+        for side in ("a", "b"):
+            column = table.column(side).combine_chunks()
+            sides.append(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(positions), -1))
+        return last, positions, *sides
+
+    for rows in batches:
+        numbers = rows.column(rows.schema.get_field_index("batch")).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)] if len(numbers) else []
+        for i, j in zip(edges, edges[1:], strict=False):
+            if held and numbers[i] != last:
+                yield whole()
+                held = []
+            last = int(numbers[i])
+            held.append(rows.slice(i, j - i))
+    if held:
+        yield whole()
+
+
+def train_epoch(
+    batched: DataFrame, head: Head, adam: Adam, config: TrainingConfig, n_batches: int
+) -> tuple[Head, Adam, float]:
+    """Head, optimizer and the sum of the losses after one step for each of the batches 0 to ``n_batches - 1``, in one job.
+
+    ``batched`` holds (batch, batch_position, a, b); positions of a batch count from 0.
+    """
+    spark = batched.sparkSession
+    workers = min(config.workers, spark.sparkContext.defaultParallelism)
+    slots = F.array(*[F.lit(s).cast("long") for s in worker_slots(spark, workers)])
+    slot = F.element_at(slots, (F.pmod("batch_position", F.lit(workers)) + 1).cast("int"))
+    shared = spark.sparkContext.broadcast((head, adam))
+    temperature, dim, folder = config.temperature, head.w1.shape[1], fresh_path(spark, "exchange")
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ctx = BarrierTaskContext.get()
+        attempt = ctx.allGather(uuid.uuid4().hex)[0]  # the first worker names the folder, another one if the stage starts again
+        exchange = Exchange(f"{folder}/{attempt}", ctx.partitionId(), workers)
+        model, optimizer = shared.value
+        optimizer = Adam.of(optimizer)  # a worker's process may serve several attempts
+        stream, total = batchwise(rows), 0.0
+        ahead = next(stream, None)
+        for number in range(n_batches):
+            places, x = np.zeros(0), np.zeros((0, dim))
+            if ahead and ahead[0] == number:
+                _, positions, a, b = ahead
+                places, x = np.concatenate([positions, PARTNERS + positions]).astype(np.float64), np.concatenate([a, b])
+                ahead = next(stream, None)
+            loss, grads = joint_gradient(exchange, model, places, x, temperature)
+            model, total = optimizer.step(model, grads), total + loss
+        if ctx.partitionId() == 0:
+            state = io.BytesIO()
+            parts = {f"p{i}": p for i, p in enumerate([*model.parts(), *optimizer.m, *optimizer.v])}
+            np.savez(state, t=optimizer.t, **parts)
+            yield pa.RecordBatch.from_arrays([pa.array([state.getvalue()]), pa.array([total])], names=["state", "loss"])
+
+    dealt = batched.select(slot.alias("slot"), "batch", "batch_position", "a", "b").repartition(workers, "slot")
+    sorted_rows = dealt.sortWithinPartitions("batch", "batch_position").select("batch", "batch_position", "a", "b")
+    # The exchange makes the barrier stage one that Spark can start again.
+    row = sorted_rows.mapInArrow(run, "state binary, loss double", barrier=True).repartition(1).collect()[0]
+    state = np.load(io.BytesIO(bytes(row.state)))
+    n = len(head.parts())
+    parts = [state[f"p{i}"] for i in range(3 * n)]
+    after = Adam.of(adam)
+    after.t, after.m, after.v = int(state["t"]), parts[n : 2 * n], parts[2 * n :]
+    return Head(*parts[:n]), after, row.loss
+
+
+def in_one_job(spark: SparkSession, config: TrainingConfig) -> bool:
+    """Whether an epoch can be one barrier stage."""
+    fixed = spark.conf.get("spark.dynamicAllocation.enabled", "false") != "true"
+    return fixed and config.workers > 0 and config.batches_per_step == 1 and config.max_steps is None
+
+
 def fit(positives: DataFrame, vectors: DataFrame, config: TrainingConfig | None = None, head: Head | None = None):
     """Train on positive pairs; returns (best checkpoint, history as a DataFrame).
 
@@ -178,12 +380,17 @@ def fit(positives: DataFrame, vectors: DataFrame, config: TrainingConfig | None
     model = head or Head.initial((len(vectors.select("vector").first()[0]), c.hidden, c.output), c.seed)
     adam, best, history = Adam(model, c.learning_rate), None, []
     for epoch in range(1, c.epochs + 1):
-        stored, n_steps = epoch_steps(train, vectors, c, epoch)
         total, seen = 0.0, 0
-        for step in range(n_steps):
-            grads, loss, n = step_gradient(stored.where(F.col("step") == step), model, c)
-            model = adam.step(model, grads)
-            total, seen = total + loss * n, seen + n
+        if in_one_job(spark, c):
+            keys, seen = epoch_keys(train, c, epoch)
+            if seen:
+                model, adam, total = train_epoch(with_vectors(keys, vectors), model, adam, c, seen)
+        else:
+            stored, n_steps = epoch_steps(train, vectors, c, epoch)
+            for step in range(n_steps):
+                grads, loss, n = step_gradient(stored.where(F.col("step") == step), model, c)
+                model = adam.step(model, grads)
+                total, seen = total + loss * n, seen + n
         val = mean_loss(validation, model, c)
         history.append((epoch, total / seen if seen else 0.0, val))
         if val < (best.validation_loss if best else math.inf):

@@ -10,7 +10,7 @@ from ..functions.vectors import unit
 from ..operators import pairs as PR
 from ..operators import projection as PJ
 from ..operators.profile import build_profile
-from ..operators.training import TrainingConfig, fit, step_gradient, with_vectors
+from ..operators.training import Adam, TrainingConfig, fit, step_gradient, train_epoch, with_vectors
 from . import views as X
 from .catalog_queries import round_trip_summary
 from .registry import query, rounded
@@ -250,7 +250,7 @@ def batch_violations(spark, sf_dir):
     return PR.batch_violations(marked.withColumns({"a": a, "b": b}), temperature=temperature)
 
 
-SMALL_TRAINING = TrainingConfig(hidden=32, output=16, batch_size=64, epochs=2, batches_per_step=4, gradient_blocks=4)
+SMALL_TRAINING = TrainingConfig(hidden=32, output=16, batch_size=64, epochs=2, gradient_blocks=4)
 
 
 @query("training_history", "K11")
@@ -314,6 +314,92 @@ def training_step(spark, sf_dir):
     return rounded(units.select("layer", "unit", values).unionByName(first), "gradient")
 
 
+HALVES_SQL = """halves AS (
+  SELECT anchor_id, paired_id, pos * 2 // n AS batch, row_number() OVER (PARTITION BY pos * 2 // n ORDER BY pos) - 1 AS batch_position
+  FROM (SELECT *, batch * 16 + batch_position AS pos, count(*) OVER () AS n FROM batched) t),
+half AS (
+  SELECT batch, batch_position AS p, 0 AS side, anchor_id AS rec_id FROM halves
+  UNION ALL SELECT batch, batch_position, 1, paired_id FROM halves),
+w0 AS (
+  SELECT layer, unit, position, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v,
+         CASE WHEN position = 0 THEN CAST(unit * 13 % 29 - 14 AS DOUBLE) / 100
+              ELSE CAST(((position - 1) * 31 + unit * 17) % 101 - 50 AS DOUBLE) / 500 END AS w
+  FROM place)"""
+
+
+def dense_sql(name: str, source: str, weights: str, layer: int, outer: str = "{s}") -> str:
+    """A layer with its weights from a table."""
+    dot = outer.format(s=f"sum(x.v * w.w) + (SELECT b.w FROM {weights} b WHERE b.layer = {layer} AND b.position = 0 AND b.unit = w.unit)")
+    return f"""{name} AS MATERIALIZED (
+  SELECT x.rec_id, w.unit AS i, {dot} AS v FROM {source} x JOIN {weights} w ON w.layer = {layer} AND w.position = x.i + 1
+  GROUP BY x.rec_id, w.unit)"""
+
+
+def adam_step_sql(k: int, rate: float) -> str:
+    """Gradient of the loss over batch ``k``, and Adam's step from ``wk`` to ``w(k + 1)``."""
+    t = k + 1
+    return f"""in{k} AS MATERIALIZED (SELECT p, side, rec_id FROM half WHERE batch = {k}),
+x{k} AS MATERIALIZED (SELECT rec_id, i, v FROM dim WHERE rec_id IN (SELECT rec_id FROM in{k})),
+{dense_sql(f"hid{k}", f"x{k}", f"w{k}", 1, "greatest(0.0, {s})")},
+{dense_sql(f"out{k}", f"hid{k}", f"w{k}", 2)},
+len{k} AS MATERIALIZED (SELECT rec_id, greatest(sqrt(sum(v * v)), 1e-12) AS l FROM out{k} GROUP BY rec_id),
+z{k} AS MATERIALIZED (SELECT rec_id, i, v / l AS v FROM out{k} JOIN len{k} USING (rec_id)),
+soft{k} AS MATERIALIZED (
+  SELECT *, exp(s - top) / sum(exp(s - top)) OVER (PARTITION BY p, side) AS q, 1 + count(*) OVER (PARTITION BY p, side) AS n2
+  FROM (
+    SELECT *, max(s) OVER (PARTITION BY p, side) AS top FROM (
+      SELECT a.p, a.side, b.p AS p2, b.side AS side2, sum(x.v * y.v) / 0.1 AS s
+      FROM in{k} a JOIN in{k} b ON a.p <> b.p OR a.side <> b.side
+      JOIN z{k} x ON x.rec_id = a.rec_id JOIN z{k} y ON y.rec_id = b.rec_id AND y.i = x.i GROUP BY a.p, a.side, b.p, b.side) r) t),
+pull{k} AS MATERIALIZED (SELECT p, side, p2, side2, (q - CASE WHEN p = p2 THEN 1 ELSE 0 END) / n2 AS g FROM soft{k}),
+du{k} AS MATERIALIZED (
+  SELECT a.p, a.side, z.i, sum((a.g + b.g) * z.v) / 0.1 AS v
+  FROM pull{k} a JOIN pull{k} b ON b.p = a.p2 AND b.side = a.side2 AND b.p2 = a.p AND b.side2 = a.side
+  JOIN in{k} m ON m.p = a.p2 AND m.side = a.side2 JOIN z{k} z ON z.rec_id = m.rec_id GROUP BY a.p, a.side, z.i),
+do{k} AS MATERIALIZED (
+  SELECT d.p, d.side, m.rec_id, d.i, (d.v - sum(d.v * z.v) OVER (PARTITION BY d.p, d.side) * z.v) / l AS v
+  FROM du{k} d JOIN in{k} m USING (p, side) JOIN z{k} z ON z.rec_id = m.rec_id AND z.i = d.i JOIN len{k} r ON r.rec_id = m.rec_id),
+dh{k} AS MATERIALIZED (
+  SELECT d.p, d.side, d.rec_id, x.i, sum(d.v * w.w) AS v FROM do{k} d JOIN hid{k} x ON x.rec_id = d.rec_id
+  JOIN w{k} w ON w.layer = 2 AND w.unit = d.i AND w.position = x.i + 1 WHERE x.v > 0 GROUP BY d.p, d.side, d.rec_id, x.i),
+g{k} AS MATERIALIZED (
+  SELECT 1 AS layer, d.i AS unit, x.i + 1 AS position, sum(d.v * x.v) AS g FROM dh{k} d JOIN x{k} x ON x.rec_id = d.rec_id GROUP BY d.i, x.i
+  UNION ALL SELECT 1, i, 0, sum(v) FROM dh{k} GROUP BY i
+  UNION ALL SELECT 2, d.i, x.i + 1, sum(d.v * x.v) FROM do{k} d JOIN hid{k} x ON x.rec_id = d.rec_id GROUP BY d.i, x.i
+  UNION ALL SELECT 2, i, 0, sum(v) FROM do{k} GROUP BY i),
+w{t} AS MATERIALIZED (
+  SELECT layer, unit, position, m, v, w - {rate} * (m / (1 - pow(0.9, {t}))) / (sqrt(v / (1 - pow(0.999, {t}))) + 1e-8) AS w
+  FROM (SELECT layer, unit, position, w, 0.9 * m + 0.1 * coalesce(g, 0) AS m, 0.999 * v + 0.001 * coalesce(g, 0) * coalesce(g, 0) AS v
+        FROM w{k} LEFT JOIN g{k} USING (layer, unit, position)) a)"""
+
+
+@query(
+    "training_two_steps",
+    "K11",
+    X.sql(
+        """SELECT CAST(layer AS INTEGER) AS layer, CAST(unit AS INTEGER) AS unit, CAST(position AS INTEGER) AS position, round(w, 6) + 0.0 AS weight FROM w2
+UNION ALL SELECT 0, 0, 0, round(sum(l), 6) + 0.0 FROM (
+  SELECT -avg(ln(q)) AS l FROM soft0 WHERE p = p2 UNION ALL SELECT -avg(ln(q)) FROM soft1 WHERE p = p2) t""",
+        *X.DIM_VIEWS, INDEX_SQL, POSITIVE_SQL, BATCH_SQL, STEP_VIEWS[-1], HALVES_SQL, adam_step_sql(0, 0.01), adam_step_sql(1, 0.01),
+    ),
+)
+def training_two_steps(spark, sf_dir):
+    """Weights after an epoch of two batches, all pairs between them, and the sum of their losses (layer 0)."""
+    pairs = materialize(batched(spark, sf_dir), "numbered_pairs")
+    n = pairs.count()
+    place = F.col("batch") * BATCH + F.col("batch_position")
+    second = F.floor(place * 2 / n)
+    first_of_second = -(-n // 2)
+    halves = pairs.withColumns({"batch": second, "batch_position": place - second * first_of_second})
+    config = TrainingConfig(learning_rate=0.01)
+    head = rational_head()
+    head, _, loss = train_epoch(with_vectors(halves, X.recordings(spark, sf_dir)), head, Adam(head, config.learning_rate), config, 2)
+    units = PJ.weights_table(spark, head, "trained")
+    values = F.posexplode(F.concat(F.array("bias"), F.col("weights"))).alias("position", "weight")
+    first = spark.createDataFrame([(0, 0, 0, loss)], "layer int, unit int, position int, weight double")
+    return rounded(units.select("layer", "unit", values).unionByName(first), "weight")
+
+
 HISTORY_SQL = """history AS (
   SELECT CAST(user_id % 12 + 1 AS INTEGER) AS epoch, avg(value) AS training_loss,
          CAST(round(avg(value) FILTER (event_type = 'error') / 20) AS DOUBLE) AS validation_loss

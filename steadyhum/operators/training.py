@@ -35,10 +35,10 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.files import file_system
 from ..functions.kernels import stack
 from ..functions.scale import fresh_path, materialize
 from ..functions.vectors import UNIT_EPS
-from ..sources.wav_ranges import file_system
 from .pairs import batches, split_validation, split_violations
 from .projection import TEMPERATURE, Checkpoint, Head, batch_loss
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scale import fresh_path
 from ..functions.vectors import total
 from ..operators import catalog as C
+from ..sources import feature_store as FS
 from ..sources import recordings as R
 from ..sources import stores as S
 from . import views as X
@@ -347,6 +351,34 @@ def store_load_or_create(spark, sf_dir):
     return S.load_or_create(recs, partial_store(spark, sf_dir), compute)
 
 
+STORED = T.StructType([T.StructField(c, T.StringType()) for c in S.STORE_KEY] + [T.StructField("value", T.DoubleType())])
+
+
+@query(
+    "store_snapshots",
+    "S8",
+    X.sql(
+        """SELECT machine_type, machine_id, label, replace(filename, '.wav', '') AS stem, round(s, 6) + 0.0 AS value, CAST(1 AS BIGINT) AS n_rows
+FROM (SELECT rec_id, machine_type, machine_id, label, filename, sum(v) AS s FROM dim GROUP BY ALL) t""",
+        *X.DIM_VIEWS,
+    ),
+)
+def store_snapshots(spark, sf_dir):
+    """A store after two writers at a time, whose recordings overlap, a repeated run, and a compaction."""
+
+    def compute(misses):
+        return misses.withColumn("value", r6(total(F.col("vector"))))
+
+    recs, path = X.recordings(spark, sf_dir), fresh_path(spark, "store")
+    parts = [recs.where("rec_id % 3 <> 0"), recs.where("rec_id % 3 <> 1")]
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda part: FS.extend_store(part, path, compute, STORED), parts))
+    FS.extend_store(recs, path, compute, STORED)
+    FS.compact(spark, path, STORED)
+    rows = FS.rows_of(spark, path, FS.latest(spark, path).commits, STORED)
+    return rows.groupBy(*S.STORE_KEY).agg(F.max("value").alias("value"), F.count(F.lit(1)).alias("n_rows"))
+
+
 @query(
     "store_coverage",
     "S9",

@@ -13,7 +13,8 @@ from ..operators.fusion import attach_embeddings, dimensions, fuse
 from ..operators.preprocess import TARGET_RATE, prepare_waves
 from ..operators.projection import Head, project
 from ..sources.recordings import accepted, parse_paths, relative_path, scan_files
-from ..sources.stores import STORE_KEY, extend_store, with_store_key
+from ..sources.feature_store import extend_store
+from ..sources.stores import STORE_KEY, with_store_key
 from ..sources.wav import decode_wav
 from .report import explained_report, health_report
 

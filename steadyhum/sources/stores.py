@@ -1,8 +1,7 @@
-"""Result tables as JSON and Parquet, schema contracts, and the feature store."""
+"""Result tables as JSON and Parquet, schema contracts, and lookups in a store of features; ``feature_store`` has its files."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,21 +96,6 @@ def load_or_create(recordings: DataFrame, store: DataFrame, compute) -> DataFram
     return hits.unionByName(fresh)
 
 
-def extend_store(recordings: DataFrame, path: str, compute, schema: T.StructType) -> DataFrame:
-    """Append what is missing to the Parquet store at ``path``; returns the wanted rows."""
-    spark = recordings.sparkSession
-    try:
-        store = spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        store = spark.createDataFrame([], schema)
-    fresh = compute(store_misses(recordings, store)).select(*schema.names)
-    # few files per machine, and several tasks for a machine with most of the recordings
-    fresh = fresh.hint("rebalance", "machine_type", "machine_id")
-    fresh.write.mode("append").partitionBy("machine_type", "machine_id").parquet(path)
-    grown = spark.read.schema(schema).parquet(path)
-    return grown.join(with_store_key(recordings).select(*STORE_KEY), STORE_KEY, "left_semi")
-
-
 def store_coverage(recordings: DataFrame, store: DataFrame) -> DataFrame:
     """One row: hits, misses, total."""
     known = store.select(*STORE_KEY).distinct().withColumn("_hit", F.lit(True))

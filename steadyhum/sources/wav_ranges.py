@@ -15,7 +15,6 @@ form for files over 4 GB, is read too.
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -29,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.files import file_system
 from ..functions.scale import materialize
 from .wav import pcm_to_float
 
@@ -63,15 +63,6 @@ class Header:
     error: str | None = None
 
 
-def file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    """Arrow's file system and inner path of what Spark calls ``path``: no escapes, ``file:/x`` and ``s3a:`` included."""
-    scheme, authority, inner = re.match(r"(?:([A-Za-z][A-Za-z0-9+.-]*):(?://([^/]*))?)?(.*)", path, re.S).groups()
-    if scheme in (None, "file"):
-        return pafs.LocalFileSystem(), inner
-    system, base = pafs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}://{authority or ''}/")
-    return system, base.rstrip("/") + inner
-
-
 def opened(path: str) -> pa.NativeFile:
     system, inner = file_system(path)
     return system.open_input_file(inner)

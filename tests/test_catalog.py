@@ -6,6 +6,7 @@ from steadyhum.functions.ranking import first_n, number_rows, quantile_bucket
 from steadyhum.operators.evaluate import trend_series
 from steadyhum.operators import catalog as C
 from steadyhum.sources import recordings as R
+from steadyhum.sources import feature_store as FS
 from steadyhum.sources import stores as S
 
 
@@ -94,9 +95,9 @@ def test_store_grows_once(spark, tmp_path):
     def compute(value):
         return lambda misses: misses.withColumn("value", F.lit(value))
 
-    first = S.extend_store(recs.where("machine_id = 'a'"), path, compute(1.0), schema)
+    first = FS.extend_store(recs.where("machine_id = 'a'"), path, compute(1.0), schema)
     assert first.count() == 3
-    again = S.extend_store(recs, path, compute(2.0), schema)
+    again = FS.extend_store(recs, path, compute(2.0), schema)
     assert sorted(r["value"] for r in again.collect()) == [1.0, 1.0, 1.0, 2.0, 2.0]
     assert S.store_coverage(recs, again).first().asDict() == {"hits": 5, "misses": 0, "total": 5}
 

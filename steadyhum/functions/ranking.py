@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .scale import materialize
 
 HASH_MODULUS = 2147483647
+BUCKET_ROWS = 1 << 20
+BOUNDS_HELD = 256
 THINNED_ROWS = 1000  # up to here Spark limits groups before the shuffle, and one task holds salts times as many rows
 
 
@@ -27,9 +29,9 @@ def seeded_hash(key: Column, seed: int) -> Column:
     return F.pmod(drawn, F.lit(HASH_MODULUS))
 
 
-def default_buckets(df: DataFrame) -> int:
-    """As many as shuffle partitions, between 16 and 256."""
-    return min(256, max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+def default_buckets(df: DataFrame, rows: int = 0) -> int:
+    """As many as shuffle partitions, at least 16, and at least one for every ``BUCKET_ROWS`` rows."""
+    return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // BUCKET_ROWS)
 
 
 def hash_bucket(h: Column, buckets: int) -> Column:
@@ -59,6 +61,17 @@ def quantile_bucket(df: DataFrame, column: str, buckets: int | None = None) -> C
     return F.when(value.isNull(), 0).otherwise(search(0, len(bounds)))
 
 
+def value_buckets(df: DataFrame, column: str) -> DataFrame:
+    """``df``, which should be written, with the order-preserving ``_bucket`` of a numeric column.
+
+    Up to ``BOUNDS_HELD`` buckets their bounds are an expression; more of them are ranges that Spark writes.
+    """
+    n = default_buckets(df, df.count())
+    if n <= BOUNDS_HELD:
+        return df.withColumn("_bucket", quantile_bucket(df, column, n))
+    return in_ordered_buckets(df, [F.col(column)], n)
+
+
 def in_ordered_buckets(df: DataFrame, order: list[Column], buckets: int | None = None) -> DataFrame:
     """``df`` written in ranges of any sortable columns, with the range as ``_bucket``.
 

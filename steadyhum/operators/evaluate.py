@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.ranking import bucket_offsets, first_n, in_ordered_buckets, number_rows, quantile_bucket
+from ..functions.ranking import bucket_offsets, first_n, in_ordered_buckets, number_rows, value_buckets
 from ..functions.scale import bounded_join, materialize
-from ..functions.vectors import as_double
 from .catalog import MACHINE
+from .principal import Axes, coordinates, fit_axes, variance_shares
 
 # Fixed value: scores below it are predicted abnormal.
 ABNORMAL_BELOW = 50.0
 
+BAND_SHARE = 1e-3  # of the rows of a group, on either side of its median
+
 LABELS = ("normal", "abnormal")
 
 
@@ -100,39 +100,71 @@ def compare_representations(scored: DataFrame, raw: str, normalized: str) -> Dat
     return both.withColumn("better", verdict)
 
 
+def same_group_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Join on ``keys``, null being a group like any other; the columns of ``left`` and the others of ``right``."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    rest = [c for c in right.columns if c not in keys]
+    return left.join(right.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *rest), same).drop(*[f"_of_{k}" for k in keys])
+
+
 def running_sums(
     counted: DataFrame, keys: list[str], value: str, amounts: list[str], descending: bool = False
 ) -> DataFrame:
     """Add ``<amount>_before`` and ``<amount>_total`` along ``value``.
 
     ``counted`` has one row per (keys, value), so ties are already merged and the buckets
-    stay even however often one value repeats.
+    stay even however often one value repeats. It is written once, and there are more buckets for more rows.
     """
-    step = quantile_bucket(counted, value)
-    marked = counted.withColumn("_bucket", -step if descending else step)
+    marked = value_buckets(materialize(counted, "counted"), value)
+    if descending:
+        marked = marked.withColumn("_bucket", -F.col("_bucket"))
     offsets = bucket_offsets(marked, keys, {a: F.sum(a) for a in amounts})
     order = F.col(value).desc() if descending else F.col(value).asc()
     earlier = W.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     local = marked.select(
         "*", *[F.coalesce(F.sum(a).over(earlier), F.lit(0)).alias(f"_local_{a}") for a in amounts]
     )
-    joined = local.join(offsets, [*keys, "_bucket"])
+    joined = same_group_join(local, offsets, [*keys, "_bucket"])
     summed = joined.withColumns({f"{a}_before": F.col(f"{a}_before") + F.col(f"_local_{a}") for a in amounts})
     return summed.drop("_bucket", *[f"_local_{a}" for a in amounts])
 
 
-def medians(scored: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Exact median per group from counts of distinct values; no group sits in one task."""
-    counted = scored.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    summed = running_sums(counted, keys, value, ["n"])
-    through = F.col("n_before") + F.col("n")
-    low = F.floor((F.col("n_total") + 1) / 2)
-    high = F.floor(F.col("n_total") / 2) + 1
+def medians(scored: DataFrame, keys: list[str], value: str, share: float = BAND_SHARE) -> DataFrame:
+    """Exact median per group: a mergeable sketch gives a narrow band around it, exact selection works inside.
+
+    The sketch's ranks are off by ``share`` / 2 at most, so ranks ``share`` on either side of the middle
+    enclose it. Only counts below the band and the distinct values within are shuffled.
+    """
+    held = scored.where(F.col(value).isNotNull()).select(*keys, value)
+    accuracy = F.lit(int(2 / share))
+    quantile = F.percentile_approx(value, [0.5 - share, 0.5, 0.5 + share], accuracy)
+    bands = held.groupBy(*keys).agg(quantile.alias("_q"), F.count(F.lit(1)).alias("_n"))
+    marked_keys = {f"_key_{i}": F.col(k) for i, k in enumerate(keys)}
+    bands = materialize(bands.select(*[c.alias(n) for n, c in marked_keys.items()], "_q", "_n"), "median_bands")
+    text = lambda names: F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    bands = bands.select(text([F.col(n).alias(f"k{i}") for i, n in enumerate(marked_keys)]).alias("_group"), "_q", "_n")
+    keyed = held.withColumn("_group", text([F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]))
+    joined = bounded_join(keyed, bands, ["_group"], [F.col(value)], F.octet_length("_group") + 40)
+    v, low, high = F.col(value), F.get("_q", F.lit(0)), F.get("_q", F.lit(2))
+    place = F.when(v < low, low).when(v > high, high).otherwise(v)
+    counted = (
+        joined.withColumns({"_below": (v < low).cast("int"), "_above": (v > high).cast("int"), "_at": place})
+        .groupBy(*keys, "_n", "_at")
+        .agg(F.sum("_below").alias("_below"), F.sum("_above").alias("_above"), F.count(F.lit(1)).alias("n"))
+        .withColumn("n", F.col("n") - F.col("_below") - F.col("_above"))
+    )
+    below = counted.groupBy(*keys).agg(F.sum("_below").alias("_all_below"))
+    summed = running_sums(counted.where("n > 0").select(*keys, "_n", "_at", "n"), keys, "_at", ["n"])
+    through = F.col("_all_below") + F.col("n_before") + F.col("n")
+    middle_low, middle_high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
     return (
-        summed.groupBy(*keys)
+        same_group_join(summed, below, keys)
+        .groupBy(*keys)
         .agg(
-            F.min(F.when(through >= low, F.col(value))).alias("_low"),
-            F.min(F.when(through >= high, F.col(value))).alias("_high"),
+            F.min(F.when(through >= middle_low, F.col("_at"))).alias("_low"),
+            F.min(F.when(through >= middle_high, F.col("_at"))).alias("_high"),
         )
         .select(*keys, ((F.col("_low") + F.col("_high")) / 2).alias("median"))
     )
@@ -245,30 +277,14 @@ def roc_auc(scored: DataFrame, score: str = "anomaly_score", keys: list[str] | N
     )
 
 
-def fit_pca(embedded: DataFrame, vector: str = "vector", k: int = 2):
-    """Centred PCA model; D x D moments are combined on executors, the driver solves them."""
-    prepared = embedded.withColumn("_raw", array_to_vector(as_double(F.col(vector))))
-    scaler = StandardScaler(inputCol="_raw", outputCol="_centred", withMean=True, withStd=False).fit(prepared)
-    model = PCA(k=k, inputCol="_centred", outputCol="_coords").fit(scaler.transform(prepared))
-    return scaler, model
-
-
-def pca_coordinates(embedded: DataFrame, vector: str = "vector", k: int = 2) -> DataFrame:
-    """Add pc1..pck; each axis points to its largest absolute loading."""
-    scaler, model = fit_pca(embedded, vector, k)
-    loadings = model.pc.toArray()
-    signs = [1.0 if col[abs(col).argmax()] >= 0 else -1.0 for col in loadings.T]
-    prepared = embedded.withColumn("_raw", array_to_vector(as_double(F.col(vector))))
-    coords = model.transform(scaler.transform(prepared)).withColumn("_c", vector_to_array("_coords"))
-    out = coords.select("*", *[(F.col("_c")[i] * signs[i]).alias(f"pc{i + 1}") for i in range(k)])
-    return out.drop("_raw", "_centred", "_coords", "_c")
+def pca_coordinates(embedded: DataFrame, vector: str = "vector", k: int = 2, axes: Axes | None = None) -> DataFrame:
+    """Add pc1..pck; ``axes`` of an earlier fit spare the pass over the vectors."""
+    return coordinates(embedded, axes or fit_axes(embedded, vector, k), vector)
 
 
-def explained_variance(embedded: DataFrame, vector: str = "vector", k: int = 2) -> DataFrame:
+def explained_variance(embedded: DataFrame, vector: str = "vector", k: int = 2, axes: Axes | None = None) -> DataFrame:
     """Share of total variance per component."""
-    _, model = fit_pca(embedded, vector, k)
-    rows = [(i + 1, float(v)) for i, v in enumerate(model.explainedVariance.toArray())]
-    return embedded.sparkSession.createDataFrame(rows, "component int, explained_variance_ratio double")
+    return variance_shares(embedded.sparkSession, axes or fit_axes(embedded, vector, k))
 
 
 def trend_series(scored: DataFrame, value: str, order: str, keys: list[str] = MACHINE) -> DataFrame:

@@ -12,7 +12,7 @@ STATE_THRESHOLDS = {"EXCELLENT": 90.0, "GOOD": 75.0, "WARNING": 50.0}
 WORST_STATE = "CRITICAL"
 NORM_FLOOR = 1e-8
 
-SCORE_DECIMALS = 9
+BOUND_TOLERANCE = 5e-10
 
 # Explanation rules (score_min, score_max, summary, possible_causes,
 # recommendation). Bounds are inclusive, the first match wins, the last rule also takes
@@ -38,21 +38,22 @@ EXPLANATION_RULES = [
 
 
 def health_score(norm_euclidean: Column, healthy_norm: Column) -> Column:
-    """100 at zero drift, 50 at the healthy norm, 0 at twice the healthy norm.
-
-    Kept to nine decimals: the two members of a machine both score 50, and the order of sums,
-    which differs from run to run, must not decide their state.
-    """
+    """100 at zero drift, 50 at the healthy norm, 0 at twice the healthy norm."""
     scale = 2.0 * F.greatest(healthy_norm, F.lit(NORM_FLOOR))
     raw = 100.0 * (1.0 - norm_euclidean / scale)
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)), SCORE_DECIMALS)
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw))
 
 
 def health_state(score: Column, thresholds: dict[str, float] | None = None) -> Column:
+    """The best state whose bound the score reaches, within ``BOUND_TOLERANCE``.
+
+    The two members of a machine both score 50, and the order of sums, which differs from run to run,
+    must not decide their state. Scores themselves are not rounded.
+    """
     bounds = thresholds or STATE_THRESHOLDS
     state = None
     for name in STATE_THRESHOLDS:
-        hit = score >= bounds[name]
+        hit = score >= bounds[name] - BOUND_TOLERANCE
         state = F.when(hit, name) if state is None else state.when(hit, name)
     return state.otherwise(WORST_STATE)
 
@@ -66,7 +67,7 @@ def health_state_by_machine(scored: DataFrame, thresholds: DataFrame, score: str
     s = F.col(score)
     state = None
     for name, default in STATE_THRESHOLDS.items():
-        hit = s >= F.coalesce(F.col(name.lower()), F.lit(default))
+        hit = s >= F.coalesce(F.col(name.lower()), F.lit(default)) - BOUND_TOLERANCE
         state = F.when(hit, name) if state is None else state.when(hit, name)
     return joined.withColumn("health_state", state.otherwise(WORST_STATE)).drop(
         *[n.lower() for n in STATE_THRESHOLDS]
@@ -96,11 +97,11 @@ def _rule_struct(rule) -> Column:
 
 
 def explain(scored: DataFrame, score: str = "health_score", rules=None) -> DataFrame:
-    """Add summary, possible causes and recommendation; rules fold into one expression."""
+    """Add summary, possible causes and recommendation, with the states' tolerance; rules fold into one expression."""
     table = rules or EXPLANATION_RULES
     chosen = None
     for rule in table:
-        hit = F.col(score).between(rule[0], rule[1])
+        hit = F.col(score).between(rule[0] - BOUND_TOLERANCE, rule[1] + BOUND_TOLERANCE)
         chosen = F.when(hit, _rule_struct(rule)) if chosen is None else chosen.when(hit, _rule_struct(rule))
     matched = scored.withColumn("_rule", chosen.otherwise(_rule_struct(table[-1])))
     return matched.select("*", "_rule.*").drop("_rule")

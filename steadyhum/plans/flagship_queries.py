@@ -19,7 +19,7 @@ CLIP_META = ["machine_type", "machine_id", "label"]
 
 def clip_recordings(spark, sf_dir):
     """Clips as decoded recordings of the machine that has the number of their signal."""
-    signal = F.floor(F.col("rec_id") / 1000000)
+    signal = F.shiftright("rec_id", X.CLIP_BITS)
     clips = X.clips(spark, sf_dir).withColumn("signal_id", signal)
     recs = X.recordings(spark, sf_dir).select(F.col("rec_id").alias("signal_id"), *CLIP_META)
     name = F.concat(F.col("rec_id").cast("string"), F.lit(".wav"))
@@ -31,7 +31,7 @@ def clip_recordings(spark, sf_dir):
 def clip_embeddings(spark, sf_dir):
     """The embedding of every clip: that of the recording with its signal's number."""
     keys = with_store_key(clip_recordings(spark, sf_dir).drop("samples"))
-    signal = F.floor(F.col("stem").cast("bigint") / 1000000)
+    signal = F.shiftright(F.col("stem").cast("bigint"), X.CLIP_BITS)
     vectors = X.recordings(spark, sf_dir).select(F.col("rec_id").alias("signal_id"), F.col("vector").alias("embedding"))
     return keys.select(*CLIP_META, "stem", signal.alias("signal_id")).join(vectors, "signal_id")
 
@@ -49,12 +49,12 @@ FUSED_SQL = f"""fused AS (
   SELECT v.rec_id, n.position AS i, CAST(CAST(v.value AS FLOAT) AS DOUBLE) AS v
   FROM (UNPIVOT feature ON {", ".join(ALL_NAMES)} INTO NAME name VALUE value) v
   JOIN (VALUES {", ".join(f"({i}, '{n}')" for i, n in enumerate(ALL_NAMES))}) n(position, name) ON v.name = n.name
-  WHERE v.rec_id // 1000000 IN (SELECT rec_id FROM rec)
+  WHERE v.rec_id // {1 << X.CLIP_BITS} IN (SELECT rec_id FROM rec)
   UNION ALL
-  SELECT f.rec_id, e.i + {N_DSP}, CAST(CAST(e.v AS FLOAT) AS DOUBLE) FROM feature f JOIN embedded e ON f.rec_id // 1000000 = e.rec_id)"""
-LEARNED_SQL = """dim AS (
+  SELECT f.rec_id, e.i + {N_DSP}, CAST(CAST(e.v AS FLOAT) AS DOUBLE) FROM feature f JOIN embedded e ON f.rec_id // {1 << X.CLIP_BITS} = e.rec_id)"""
+LEARNED_SQL = f"""dim AS (
   SELECT p.rec_id, machine_type, machine_id, label, concat(CAST(p.rec_id AS VARCHAR), '.wav') AS filename, p.i, p.v
-  FROM projected p JOIN rec r ON p.rec_id // 1000000 = r.rec_id)"""
+  FROM projected p JOIN rec r ON p.rec_id // {1 << X.CLIP_BITS} = r.rec_id)"""
 REPORT_VIEWS = (
     UNIT_CLIP_SQL,
     *[unrounded(v) for v in FEATURE_VIEWS[1:]],

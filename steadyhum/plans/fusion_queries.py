@@ -134,12 +134,12 @@ def fused_table(spark, sf_dir):
     """Temporal features of every clip with the embedding of the recording of its signal's number."""
     names = list(FT.TEMPORAL)
     features = FT.feature_vector(temporal(spark, sf_dir), names)
-    features = features.withColumn("signal_id", F.floor(F.col("rec_id") / 1000000))
+    features = features.withColumn("signal_id", F.shiftright("rec_id", X.CLIP_BITS))
     embeddings = embedding_table(spark, sf_dir).withColumnRenamed("rec_id", "signal_id")
     return FU.attach_embeddings(features, embeddings, "signal_id")
 
 
-FUSED_SQL = """ready AS (SELECT rec_id // 1000000 AS rid, * FROM temporal),
+FUSED_SQL = f"""ready AS (SELECT rec_id // {1 << X.CLIP_BITS} AS rid, * FROM temporal),
 fused AS (
   SELECT rec_id, p.position, CASE p.position WHEN 0 THEN rms_mean WHEN 1 THEN rms_std WHEN 2 THEN rms_max
          WHEN 3 THEN ste_mean WHEN 4 THEN ste_std ELSE dynamic_range_db END AS value

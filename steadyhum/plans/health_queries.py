@@ -395,16 +395,16 @@ def score_states_by_machine(spark, sf_dir):
     return H.health_state_by_machine(sc, materialize(bounds, "bounds")).select("rec_id", "health_state")
 
 
-EXPLAIN_SQL = """CASE WHEN health_score BETWEEN 90 AND 100 THEN 'Machine operating normally.'
-            WHEN health_score BETWEEN 75 AND 90 THEN 'Minor deviation detected.'
-            WHEN health_score BETWEEN 50 AND 75 THEN 'Moderate deviation from healthy profile.'
+EXPLAIN_SQL = """CASE WHEN round(health_score, 9) BETWEEN 90 AND 100 THEN 'Machine operating normally.'
+            WHEN round(health_score, 9) BETWEEN 75 AND 90 THEN 'Minor deviation detected.'
+            WHEN round(health_score, 9) BETWEEN 50 AND 75 THEN 'Moderate deviation from healthy profile.'
             ELSE 'Significant deviation detected.' END AS summary,
-       CASE WHEN health_score BETWEEN 75 AND 100 THEN ''
-            WHEN health_score BETWEEN 50 AND 75 THEN 'bearing wear|misalignment|load variation'
+       CASE WHEN round(health_score, 9) BETWEEN 75 AND 100 THEN ''
+            WHEN round(health_score, 9) BETWEEN 50 AND 75 THEN 'bearing wear|misalignment|load variation'
             ELSE 'bearing failure|shaft damage|mechanical looseness' END AS possible_causes,
-       CASE WHEN health_score BETWEEN 90 AND 100 THEN 'No action required.'
-            WHEN health_score BETWEEN 75 AND 90 THEN 'Continue monitoring.'
-            WHEN health_score BETWEEN 50 AND 75 THEN 'Schedule inspection.'
+       CASE WHEN round(health_score, 9) BETWEEN 90 AND 100 THEN 'No action required.'
+            WHEN round(health_score, 9) BETWEEN 75 AND 90 THEN 'Continue monitoring.'
+            WHEN round(health_score, 9) BETWEEN 50 AND 75 THEN 'Schedule inspection.'
             ELSE 'Immediate maintenance recommended.' END AS recommendation"""
 
 

@@ -15,6 +15,7 @@ CLIP = 512  # samples per clip cut from a long signal
 SAMPLE_RATE = 16000
 SIGNAL_SCALE = 110000.0  # above the largest price, so scaled samples stay inside [-1, 1]
 ORDER_BLOCK = 1024  # order keys per bucket when a signal is numbered
+CLIP_BITS = 32  # a clip's id is its signal's, moved up by as many bits, and its number
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,12 +84,12 @@ HEALTH_SQL = """hn AS (
   FROM dr WHERE label = 'normal' GROUP BY machine_type, machine_id),
 health0 AS (
   SELECT dr.*, healthy_norm,
-         round(greatest(0.0, least(100.0, 100.0 * (1.0 - norm_euclidean_distance / (2.0 * greatest(healthy_norm, 1e-8))))), 9) AS health_score
+         greatest(0.0, least(100.0, 100.0 * (1.0 - norm_euclidean_distance / (2.0 * greatest(healthy_norm, 1e-8))))) AS health_score
   FROM dr JOIN hn USING (machine_type, machine_id)),
 health AS (
   SELECT *, printf('%.1f%%', health_score) AS health_percentage,
-         CASE WHEN health_score >= 90 THEN 'EXCELLENT' WHEN health_score >= 75 THEN 'GOOD'
-              WHEN health_score >= 50 THEN 'WARNING' ELSE 'CRITICAL' END AS health_state
+         CASE WHEN round(health_score, 9) >= 90 THEN 'EXCELLENT' WHEN round(health_score, 9) >= 75 THEN 'GOOD'
+              WHEN round(health_score, 9) >= 50 THEN 'WARNING' ELSE 'CRITICAL' END AS health_state
   FROM health0)"""
 
 
@@ -170,7 +171,7 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     spread = samples.select("signal_id", "clip", inside.alias("s")).repartition(parts, "signal_id", "clip")
     cut = spread.groupBy("signal_id", "clip").agg(F.sort_array(F.collect_list("s")).alias("s"))
     return cut.select(
-        (F.col("signal_id") * 1000000 + F.col("clip")).alias("rec_id"),
+        (F.shiftleft(F.col("signal_id").cast("long"), CLIP_BITS) + F.col("clip")).alias("rec_id"),
         F.lit(SAMPLE_RATE).alias("sample_rate"),
         F.col("s.x").alias("samples"),
     )
@@ -178,7 +179,7 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CLIP_SQL = SAMPLE_SQL + f""",
 clip AS (
-  SELECT signal_id * 1000000 + n // {CLIP} AS rec_id, CAST(n % {CLIP} AS INTEGER) AS i,
+  SELECT signal_id * {1 << CLIP_BITS} + n // {CLIP} AS rec_id, CAST(n % {CLIP} AS INTEGER) AS i,
          v / {SIGNAL_SCALE} - 0.5 AS x
   FROM samples)"""
 

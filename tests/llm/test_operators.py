@@ -400,13 +400,40 @@ def test_exact_copies(spark, docs, empty, capacity):
     index = exactdup.build_index(docs, capacity=capacity)
     got = exactdup.look_up(docs, index).drop("bucket", "chain").collect()
     assert collections.Counter(tuple(r) for r in got) == want
-    if capacity < 65536:
-        assert index.directory.where("depth < 16").agg(F.max("n_entries")).first()[0] <= capacity
+    assert index.directory.agg(F.max("n_entries")).first()[0] <= capacity
+    bounds = sorted((r.prefix << (64 - r.depth), (r.prefix + 1) << (64 - r.depth)) for r in index.directory.collect())
+    assert bounds[0][0] == 0 and bounds[-1][1] == 1 << 64 and all(a[1] == b[0] for a, b in zip(bounds, bounds[1:]))
     assert exactdup.exact_groups(empty).collect() == []
     kept = exactdup.drop_exact_copies(docs)
     assert kept.columns == docs.columns and kept.count() == sum(c for (_, _, _, k, _), c in want.items() if k)
 
 
+def test_colliding_texts_are_told_apart_by_their_bytes(spark, docs, monkeypatch):
+    """Five hashes for all texts, close together: chains are long and the directory is as deep as the hash."""
+    monkeypatch.setattr(exactdup, "text_hash", lambda text: F.pmod(F.xxhash64(text), F.lit(5)))
+    index = exactdup.build_index(docs, capacity=1)
+    assert index.directory.agg(F.max("depth")).first()[0] >= 62
+    assert index.directory.agg(F.sum("n_entries")).first()[0] == 5 == index.entries.select("bucket").distinct().count()
+    groups = collections.defaultdict(list)
+    for i, t in texts():
+        groups[t].append(i)
+    got = collections.defaultdict(list)
+    for r in exactdup.look_up(docs, index).collect():
+        got[r.text_sha256].append((r.keep_id, r.group_size))
+    assert {k: v for k, v in got.items()} == {
+        brute.sha(t): [(max((j for j in ids if j is not None), default=None), len(ids))] * len(ids) for t, ids in groups.items()
+    }
+    assert index.entries.agg(F.max("chain")).first()[0] >= 2
+
+
+def test_entries_are_found_through_the_directory_alone(docs):
+    index = exactdup.build_index(docs, capacity=3)
+    gone = index.directory.orderBy(F.desc("n_entries")).first().bucket
+    less = exactdup.Index(index.entries, index.directory.where(F.col("bucket") != gone))
+    missing = index.entries.where(F.col("bucket") == gone).agg(F.sum("group_size")).first()[0]
+    assert exactdup.look_up(docs, less).count() == exactdup.look_up(docs, index).count() - missing < docs.count()
+
+
 @pytest.mark.parametrize("table_words", [0, wordtable.TABLE_WORDS])
 def test_word_table_encodes_and_decodes_as_the_library(docs, empty, table_words):
     e = encoder(default_path("byte_bpe_50k.json")).library

@@ -217,19 +217,35 @@ def _sinc_taps(up: int, down: int, zeros: int = 32, beta: float = 12.0) -> np.nd
     return cutoff * np.sinc(cutoff * distance) * kaiser
 
 
-def _resample(x: np.ndarray, rate: int, target: int, block: int = 4096) -> np.ndarray:
+def _resample(x: np.ndarray, rate: int, target: int) -> np.ndarray:
     if rate == target or x.size == 0:
         return x
+    return resampled(x, 0, rate, target, 0, int(np.ceil(x.size * target / rate)))
+
+
+def resampling(rate: int, target: int) -> tuple[int, int, np.ndarray]:
+    """(up, down, weights per sub-sample position); output m sits at input position m * down / up."""
     up, down = target // gcd(rate, target), rate // gcd(rate, target)
-    taps = _sinc_taps(up, down)
+    return up, down, _sinc_taps(up, down)
+
+
+def resampled(x: np.ndarray, first: int, rate: int, target: int, low: int, high: int, block: int = 4096) -> np.ndarray:
+    """Outputs ``low`` to ``high - 1`` of a recording of which ``x`` holds the samples from ``first`` on.
+
+    Samples that are not there count as zero: those before and after the recording.
+    """
+    up, down, taps = resampling(rate, target)
     half = taps.shape[1] // 2
-    n_out = int(np.ceil(x.size * target / rate))
-    windows = np.lib.stride_tricks.sliding_window_view(np.pad(x, (half, half + down + 1)), 2 * half)
-    out = np.empty(n_out)
-    for start in range(0, n_out, block):
-        # output m sits at input position m * down / up
-        whole, phase = np.divmod(np.arange(start, min(start + block, n_out)) * down, up)
-        out[start : start + block] = np.einsum("ij,ij->i", windows[whole], taps[phase])
+    out = np.empty(max(0, high - low))
+    start, end = low * down // up - half, (high - 1) * down // up + half + 1 if high > low else 0
+    near = np.zeros(max(0, end - start))
+    a, b = max(start, first), min(end, first + len(x))
+    if b > a:
+        near[a - start : b - start] = x[a - first : b - first]
+    windows = np.lib.stride_tricks.sliding_window_view(near, 2 * half) if len(out) else None
+    for at in range(low, high, block):
+        whole, phase = np.divmod(np.arange(at, min(at + block, high)) * down, up)
+        out[at - low : at - low + block] = np.einsum("ij,ij->i", windows[whole - half - start], taps[phase])
     return out
 
 
@@ -252,8 +268,16 @@ def split_energies(x: np.ndarray, n_fft: int, hop: int, kernel: int) -> tuple[fl
     """
     if x.size == 0:
         return (np.nan, np.nan)
+    frames = framed(np.pad(x, n_fft // 2), n_fft, hop)
+    kept = split_signals(frames, n_fft, hop, kernel)[:, n_fft // 2 : n_fft // 2 + x.size]
+    energy = (kept**2).sum(axis=1) / x.size
+    return float(energy[0]), float(energy[1])
+
+
+def split_signals(frames: np.ndarray, n_fft: int, hop: int, kernel: int) -> np.ndarray:
+    """(2, samples): harmonic and percussive part of neighbouring frames, from the first one's first sample on."""
     window = hann(n_fft)
-    spectrum = np.fft.rfft(framed(np.pad(x, n_fft // 2), n_fft, hop) * window, axis=1)
+    spectrum = np.fft.rfft(frames * window, axis=1)
     magnitude = np.abs(spectrum)
     harm = _median_filter(magnitude, kernel, axis=0)
     perc = _median_filter(magnitude, kernel, axis=1)
@@ -272,9 +296,7 @@ def split_energies(x: np.ndarray, n_fft: int, hop: int, kernel: int) -> tuple[fl
         signals[:, at] += inverse[:, t]
     covered = weight > np.finfo(np.float64).tiny
     signals[:, covered] /= weight[covered]
-    kept = signals[:, n_fft // 2 : n_fft // 2 + x.size]
-    energy = (kept**2).sum(axis=1) / x.size
-    return float(energy[0]), float(energy[1])
+    return signals
 
 
 # --- kernel on (rows, dimensions) matrices ---

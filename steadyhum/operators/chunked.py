@@ -159,6 +159,73 @@ def power_frames(
     return framed_rows(dealt, keys, "power", kernel)
 
 
+def resample(
+    chunks: DataFrame, keys: list[str], rate: int, target: int, cell_samples: int = CELL_FRAMES * 512
+) -> DataFrame:
+    """(keys, start, samples) at ``target`` Hz of recordings at ``rate`` Hz, in chunks that follow the cells.
+
+    The filter of an output reaches into the neighbouring cells, which the halo holds.
+    """
+    if rate == target:
+        return chunks.select(*keys, "start", F.col("samples").cast("array<double>").alias("samples"))
+    up, down, taps = S.resampling(rate, target)
+    half = taps.shape[1] // 2
+    dealt = cells(chunks, keys, cell_samples, half + 1, half + 2)
+
+    @F.arrow_udf("struct<start: long, samples: array<double>>")
+    def run(x: pa.Array, first: pa.Array, cell: pa.Array) -> pa.Array:
+        lows, out = [], []
+        for own, a, c in zip(signals(x), first.to_pylist(), cell.to_pylist(), strict=True):
+            low, high = -(-c * cell_samples * up // down), -(-(c + 1) * cell_samples * up // down)
+            high = min(high, -(-(a + len(own)) * up // down))  # the recording ends here, or after the halo
+            lows.append(low)
+            out.append(S.resampled(own, a, rate, target, low, high))
+        offsets = pa.array(np.cumsum([0, *map(len, out)]).astype(np.int32))
+        values = pa.array(np.concatenate(out) if out else np.empty(0))
+        return pa.StructArray.from_arrays([pa.array(lows, pa.int64()), pa.ListArray.from_arrays(offsets, values)], names=["start", "samples"])
+
+    made = dealt.select(*keys, run("x", "first", "cell").alias("_r")).select(*keys, "_r.*")
+    return made.where(F.size("samples") > 0)
+
+
+def harmonic_energies(
+    chunks: DataFrame, keys: list[str], n_fft: int, hop: int, kernel: int, cell_frames_n: int = CELL_FRAMES
+) -> DataFrame:
+    """(keys, harmonic_energy, percussive_energy): mean squares of the two parts of recordings in chunks.
+
+    A cell splits the frames that its samples lie in. The median along time looks at half a kernel of
+    frames on either side, and mirrors only at the recording's own ends. Sums meet per recording.
+    """
+    n, reach = cell_frames_n, kernel // 2 + n_fft // hop + 1  # in frames
+    samples = (reach + 1) * hop + n_fft
+    dealt = cells(chunks, keys, n * hop, samples, samples)
+
+    @F.arrow_udf("struct<n: long, harmonic: double, percussive: double>")
+    def run(x: pa.Array, first: pa.Array, cell: pa.Array) -> pa.Array:
+        rows = []
+        for own, a, c in zip(signals(x), first.to_pylist(), cell.to_pylist(), strict=True):
+            low, high = c * n * hop, min((c + 1) * n * hop, a + len(own))
+            if high <= low:
+                rows.append((0, 0.0, 0.0))
+                continue
+            begin = max(0, c * n - reach)
+            frames = cell_frames(own, a, begin, (c + 1) * n + reach, n_fft, hop, True)
+            origin = begin * hop - n_fft // 2  # sample of the split signals' first value
+            kept = S.split_signals(frames, n_fft, hop, kernel)[:, low - origin : high - origin]
+            rows.append((high - low, *(float(e) for e in (kept**2).sum(axis=1))))
+        columns = zip(*rows, strict=True) if rows else ([], [], [])
+        return pa.StructArray.from_arrays(
+            [pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.float64(), pa.float64()), strict=True)],
+            names=["n", "harmonic", "percussive"],
+        )
+
+    sums = dealt.select(*keys, run("x", "first", "cell").alias("_e")).select(*keys, "_e.*").groupBy(*keys)
+    whole = sums.agg(F.sum("n").alias("n"), F.sum("harmonic").alias("h"), F.sum("percussive").alias("p")).where("n > 0")
+    return whole.select(
+        *keys, (F.col("h") / F.col("n")).alias("harmonic_energy"), (F.col("p") / F.col("n")).alias("percussive_energy")
+    )
+
+
 def with_top(rows: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
     """``rows`` with the largest ``value`` of their recording as ``name``; null keys have one of their own."""
     held = materialize(rows.withColumn("_key", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})), name.strip("_"))

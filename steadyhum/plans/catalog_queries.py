@@ -46,6 +46,20 @@ def scan_written_files(spark, sf_dir):
     return files.select(folder.alias("folder")).distinct()
 
 
+@query(
+    "list_files",
+    "S1",
+    X.sql("SELECT DISTINCT concat('machine_type=', machine_type, '/machine_id=', machine_id) AS folder FROM rec", *X.REC_VIEWS),
+)
+def list_files(spark, sf_dir):
+    """As above, the folders listed level by level by tasks."""
+    path = fresh_path(spark, "by_machine")
+    S.save_table(X.recordings(spark, sf_dir), path)
+    files = R.list_files(spark, path, extension=".parquet").where("length > 0")
+    folder = F.regexp_replace(R.relative_path(F.col("path"), path), "/[^/]*$", "")
+    return files.select(folder.alias("folder")).distinct()
+
+
 @query(
     "manifest_files",
     "S1",

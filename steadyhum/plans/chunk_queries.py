@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scale import fresh_path
+from ..functions.signal import AMIN
 from ..functions.vectors import total
 from ..operators import chunked as C
 from ..operators.preprocess import mel_weights_of
@@ -117,6 +118,31 @@ def chunked_mfcc_statistics(spark, sf_dir):
     return rounded(C.cepstral_statistics(cepstra(spark, sf_dir), KEYS, Q.SMALL), *Q.MFCC_NAMES, digits=5)
 
 
+@query(
+    "chunked_resample",
+    "P2",
+    X.sql(
+        """SELECT o.rec_id, o.m AS i, round(sum(c.x * t.w), 6) + 0.0 AS v
+FROM (SELECT rec_id, unnest(range(2 * n)) AS m FROM len) o
+JOIN tap t ON t.p = o.m % 2 JOIN clip c ON c.rec_id = o.rec_id AND c.i = o.m // 2 + t.j - 34 GROUP BY o.rec_id, o.m""",
+        *over_signals(*Q.BASE), Q.TAP_SQL,
+    ),
+)
+def chunked_resample(spark, sf_dir):
+    moved = C.resample(chunks(spark, sf_dir), KEYS, 8000, 16000, cell_samples=77)
+    rows = moved.select("rec_id", "start", F.posexplode("samples").alias("k", "v"))
+    return rounded(rows.select("rec_id", (F.col("start") + F.col("k")).alias("i"), "v"), "v")
+
+
+@query("chunked_harmonic_features", "F14 F15", X.sql(Q.HARMONIC_SELECT, *over_signals(*Q.OK, Q.FXOK, Q.PWOK, Q.HPSS_SQL)))
+def chunked_harmonic_features(spark, sf_dir):
+    p = Q.SMALL
+    split = C.harmonic_energies(chunks(spark, sf_dir), KEYS, p.hpss_fft, p.hop, p.hpss_kernel, CELL)
+    both = F.col("harmonic_energy") + F.col("percussive_energy")
+    ratio = F.when(both > AMIN, F.col("harmonic_energy") / both).otherwise(0.0)
+    return rounded(split.withColumn("harmonic_ratio", ratio), "harmonic_energy", "percussive_energy", "harmonic_ratio", digits=5)
+
+
 @query(
     "chunk_violations",
     "P5 S7",

@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.files import file_system
+from ..functions.scale import materialize
+
 # The two recording conditions, and the metadata of loose files.
 VALID_LABELS = ("normal", "abnormal")
 LOOSE_MACHINE = "unknown"
@@ -32,6 +39,42 @@ def scan_files(
     return files if with_content else files.drop("content")
 
 
+def list_files(spark: SparkSession, root: str, extension: str = ".wav") -> DataFrame:
+    """The rows of ``scan_files``, listed by tasks: path, length, modificationTime.
+
+    Directories are rows, too: each round lists those of one level, and what it finds is written, so the
+    driver holds no path and a lost task lists its directories again. For trees too large for the driver.
+    """
+    schema = "path string, length long, modificationTime timestamp, is_folder boolean"
+    fields = pa.schema(
+        [("path", pa.string()), ("length", pa.int64()), ("modificationTime", pa.timestamp("us", "UTC")), ("is_folder", pa.bool_())]
+    )
+    system, inner = file_system(root)
+    if system.get_file_info(inner).type == pafs.FileType.NotFound:
+        raise FileNotFoundError(root)
+    prefix = root[: len(root) - len(inner)] if root.endswith(inner) else ""
+    prefix = prefix or "file:"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                system, inner = file_system(folder)
+                found = [i for i in system.get_file_info(pafs.FileSelector(inner)) if not i.base_name.startswith((".", "_")) or "=" in i.base_name]
+                folders = [i.type == pafs.FileType.Directory for i in found]
+                kept = [(i, f) for i, f in zip(found, folders, strict=True) if f or i.base_name.endswith(extension)]
+                columns = [[prefix + i.path for i, _ in kept], [None if f else i.size for i, f in kept], [i.mtime for i, _ in kept], [f for _, f in kept]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, fields.types, strict=True)], schema=fields)
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    level, found = spark.createDataFrame([(root,)], "path string"), []
+    while True:
+        listed = materialize(level.repartition(tasks, "path").mapInArrow(run, schema), f"level_{len(found)}")
+        found.append(listed.where(~F.col("is_folder")).drop("is_folder"))
+        level = listed.where("is_folder").select("path")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+
+
 def relative_path(path: Column, root: str) -> Column:
     """Path below ``root``, or null when ``path`` is not below it.
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from steadyhum.functions import signal as S
 from steadyhum.functions.signal import SignalParams
 from steadyhum.operators import chunked as C
 from steadyhum.operators import preprocess as P
@@ -90,3 +91,28 @@ def test_one_long_recording_is_spread_over_tasks(spark):
 def test_no_recordings(waves):
     none = C.cut_chunks(waves.where("false"), ["name"], 10)
     assert C.cepstral_frames(none, ["name"], PARAMS).count() == 0 and C.log_mel(none, ["name"], PARAMS).count() == 0
+
+
+@pytest.mark.parametrize("rate, target", [(8000, 16000), (44100, 16000), (16000, 16000), (48000, 16000), (11025, 16000)])
+@pytest.mark.parametrize("size, cell", [(1, 40), (97, 64), (10_000, 10_000)])
+def test_resampling_in_blocks_equals_one_shot(waves, rate, target, size, cell):
+    whole = {r.name: np.array(r.samples) for r in waves.collect()}
+    some = waves.where("n in (1, 33, 500, 801)")
+    rows = C.resample(C.cut_chunks(some, ["name"], size), ["name"], rate, target, cell).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: r.start):
+        own = got.setdefault(r.name, [])
+        assert r.start == len(own)
+        own.extend(r.samples)
+    assert got.keys() == {"r1", "r33", "r500", "r801"}
+    for name, own in got.items():
+        np.testing.assert_allclose(own, S._resample(whole[name], rate, target), atol=1e-9)
+
+
+@pytest.mark.parametrize("size, cell", [(7, 1), (100, 4), (10_000, 512)])
+def test_harmonic_split_in_cells_equals_that_of_whole_recordings(waves, size, cell):
+    got = {r.name: (r.harmonic_energy, r.percussive_energy) for r in C.harmonic_energies(C.cut_chunks(waves, ["name"], size), ["name"], 32, 16, 9, cell).collect()}
+    want = {r.name: S.split_energies(np.array(r.samples), 32, 16, 9) for r in waves.where("n > 0").collect()}
+    assert got.keys() == want.keys()
+    for name in want:
+        np.testing.assert_allclose(got[name], want[name], rtol=1e-9, atol=1e-15)

@@ -65,3 +65,19 @@ def test_learned_report(spark, dsp):
     assert report.count() == 16
     assert (row["dsp_dim"], row["embedding_dim"], row["fused_dim"], row["learned_dim"]) == (153, 8, 161, 8)
     assert 0.0 <= row["health_score"] <= 100.0 and row["health_percentage"].endswith("%")
+
+
+def test_listing_by_tasks_equals_the_scan(spark, root, tmp_path):
+    from steadyhum.sources.recordings import list_files, scan_files
+
+    for place in (root, f"file:{root}", f"file://{root}"):
+        want = scan_files(spark, root).selectExpr("regexp_replace(path, '^file:/+', '/') AS path", "length").collect()
+        listed = list_files(spark, place)
+        got = listed.selectExpr("regexp_replace(path, '^file:/+', '/') AS path", "length").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 19
+    gap = listed.join(scan_files(spark, root).selectExpr("regexp_replace(path, '^file:/+', 'file:///') AS path", "modificationTime AS m"), "path")
+    assert gap.where("abs(unix_millis(modificationTime) - unix_millis(m)) > 1").count() == 0 and gap.count() == 19
+    (tmp_path / "none").mkdir()
+    assert list_files(spark, str(tmp_path)).count() == 0
+    with pytest.raises(FileNotFoundError):
+        list_files(spark, str(tmp_path / "missing"))

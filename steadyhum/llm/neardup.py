@@ -13,8 +13,9 @@
    others in a join whose condition keeps only pairs that the signatures let pass.
 4. The signatures estimate the similarity by counting equal groups of bits, corrected for the
    share that agrees by chance. Pairs well below the threshold (four standard deviations) go.
-5. The others are confirmed on the full shingle sets of both texts. Confirmed links are
-   contracted to components after every round, and pairs inside a component are not tested.
+5. The others are confirmed on the full shingle sets of both texts; the texts of classes that share
+   a bucket are written once for that. Confirmed links are contracted to components after every
+   round, and pairs inside a component are not tested.
 
 Two texts at the very threshold of 0.85 miss all bands with a probability of 2e-8 and the
 estimate with some 1e-4 (in a simulation 0 to 8 of 100,000 pairs of 7 to 20 shingles), more similar
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scale import materialize
+from ..functions.scale import bounded_join, materialize
 from . import shingles
 from .common import texts, unused
 
@@ -103,12 +104,17 @@ def least_estimate(percent: int) -> float:
     return percent / 100 - SIGMAS * (p * (1 - p) / shingles.HASHES) ** 0.5 / (1 - chance)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def crowded_texts(docs: DataFrame, slots: DataFrame) -> DataFrame:
+    """key_1, doc_id and text of the classes in buckets of two or more, written once for all rounds."""
+    reps = materialize(slots.select("key_1", F.col("rep").alias("doc_id")).distinct(), "crowded_classes")
+    return materialize(bounded_join(texts(docs), reps, ["doc_id"], [F.xxhash64("text")], F.lit(16)), "crowded_texts")
+
+
+def confirm(pairs: DataFrame, crowded: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs`` (a, b) of classes those whose full shingle sets are similar, as edges (u, v) of doc_ids."""
     pairs = materialize(pairs, "candidates")
     needed = pairs.select(F.col("a").alias("key_1")).unionByName(pairs.select(F.col("b").alias("key_1"))).distinct()
-    reps = classes.join(needed, "key_1", "left_semi").select("key_1", F.col("rep").alias("doc_id"))
-    held = materialize(texts(docs).join(reps, "doc_id"), "candidate_texts")
+    held = bounded_join(crowded, materialize(needed, "candidate_classes"), ["key_1"], [F.col("doc_id")], F.lit(8))
     left = held.select(F.col("key_1").alias("a"), F.col("doc_id").alias("u"), F.col("text").alias("text_a"))
     right = held.select(F.col("key_1").alias("b"), F.col("doc_id").alias("v"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("u", "v", "text_a", "text_b")
@@ -178,6 +184,7 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     slots = classes.select(F.posexplode("bands").alias("band_no", "band"), "key_1", "rep")
     crowded = slots.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     slots = materialize(slots.join(crowded, "band"), "buckets")
+    crowded_docs = crowded_texts(docs, slots)
     hubs = slots.groupBy("key_1").agg(F.least(F.sum("n"), F.lit(1 << 22)).alias("weight"))
     hubs = hubs.select("key_1", (F.col("weight") * (1 << 40) + F.col("key_1").bitwiseAND(F.lit((1 << 40) - 1))).alias("rank_0"))
     ranks = {f"rank_{r}": F.col("key_1").bitwiseXOR(F.lit(salt)) for r, salt in enumerate(PIVOT_SALTS, 1)}
@@ -193,12 +200,12 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     for r in range(1 + len(PIVOT_SALTS)):
         pairs = star_pairs(slots, ranked, comp, floor, percent, f"rank_{r}")
-        found = materialize(confirm(pairs, docs, classes, percent), "links")
+        found = materialize(confirm(pairs, crowded_docs, percent), "links")
         if found.isEmpty():
             break
         comp = relabel(comp, found)
 
-    found = materialize(confirm(remaining_pairs(slots, classes, comp, floor, percent), docs, classes, percent), "links")
+    found = materialize(confirm(remaining_pairs(slots, classes, comp, floor, percent), crowded_docs, percent), "links")
     if not found.isEmpty():
         comp = relabel(comp, found)
     return _results(rows, classes, comp)

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SLICE_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,6 +27,20 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+def text_slices(
+    batches: Iterable[pa.RecordBatch], columns: list[int], most: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """``batches`` cut so that the texts in ``columns`` have some ``most`` bytes together, or are one row."""
+    for batch in batches:
+        ends = sum(np.cumsum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy()) for c in columns)
+        at = 0
+        while at < batch.num_rows:
+            base = int(ends[at - 1]) if at else 0
+            upto = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``df`` is called that."""
     taken = {c.lower() for c in df.columns}

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scale import bounded_join, materialize
 from . import shingles
-from .common import texts, unused
+from .common import text_slices, texts, unused
 
 PERCENT = 85
 SIGMAS = 4.0
@@ -52,7 +52,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, key_1, key_2, bands, signature; keys are null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, [1]):
             sets = shingles.sets_of(batch.column(1).cast(pa.binary()).to_pylist())
             keys, bands, signatures = [], [], []
             for s in sets:
@@ -120,7 +120,7 @@ def confirm(pairs: DataFrame, crowded: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(left, "a").join(right, "b").select("u", "v", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, [2, 3]):
             u, v = batch.column(0), batch.column(1)
             ids, columns = {}, []
             for owner, text in ((u, batch.column(2)), (v, batch.column(3))):
@@ -195,8 +195,11 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spread = members.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
     spread = spread.where(F.col("low") < F.col("high"))
     edges = members.join(spread, "doc_id").select(F.col("low").alias("u"), F.col("rep").alias("v")).distinct()
-    comp = classes.select("rep", F.col("rep").alias("comp")).distinct()
-    comp = relabel(comp, edges) if not edges.isEmpty() else materialize(comp, "components")
+    # Classes that share neither a bucket nor a document stay by themselves and need no label.
+    alone = edges.select(F.col("u").alias("rep")).unionByName(edges.select(F.col("v").alias("rep")))
+    nodes = slots.select("rep").unionByName(alone).distinct()
+    comp = materialize(nodes.select("rep", F.col("rep").alias("comp")), "components")
+    comp = relabel(comp, edges) if not edges.isEmpty() else comp
 
     for r in range(1 + len(PIVOT_SALTS)):
         pairs = star_pairs(slots, ranked, comp, floor, percent, f"rank_{r}")
@@ -293,7 +296,7 @@ def remaining_pairs(slots: DataFrame, classes: DataFrame, comp: DataFrame, floor
 
 
 def _results(rows: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
-    labelled = classes.join(comp, "rep").select("key_1", "key_2", "comp")
+    labelled = classes.join(comp, "rep", "left").select("key_1", "key_2", F.coalesce("comp", "rep").alias("comp"))
     joined = rows.select("doc_id", "n_shingles", "key_1", "key_2").join(labelled, ["key_1", "key_2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return joined.select(

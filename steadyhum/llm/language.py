@@ -34,6 +34,7 @@ ROWS_PER_LANGUAGE = 400
 SAMPLE_CHARS = 300
 DICTIONARY_BYTES = 110_000
 MOST_LANGUAGES = 256
+BIN_BITS = 12
 LEVEL = 5
 WINDOW_BYTES = 4096
 MIN_MARGIN = 0.002
@@ -53,6 +54,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def draw_bin(draw: Column) -> Column:
+    """The draw's bin, ascending with the draw."""
+    return F.shiftright(draw, 64 - BIN_BITS) + (1 << (BIN_BITS - 1))
+
+
 def learn(
     labelled: DataFrame,
     rows_per_language: int = ROWS_PER_LANGUAGE,
@@ -75,9 +81,17 @@ def learn(
         F.xxhash64("doc_id", "text").alias("draw"),
         F.substr("text", middle, F.lit(sample_chars)).alias("text"),
     )
+    # The draws of a language are counted in bins, and only bins that hold its first rows are sorted.
+    binned = usable.where(F.col("lang").isin([r.lang for r in common])).withColumn("bin", draw_bin(F.xxhash64("doc_id", "text")))
+    counts = binned.groupBy("lang", "bin").count()
+    before = F.sum("count").over(W.partitionBy("lang").orderBy("bin")) - F.col("count")
+    last = counts.withColumn("before", before).where(F.col("before") < rows_per_language).groupBy("lang").agg(F.max("bin").alias("last"))
+    reach = F.lit(-1)
+    for r in last.collect():
+        reach = F.when(F.col("lang") == r.lang, F.lit(r["last"])).otherwise(reach)
     place = F.row_number().over(W.partitionBy("lang").orderBy("draw", "text"))
     sample = (
-        drawn.where(F.col("lang").isin([r.lang for r in common]))
+        drawn.where(draw_bin(F.col("draw")) <= reach)
         .withColumn("place", place)
         .where(F.col("place") <= rows_per_language)
         .orderBy("lang", "place")

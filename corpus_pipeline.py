@@ -6,7 +6,7 @@ so a lost executor costs at most the tasks it ran. All but the last return the c
 
 1. language: documents whose language is rejected go;
 2. exact copies: of equal texts the document with the largest id stays;
-3. near copies: of linked documents the one with the smallest id stays;
+3. near copies: of documents linked by a similarity of 0.8 or more the one with the smallest id stays;
 4. personal data: spans are replaced by their kind in brackets, ``n_chars`` is counted anew;
 5. packing: pieces of token ids in sequences, with a checksum of the ids.
 """
@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from steadyhum.functions.scale import materialize
 from steadyhum.llm import exactdup, language, neardup, packing, pii
 
+NEAR_PERCENT = 80
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.keep_identified(docs)
@@ -28,7 +30,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.keep_one_of_each(docs)
+    return neardup.keep_one_of_each(docs, NEAR_PERCENT)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

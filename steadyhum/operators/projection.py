@@ -20,6 +20,8 @@ INPUT_DIM, HIDDEN_DIM, OUTPUT_DIM = 921, 512, 256
 TEMPERATURE = 0.1
 UNIT_TOLERANCE = 1e-3
 
+BLOCK_CELLS = 1 << 20  # similarities of a batch that are held at a time
+
 WEIGHTS_SCHEMA = "model_id string, layer int, unit int, bias double, weights array<double>"
 CHECKPOINT_SCHEMA = "model_id string, epoch int, validation_loss double, optimizer_state string, config string"
 
@@ -77,20 +79,50 @@ def projection_violations(df: DataFrame, keep: list[str], dim: int, vector: str
     return df.select(*keep, F.explode(F.array_compact(reasons)).alias("violation"))
 
 
+def similarity_blocks(z: np.ndarray, rows: np.ndarray, temperature: float) -> Iterator[tuple[slice, np.ndarray]]:
+    """Similarities of ``rows`` of ``z`` to all rows, none to themselves, at most about ``BLOCK_CELLS`` at a time."""
+    size = max(1, BLOCK_CELLS // max(1, len(z)))
+    for start in range(0, len(rows), size):
+        own = rows[start : start + size]
+        sim = z[own] @ z.T / temperature
+        sim[np.arange(len(own)), own] = -np.inf
+        yield slice(start, start + len(own)), sim
+
+
+def partners(n2: int) -> np.ndarray:
+    return (np.arange(n2) + n2 // 2) % n2
+
+
+def row_pulls(z: np.ndarray, rows: np.ndarray, temperature: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ``rows``: the logarithm of their softmax's sum, similarity to the partner, and all rows weighted by the softmax."""
+    partner = partners(len(z))[rows]
+    logs, near, pull = np.empty(len(rows)), np.empty(len(rows)), np.empty((len(rows), z.shape[1]))
+    for part, sim in similarity_blocks(z, rows, temperature):
+        near[part] = sim[np.arange(len(sim)), partner[part]]
+        top = sim.max(axis=1, keepdims=True)
+        sim -= top
+        p = np.exp(sim, out=sim)
+        mass = p.sum(axis=1, keepdims=True)
+        logs[part] = (top + np.log(mass))[:, 0]
+        pull[part] = p @ z / mass
+    return logs, near, pull
+
+
+def column_pulls(z: np.ndarray, rows: np.ndarray, logs: np.ndarray, temperature: float) -> np.ndarray:
+    """Of ``rows``: all rows weighted by what their own softmax, of the logarithms ``logs``, gives to this one."""
+    pull = np.empty((len(rows), z.shape[1]))
+    for part, sim in similarity_blocks(z, rows, temperature):
+        sim -= logs
+        pull[part] = np.exp(sim, out=sim) @ z
+    return pull
+
+
 def batch_loss(z: np.ndarray, temperature: float) -> tuple[float, np.ndarray]:
     """Loss of one batch of unit vectors (anchors first, partners after) and d loss / d z."""
-    n2 = len(z)
-    sim = z @ z.T / temperature
-    np.fill_diagonal(sim, -np.inf)
-    sim -= sim.max(axis=1, keepdims=True)
-    p = np.exp(sim)
-    mass = p.sum(axis=1, keepdims=True)
-    partner = (np.arange(n2) + n2 // 2) % n2
-    loss = float(np.mean(np.log(mass[:, 0]) - sim[np.arange(n2), partner]))
-    p /= mass
-    p[np.arange(n2), partner] -= 1.0
-    p /= n2
-    return loss, (p + p.T) @ z / temperature
+    rows = np.arange(len(z))
+    logs, near, pull = row_pulls(z, rows, temperature)
+    back = column_pulls(z, rows, logs, temperature)
+    return float(np.mean(logs - near)), (pull + back - 2.0 * z[partners(len(z))]) / len(z) / temperature
 
 
 def nt_xent(paired: DataFrame, a: str = "a", b: str = "b", temperature: float = TEMPERATURE) -> DataFrame:

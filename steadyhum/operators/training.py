@@ -40,7 +40,7 @@ from ..functions.kernels import stack
 from ..functions.scale import fresh_path, materialize
 from ..functions.vectors import UNIT_EPS
 from .pairs import batches, split_validation, split_violations
-from .projection import TEMPERATURE, Checkpoint, Head, batch_loss
+from .projection import BLOCK_CELLS, TEMPERATURE, Checkpoint, Head, batch_loss, column_pulls, partners, row_pulls
 
 # Fixed values of the optimizer.
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
@@ -261,6 +261,23 @@ def gathered(exchange: Exchange, widths: list[int], places: np.ndarray, *arrays:
     return [every[order], *(np.concatenate([m[i + 1] for m in messages])[order] for i in range(len(widths)))]
 
 
+def joint_loss(
+    exchange: Exchange, places: np.ndarray, z: np.ndarray, rows: np.ndarray, temperature: float
+) -> tuple[float, np.ndarray]:
+    """Loss of a batch, and its slope at this worker's ``rows`` of the unit vectors ``z`` of all workers.
+
+    Similarities are as many as the square of the batch: beyond one block of them every worker makes
+    those of its own rows, and the sums of the softmax, a number per row, are gathered between two passes.
+    """
+    if len(z) ** 2 <= BLOCK_CELLS:
+        loss, dz = batch_loss(z, temperature)
+        return loss, dz[rows]
+    logs, near, pull = row_pulls(z, rows, temperature)
+    _, logs, near = gathered(exchange, [1, 1], places, logs[:, None], near[:, None])
+    back = column_pulls(z, rows, logs[:, 0], temperature)
+    return float(np.mean(logs - near)), (pull + back - 2.0 * z[partners(len(z))[rows]]) / len(z) / temperature
+
+
 def joint_gradient(
     exchange: Exchange, head: Head, places: np.ndarray, x: np.ndarray, temperature: float
 ) -> tuple[float, list[np.ndarray]]:
@@ -270,8 +287,7 @@ def joint_gradient(
     length = np.maximum(np.linalg.norm(out, axis=1, keepdims=True), UNIT_EPS)
     own = out / length
     every, z = gathered(exchange, [out.shape[1]], places, own)
-    loss, dz = batch_loss(z, temperature)
-    dz = dz[np.searchsorted(every, places)]
+    loss, dz = joint_loss(exchange, places, z, np.searchsorted(every, places), temperature)
     d_out = (dz - (dz * own).sum(axis=1, keepdims=True) * own) / length
     d_hidden = (d_out @ head.w2) * (hidden > 0)
     widths = [x.shape[1], hidden.shape[1], d_hidden.shape[1], d_out.shape[1]]

@@ -4,6 +4,8 @@ import dataclasses
 import os
 import subprocess
 import sys
+import tracemalloc
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -79,6 +81,46 @@ def test_jobs_of_an_epoch_do_not_grow_with_its_batches(spark):
     assert jobs[0] == jobs[1] <= 8
 
 
+def test_batches_larger_than_a_block_are_shared_by_rows(tmp_path, monkeypatch):
+    for module in (PJ, TR):
+        monkeypatch.setattr(module, "BLOCK_CELLS", 150)
+    r, n = np.random.default_rng(7), 41
+    x, head = r.normal(size=(2 * n, 10)), PJ.Head.initial((10, 8, 4), 3)
+    z = head.forward(x)
+    sim = z @ z.T / 0.1
+    np.fill_diagonal(sim, -np.inf)
+    p = np.exp(sim) / np.exp(sim).sum(axis=1, keepdims=True)
+    partner = (np.arange(2 * n) + n) % (2 * n)
+    loss = -np.log(p[np.arange(2 * n), partner]).mean()
+    want, grads = TR.gradient(head, x, 0.1)
+    assert want == pytest.approx(loss, rel=1e-12)
+    workers = 3
+
+    def work(w):
+        own = np.arange(w, n, workers)
+        places = np.concatenate([own, TR.PARTNERS + own]).astype(np.float64)
+        rows = np.concatenate([x[own], x[n + own]])
+        return TR.joint_gradient(TR.Exchange(str(tmp_path / "ex"), w, workers), head, places, rows, 0.1)
+
+    with ThreadPoolExecutor(workers) as pool:
+        for got, parts in pool.map(work, range(workers)):
+            assert got == pytest.approx(loss, rel=1e-12)
+            for a, b in zip(parts, grads, strict=True):
+                np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-12)
+
+
+def test_memory_of_a_batch_does_not_grow_with_its_square():
+    z = np.random.default_rng(8).normal(size=(6000, 4))
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    tracemalloc.start()
+    try:
+        PJ.batch_loss(z, 0.1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 80 << 20  # all similarities would be 288 MB
+
+
 LOST = """
 import os, sys
 sys.path.insert(0, {root!r})

@@ -44,21 +44,24 @@ def health_score(norm_euclidean: Column, healthy_norm: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw))
 
 
-def health_state(score: Column, thresholds: dict[str, float] | None = None) -> Column:
-    """The best state whose bound the score reaches, within ``BOUND_TOLERANCE``.
+def health_state(score: Column, thresholds: dict[str, float] | None = None, tolerance: float = BOUND_TOLERANCE) -> Column:
+    """The best state whose bound the score reaches, within ``tolerance``.
 
     The two members of a machine both score 50, and the order of sums, which differs from run to run,
-    must not decide their state. Scores themselves are not rounded.
+    must not decide their state. Scores themselves are not rounded. Given scores, which are the same in
+    every run, are compared exactly with a tolerance of 0.
     """
     bounds = thresholds or STATE_THRESHOLDS
     state = None
     for name in STATE_THRESHOLDS:
-        hit = score >= bounds[name] - BOUND_TOLERANCE
+        hit = score >= bounds[name] - tolerance
         state = F.when(hit, name) if state is None else state.when(hit, name)
     return state.otherwise(WORST_STATE)
 
 
-def health_state_by_machine(scored: DataFrame, thresholds: DataFrame, score: str = "health_score") -> DataFrame:
+def health_state_by_machine(
+    scored: DataFrame, thresholds: DataFrame, score: str = "health_score", tolerance: float = BOUND_TOLERANCE
+) -> DataFrame:
     """State with per-machine bounds (machine_type, machine_id, excellent, good, warning)."""
     from ..functions.scale import bounded_join
     from .catalog import MACHINE
@@ -67,7 +70,7 @@ def health_state_by_machine(scored: DataFrame, thresholds: DataFrame, score: str
     s = F.col(score)
     state = None
     for name, default in STATE_THRESHOLDS.items():
-        hit = s >= F.coalesce(F.col(name.lower()), F.lit(default)) - BOUND_TOLERANCE
+        hit = s >= F.coalesce(F.col(name.lower()), F.lit(default)) - tolerance
         state = F.when(hit, name) if state is None else state.when(hit, name)
     return joined.withColumn("health_state", state.otherwise(WORST_STATE)).drop(
         *[n.lower() for n in STATE_THRESHOLDS]

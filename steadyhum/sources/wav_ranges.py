@@ -34,6 +34,7 @@ from .wav import pcm_to_float
 
 RANGE_FRAMES = 1 << 20
 RANGES_PER_TASK = 16
+ROWS_PER_TASK = 1 << 14  # of ranges, however short
 PLANNING_THREADS = 32
 
 # The format codes of integer samples, plain and extensible, and the latter's sub-format.
@@ -146,33 +147,77 @@ def wav_ranges(files: DataFrame, path: str = "path", range_frames: int = RANGE_F
     return ranged.withColumn("n", F.when(F.col("error").isNull(), n).otherwise(F.lit(0)).cast("long"))
 
 
+def reading_tasks(ranges: DataFrame) -> int:
+    """As many as shuffle partitions, and more where a task would have too many samples or too many ranges."""
+    n, samples = ranges.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    partitions = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(partitions, samples // (RANGES_PER_TASK * RANGE_FRAMES), n // ROWS_PER_TASK)
+
+
+def runs_of(spots: list[tuple], order: list[int]) -> Iterator[list[int]]:
+    """``order``, of (path, start, n, error), cut where ranges of a file do not adjoin or pass ``RANGE_FRAMES`` samples."""
+    run, held = [], 0
+    for i in order:
+        path, start, n, error = spots[i]
+        if run:
+            before = spots[run[-1]]
+            adjoins = error is None and before[3] is None and before[0] == path and before[1] + before[2] == start
+            if not adjoins or held + n > RANGE_FRAMES:
+                yield run
+                run, held = [], 0
+        run.append(i)
+        held += n
+    if run:
+        yield run
+
+
 def read_wav_chunks(files: DataFrame, path: str = "path", range_frames: int = RANGE_FRAMES) -> DataFrame:
     """``files`` with sample_rate, channels, start, samples (mono) and error, a row per range.
 
-    The ranges, small rows, are written once and dealt over tasks; samples are not shuffled.
+    The ranges, small rows, are written once and dealt over tasks in stretches of ``RANGE_FRAMES`` samples of a file,
+    so neighbours among small ones are read at once; samples are not shuffled. A task holds one stretch or range at a time.
     """
-    spark = files.sparkSession
     ranges = materialize(wav_ranges(files, path, range_frames), "wav_ranges")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ranges.count() // RANGES_PER_TASK)
-    dealt = ranges.repartition(tasks, path, "start")
+    stretch = F.floor(F.col("start") / RANGE_FRAMES)
+    dealt = ranges.repartition(reading_tasks(ranges), path, stretch).sortWithinPartitions(path, "start")
     kept = [*files.columns, "sample_rate", "channels", "start", "error"]
     schema = T.StructType([dealt.schema[c] for c in kept] + [T.StructField("samples", T.ArrayType(T.FloatType()))])
-    samples = pa.list_(pa.float32())
+
+    def rows_of(batch: pa.RecordBatch, rows: list[int], lengths: list[int | None], parts: list[np.ndarray]) -> pa.RecordBatch:
+        offsets = np.cumsum([0, *[n or 0 for n in lengths]]).astype(np.int32)
+        gone = pa.array([n is None for n in lengths], pa.bool_())
+        values = pa.array(np.concatenate([np.empty(0, np.float32), *parts]))
+        samples = pa.ListArray.from_arrays(pa.array(offsets), values, mask=gone)
+        picked = batch.take(pa.array(rows, pa.int64()))
+        return pa.RecordBatch.from_arrays([*[picked.column(c) for c in kept], samples], names=[*kept, "samples"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, last = None, None
         for batch in batches:
-            spots = list(zip(batch.column(path).to_pylist(), batch.column("start").to_pylist(), strict=True))
-            f, last = None, None
-            for i in sorted(range(batch.num_rows), key=spots.__getitem__):
-                one = batch.slice(i, 1)
-                row = {c: one.column(c)[0].as_py() for c in (path, "width", "offset", "n", "sample_rate", "channels", "start", "error")}
-                data, error = None, row["error"]
+            told = {c: batch.column(c).to_pylist() for c in (path, "start", "n", "error", "sample_rate", "channels", "width", "offset")}
+            spots = list(zip(told[path], told["start"], told["n"], told["error"], strict=True))
+            rows, lengths, parts, held = [], [], [], 0
+            for stretch in runs_of(spots, sorted(range(len(spots)), key=lambda i: spots[i][:2])):
+                i = stretch[0]
+                name, start, _, error = spots[i]
+                sizes = [spots[k][2] for k in stretch]
                 if error is None:
-                    if row[path] != last:
-                        f, last = opened(row[path]), row[path]
-                    data = read_range(f, Header(row["sample_rate"], row["channels"], row["width"], row["offset"]), row["start"], row["n"])
-                columns = [one.column(c) for c in kept]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([data], samples)], names=[*kept, "samples"])
+                    if name != last:
+                        if f is not None:
+                            f.close()
+                        f, last = opened(name), name
+                    h = Header(*[told[c][i] for c in ("sample_rate", "channels", "width", "offset")])
+                    if rows and held + sum(sizes) > RANGE_FRAMES:
+                        yield rows_of(batch, rows, lengths, parts)
+                        rows, lengths, parts, held = [], [], [], 0
+                    parts.append(read_range(f, h, start, sum(sizes)))
+                    held += sum(sizes)
+                rows += stretch
+                lengths += sizes if error is None else [None] * len(stretch)
+            if rows:
+                yield rows_of(batch, rows, lengths, parts)
+        if f is not None:
+            f.close()
 
     return dealt.mapInArrow(run, schema)
 

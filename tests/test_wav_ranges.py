@@ -62,6 +62,23 @@ def test_ranges_equal_whole_files(spark, files, size):
         assert got[k] == want[k], k
 
 
+def test_tasks_follow_the_samples_not_the_ranges(spark, files):
+    _, paths = files
+    before = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for size in (1, 1 << 20):
+        read = R.read_wav_chunks(paths, range_frames=size)
+        assert read.rdd.getNumPartitions() == before
+    dealt = spark.range(R.ROWS_PER_TASK * before * 2).selectExpr("1L AS n")
+    assert R.reading_tasks(dealt) == 2 * before
+    long = spark.range(3 * before).selectExpr(f"{R.RANGE_FRAMES * R.RANGES_PER_TASK}L AS n")
+    assert R.reading_tasks(long) == 3 * before
+
+
+def test_small_ranges_are_read_in_stretches():
+    spots = [("a", 0, 5, None), ("a", 5, 5, None), ("a", 20, 5, None), ("b", 0, 0, "bad"), ("b", 0, 0, "bad"), ("c", 0, R.RANGE_FRAMES, None), ("c", R.RANGE_FRAMES, 1, None)]
+    assert list(R.runs_of(spots, list(range(7)))) == [[0, 1], [2], [3], [4], [5], [6]]
+
+
 def test_data_source_reads_a_folder(spark, files):
     folder, paths = files
     R.register(spark)

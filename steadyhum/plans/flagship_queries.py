@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scale import fresh_path
+from ..functions.scale import fresh_path, materialize
 from ..sources.stores import with_store_key
 from . import views as X
 from .from_files import full_report
@@ -28,9 +28,9 @@ def clip_recordings(spark, sf_dir):
     )
 
 
-def clip_embeddings(spark, sf_dir):
-    """The embedding of every clip: that of the recording with its signal's number."""
-    keys = with_store_key(clip_recordings(spark, sf_dir).drop("samples"))
+def clip_embeddings(spark, sf_dir, clips):
+    """The embedding of every one of ``clips``: that of the recording with its signal's number."""
+    keys = with_store_key(clips.drop("samples"))
     signal = F.shiftright(F.col("stem").cast("bigint"), X.CLIP_BITS)
     vectors = X.recordings(spark, sf_dir).select(F.col("rec_id").alias("signal_id"), F.col("vector").alias("embedding"))
     return keys.select(*CLIP_META, "stem", signal.alias("signal_id")).join(vectors, "signal_id")
@@ -88,7 +88,8 @@ MEASURES = [
 def full(spark, sf_dir):
     head = rational_head((N_DSP + N_EMBEDDING, 32, 16))
     store = fresh_path(spark, "feature_store")
-    report = full_report(clip_recordings(spark, sf_dir), clip_embeddings(spark, sf_dir), head, store, SMALL)
+    clips = materialize(clip_recordings(spark, sf_dir), "clips")  # the store reads its recordings twice, the embeddings their keys
+    report = full_report(clips, clip_embeddings(spark, sf_dir, clips), head, store, SMALL)
     dims = ["dsp_dim", "embedding_dim", "fused_dim", "learned_dim"]
     causes = F.array_join("possible_causes", "|").alias("possible_causes")
     kept = report.select(*CLIP_META, "filename", *dims, *MEASURES, "health_state", "summary", causes, "recommendation")

@@ -109,3 +109,14 @@ def test_the_full_report_computes_features_once(spark, monkeypatch):
     assert calls == [1]
     plan = plan_of(report)
     assert "samples" not in plan and "feature_vector" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_the_full_report_cuts_its_clips_once(spark, monkeypatch):
+    from steadyhum.plans import flagship_queries as FQ
+
+    calls = []
+    monkeypatch.setattr(FQ, "full_report", lambda decoded, embeddings, *a: calls.extend([decoded, embeddings]) or FQ.materialize(decoded, "x"))
+    with contextlib.suppress(Exception):
+        QUERIES["full_report"](spark, SF)
+    decoded, embeddings = calls
+    assert "Window" not in plan_of(decoded) and "Window" not in plan_of(embeddings)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import functools
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,17 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+def releasing(run: Callable) -> Callable:
+    """``run`` over a task's batches, which gives back what Arrow's pool keeps at its end: workers stay, idle, for later stages."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 def text_slices(
     batches: Iterable[pa.RecordBatch], columns: list[int], most: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:

@@ -21,14 +21,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import unused
+from .common import releasing, unused
 
 ROWS_PER_LANGUAGE = 400
 SAMPLE_CHARS = 300
@@ -136,18 +136,20 @@ def predictor(model: Model):
 def predict_language(docs: DataFrame, model: Model, min_margin: float = MIN_MARGIN) -> DataFrame:
     """``docs`` with struct column ``language`` (lang_pred, score, margin, rejected), no shuffle.
 
-    Only the text crosses to Python; the model, some 110 kB per language, goes with the task.
+    Only the text crosses to Python, where one at a time is a string; the model, some 110 kB per language, goes with the task.
     """
     out = "lang_pred string, score double, margin double, rejected boolean"
 
-    @F.pandas_udf(out)
-    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(out)
+    @releasing
+    def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         predict = predictor(model)
         for batch in batches:
-            rows = [predict(t) for t in batch]
-            got = pd.DataFrame(rows, columns=["lang_pred", "score", "margin"])
-            got["rejected"] = (got.lang_pred == "und") | (got.margin < min_margin)
-            yield got
+            rows = [predict(t.as_py()) for t in batch]
+            langs, scores, margins = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [])
+            rejected = [lang == "und" or margin < min_margin for lang, margin in zip(langs, margins, strict=True)]
+            columns = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array(rejected, pa.bool_())]
+            yield pa.StructArray.from_arrays(columns, names=["lang_pred", "score", "margin", "rejected"])
 
     return docs.withColumn(unused(docs, "language"), predicted(F.col("text")))
 

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scale import bounded_join, materialize
 from . import shingles
-from .common import text_slices, texts, unused
+from .common import releasing, text_slices, texts, unused
 
 PERCENT = 85
 SIGMAS = 4.0
@@ -78,7 +78,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_shingles", "key_1", "key_2", "bands", "signature"],
             )
 
-    return texts(docs).mapInArrow(run, SKETCH)
+    return texts(docs).mapInArrow(releasing(run), SKETCH)
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -129,7 +129,7 @@ def confirm(pairs: DataFrame, crowded: DataFrame, percent: int) -> DataFrame:
             good = [shingles.similar(sets[i], sets[j], percent) for i, j in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(run, "u long, v long").distinct()
+    return both.mapInArrow(releasing(run), "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import releasing, texts
 from .differencing import pack
 from .encoding import default_path, encoder
 
@@ -119,7 +119,7 @@ def pack_documents(
             packer.close_batch()
         yield from packer.batches(last=True)
 
-    return texts(docs).mapInArrow(run, SCHEMA)
+    return texts(docs).mapInArrow(releasing(run), SCHEMA)
 
 
 def packed_pieces(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Language identification against a plain loop over zstandard, and what learning sees."""
 
+import pyarrow as pa
 import pytest
 import zstandard
 
@@ -66,3 +67,24 @@ def test_learning_is_bounded_and_does_not_depend_on_partitions(spark):
     assert language.learn(table.repartition(7, "text"), rows_per_language=20, sample_chars=10) == model
     few = language.learn(table, rows_per_language=20, most_languages=2)
     assert len(few.dictionaries) == 2 and all(raw for _, raw in few.dictionaries)
+
+
+def test_workers_give_arrow_memory_back_when_a_task_ends(monkeypatch):
+    """The pool is told once, after the task's own batches are gone."""
+    from steadyhum.llm import common
+
+    held = []
+
+    class Pool:
+        def release_unused(self):
+            held.append(pa.total_allocated_bytes())
+
+    def run(batches):
+        for batch in batches:
+            copy = pa.concat_arrays([batch, batch])
+            yield len(copy)
+
+    before = pa.total_allocated_bytes()
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    assert list(common.releasing(run)(pa.array(range(10**6)) for _ in range(3))) == [2 * 10**6] * 3
+    assert len(held) == 1 and held[0] < before + 10**6

@@ -1,15 +1,20 @@
 """Byte-pair encoding through a table of distinct words, and decoding through a table of pieces.
 
-Spark splits texts into words with the tokenizer's expression and reduces them to the distinct
-ones, combined inside each map task first. Every distinct word is encoded once, by the
-tokenizers library, and the table of words and ids is written to the shared folder. The ids are
-then joined back by position:
+Spark splits texts into words with the tokenizer's expression. A task sends every distinct word of
+a chunk of documents once; a chunk is some thousand neighbouring rows of a file, so that both passes over the
+documents know it. Words meet by hash, where every distinct word is encoded once, by the tokenizers library, and
+the table of words, ids and chunks is written to the shared folder. The ids are then joined back by position:
 
-* While the table has at most ``table_words`` rows (a checked bound of some 25 bytes each), every
-  worker holds it as sorted arrays and looks up the distinct words of each batch, so occurrences
-  are never shuffled.
-* Beyond that, occurrences are joined to the table by word in a shuffle and put back in order by
-  position. Both ways give the same ids.
+* The words of the most chunks, at most ``table_words`` of them (a bound of some 25 bytes each),
+  are held by every worker as sorted arrays.
+* The ids of all others, which are in few chunks each, are dealt to those chunks, as a folder of
+  the shared folder for each chunk, and read by the task that has the chunk's documents.
+
+Neither texts nor occurrences are shuffled, however many words there are: what moves is a row for each
+word and chunk, and back for the rarer words only. Documents that are not read from Parquet files have no rows of a
+file, and are written to the shared folder first.
+
+Words are told apart by hash. Those that share one, which is next to never, are told apart by themselves.
 
 Decoding joins ids to the pieces of the vocabulary, some 50,000 rows, inside each task.
 
@@ -24,18 +29,20 @@ vocabulary; an empty table gives no rows.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import xxhash
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scale import fresh_path
-from .common import texts
+from ..functions.scale import fresh_path, materialize
+from .common import releasing, texts
 from .encoding import SETTLED, byte_of_symbol, default_path, encoder
 from .files import file_system
 
@@ -43,6 +50,11 @@ TABLE_WORDS = 6_000_000
 WORDS_AT_ONCE = 20_000
 ITEMS_AT_ONCE = 500_000
 
+# A chunk's words are held together: rows of a chunk, and how many of those whose texts are longer than LONG_TEXT.
+CHUNK_ROWS, CHUNK_LONG_ROWS, LONG_TEXT = 4096, 64, 1 << 16
+HASH_SEED = 42  # of Spark's xxhash64
+TABLE_SCHEMA = "hash long, word string, ids array<int>, n_chunks int, chunks array<long>"
+
 # The word expression of byte-level tokenizer files in Java's syntax; \s there is ASCII only.
 BLANK = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 JAVA_WORDS = (
@@ -60,60 +72,136 @@ def special_strings(path: str) -> list[str]:
         return [t["content"] for t in json.load(f)["added_tokens"]]
 
 
-def split_words(keyed: DataFrame, key: str, path: str) -> DataFrame:
-    """``key``, words (null for texts to be encoded whole), whole (the text of those, else null)."""
+def in_chunks(docs: DataFrame) -> DataFrame:
+    """``texts(docs)`` with ``chunk``, which is the same for neighbouring rows of a file whenever they are read."""
+    rows = texts(docs)
+    try:
+        place = rows.metadataColumn("_metadata")
+        long_text = F.length("text") > LONG_TEXT
+        part = F.floor(place.getField("row_index") / F.when(long_text, CHUNK_LONG_ROWS).otherwise(CHUNK_ROWS))
+        return rows.select("doc_id", "text", F.xxhash64(place.getField("file_path"), part, long_text).alias("chunk"))
+    except AnalysisException:  # no Parquet files, or rows that are not theirs
+        return in_chunks(materialize(rows, "texts"))
+
+
+def split_words(keyed: DataFrame, path: str) -> DataFrame:
+    """``keyed`` with words (null for texts to be encoded whole) and whole (the text of those, else null) for ``text``."""
     # Most texts stay within the first range, which is quick to see; all ranges are slow in Java.
     odd: Column = F.when(F.col("text").rlike(FIRST_RANGE), F.col("text").rlike(JAVA_UNSETTLED)).otherwise(False)
     for mark in special_strings(path):
         odd = odd | F.col("text").contains(mark)
-    return keyed.select(key, "text", odd.alias("odd")).select(
-        key,
+    others = [c for c in keyed.columns if c != "text"]
+    return keyed.select(*others, "text", odd.alias("odd")).select(
+        *others,
         F.when(~F.col("odd"), F.regexp_extract_all("text", F.lit(JAVA_WORDS), F.lit(0))).alias("words"),
         F.when(F.col("odd"), F.col("text")).alias("whole"),
     )
 
 
-def word_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode())
+def hash_mask(bits: int) -> int:
+    return (1 << bits) - 1
+
+
+def word_hashes(words: list[str], bits: int) -> np.ndarray:
+    """As Spark's xxhash64 gives them, the lowest ``bits`` of them."""
+    found = (xxhash.xxh64_intdigest(w.encode(), HASH_SEED) for w in words)
+    return np.fromiter(found, np.uint64, len(words)) & np.uint64(hash_mask(bits))
 
 
-def word_table(docs: DataFrame, path: str) -> str:
-    """Encode every distinct word of ``docs`` once; returns the folder of (hash, word, ids)."""
-    distinct = split_words(texts(docs), "doc_id", path).select(
-        F.explode(F.array_distinct("words")).alias("word")
-    ).distinct()
+def chunk_words(split: DataFrame) -> DataFrame:
+    """(word, chunk) of ``split`` (chunk, words); a task gives the words of a chunk once, unless it returns to the chunk later."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = encoder(path).library
-        for batch in batches:
-            for at in range(0, batch.num_rows, WORDS_AT_ONCE):
-                words = batch.column(0).slice(at, WORDS_AT_ONCE).to_pylist()
-                ids = [e.ids for e in library.encode_batch_fast(words, add_special_tokens=False)]
+        seen: dict[int, set[str]] = {}
+        for part in slices(batches):
+            of, lists = part.column(0).to_numpy(), part.column(1)
+            here = np.unique(of)
+            seen = {c: seen.get(c, set()) for c in here.tolist()}
+            for c, known in seen.items():
+                own = lists if len(here) == 1 else lists.filter(pa.array(of == c))
+                new = [w for w in own.flatten().unique().to_pylist() if w not in known]
+                known.update(new)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.array([word_hash(w) for w in words], np.uint64).view(np.int64)),
-                        pa.array(words, pa.string()),
-                        pa.array(ids, IDS),
-                    ],
-                    names=["hash", "word", "ids"],
+                    [pa.array(new, pa.string()), pa.array(np.full(len(new), c, np.int64))], names=["word", "chunk"]
                 )
 
-    folder = fresh_path(docs.sparkSession, "word_table")
-    distinct.mapInArrow(run, "hash long, word string, ids array<int>").write.parquet(folder)
+    return split.select("chunk", "words").mapInArrow(releasing(run), "word string, chunk long")
+
+
+def whole_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches``, sorted by their first column, cut only between its values."""
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(values, values[-1]))
+        if held and (cut or values[0] != last):
+            yield joined([*held, batch.slice(0, cut)])
+            held = []
+        elif cut:
+            yield batch.slice(0, cut)
+        held.append(batch.slice(cut))
+        last = values[-1]
+    if held:
+        yield joined(held)
+
+
+def word_table(split: DataFrame, path: str, hash_bits: int = 64) -> str:
+    """Encode every distinct word of ``split`` (chunk, words) once; returns the folder of the table.
+
+    ``word`` is null unless another word has the same hash; ``chunks`` may name a chunk twice.
+    """
+    by_hash = F.xxhash64("word").bitwiseAND(F.lit(-1 if hash_bits == 64 else hash_mask(hash_bits)).cast("long"))
+    met = chunk_words(split).repartition(by_hash).select(by_hash.alias("hash"), "word", "chunk")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library = encoder(path).library
+        for batch in whole_runs(batches):
+            runs = pc.run_end_encode(batch.column(1))
+            words, ends = runs.values.to_pylist(), runs.run_ends.to_numpy()
+            hashes = batch.column(0).to_numpy()[ends - 1]
+            shared = np.zeros(len(words), bool)
+            shared[1:] = hashes[1:] == hashes[:-1]
+            shared[:-1] |= shared[1:]
+            ids = []
+            for at in range(0, len(words), WORDS_AT_ONCE):
+                some = library.encode_batch_fast(words[at : at + WORDS_AT_ONCE], add_special_tokens=False)
+                ids += [e.ids for e in some]
+            edges = np.concatenate([[0], ends]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(hashes),
+                    pa.array(words, pa.string(), mask=~shared),
+                    pa.array(ids, IDS),
+                    pa.array(np.diff(edges)),
+                    pa.ListArray.from_arrays(edges, batch.column(2)),
+                ],
+                names=["hash", "word", "ids", "n_chunks", "chunks"],
+            )
+
+    folder = fresh_path(split.sparkSession, "word_table")
+    met.sortWithinPartitions("hash", "word").mapInArrow(releasing(run), TABLE_SCHEMA).write.parquet(folder)
     return folder
 
 
 class Table:
-    """The word table as arrays sorted by hash."""
+    """Hashes of words and their ids as arrays sorted by hash, from the Parquet files of a folder, which may be missing."""
 
     def __init__(self, folder: str):
         system, inner = file_system(folder)
-        found = system.get_file_info(pafs.FileSelector(inner))
+        found = system.get_file_info(pafs.FileSelector(inner, allow_not_found=True))
         hashes, counts, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.uint16)]
         for info in sorted(found, key=lambda i: i.path):  # one by one, to hold no second copy
             if not info.path.endswith(".parquet"):
                 continue
-            data = pq.read_table(info.path, columns=["hash", "ids"], filesystem=system, use_threads=False)
+            with system.open_input_file(info.path) as f:
+                data = pq.read_table(f, columns=["hash", "ids"], use_threads=False)
             lists = data.column("ids").combine_chunks()
             lengths, values = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
             hashes.append(data.column("hash").to_numpy().view(np.uint64))
@@ -131,23 +219,63 @@ class Table:
         self.starts, self.counts = starts[order], counts[order]
         pa.default_memory_pool().release_unused()
 
-    def rows(self, words: list[str]) -> np.ndarray:
-        wanted = np.fromiter((word_hash(w) for w in words), np.uint64, len(words))
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes ``wanted`` are here, and the rows of those."""
         at = np.searchsorted(self.hashes, wanted)
-        if len(words) and not np.array_equal(self.hashes[at], wanted):
-            raise ValueError("a word is missing from the table")
-        return at
-
-    def join(self, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all lists in one array, and where each list begins in it (one more at the end)."""
-        coded = words.flatten().dictionary_encode()
-        rows = self.rows(coded.dictionary.to_pylist())
-        each = rows[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
-        counts = self.counts[each].astype(np.int64)
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        spots = np.repeat(self.starts[each].astype(np.int64) - ends[:-1], counts) + np.arange(ends[-1])
-        lengths = words.value_lengths().fill_null(0).to_numpy()
-        return self.ids[spots], ends[np.concatenate([[0], np.cumsum(lengths)])]
+        here = (at < len(self.counts)) & (self.hashes[at] == wanted)
+        return here, at[here]
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of ids of ``rows``, and these ids in one array."""
+        counts = self.counts[rows].astype(np.int64)
+        return counts, self.ids[spread(self.starts[rows], counts)]
+
+
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The positions of stretches that begin at ``starts`` and have ``counts`` items, one after the other."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts.astype(np.int64) - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def ids_of(
+    words: list[str], tables: Iterable[Table], shared: dict[str, list[int]], hash_bits: int = 64
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the ids of each word begin, how many they are, and the ids, from the first of ``tables`` that has the word."""
+    starts, counts, found, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
+
+    def add(rows: np.ndarray, numbers: np.ndarray, ids: np.ndarray) -> None:
+        nonlocal size
+        starts[rows], counts[rows] = size + np.cumsum(numbers) - numbers, numbers
+        found.append(ids)
+        size += len(ids)
+
+    left, wanted = np.arange(len(words)), word_hashes(words, hash_bits)
+    if shared:
+        known = np.array([w in shared for w in words], bool)
+        lists = [shared[words[i]] for i in np.flatnonzero(known)]
+        add(left[known], np.array([len(x) for x in lists], np.int64), np.array([i for x in lists for i in x], np.uint32))
+        left = left[~known]
+    for held in tables if len(left) else ():
+        here, rows = held.find(wanted[left])
+        add(left[here], *held.gather(rows))
+        left = left[~here]
+        if not len(left):
+            break
+    if len(left):
+        raise ValueError("a word is missing from the table")
+    return starts, counts, np.concatenate([np.zeros(0, np.uint16), *found])
+
+
+def join(
+    words: pa.ListArray, tables: Iterable[Table], shared: dict[str, list[int]], hash_bits: int = 64
+) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all lists in one array, and where each list begins in it (one more at the end)."""
+    coded = words.flatten().dictionary_encode()
+    starts, counts, ids = ids_of(coded.dictionary.to_pylist(), tables, shared, hash_bits)
+    each = coded.indices.to_numpy() if len(coded) else np.zeros(0, np.int64)
+    ends = np.concatenate([[0], np.cumsum(counts[each])])
+    lengths = words.value_lengths().fill_null(0).to_numpy()
+    return ids[spread(starts[each], counts[each])], ends[np.concatenate([[0], np.cumsum(lengths)])]
 
 
 def slices(batches: Iterator[pa.RecordBatch], items: int = ITEMS_AT_ONCE) -> Iterator[pa.RecordBatch]:
@@ -166,21 +294,57 @@ _TABLES: dict[str, Table] = {}
 
 
 def table(folder: str) -> Table:
-    """The worker's copy of a word table; only the last one is kept."""
+    """The worker's copy of a table that all chunks need; only the last one is kept."""
     if folder not in _TABLES:
         _TABLES.clear()
         _TABLES[folder] = Table(folder)
     return _TABLES[folder]
 
 
-def look_up(split: DataFrame, folder: str, path: str, decoded: bool = False) -> DataFrame:
-    """doc_id, ids and, if asked for, the decoded text of split documents, from the table held by each worker."""
+def divide(folder: str, spark: SparkSession, table_words: int) -> tuple[str, str | None, dict[str, list[int]]]:
+    """Of the word table in ``folder``: the folder of the words that every worker holds, at most ``table_words``,
+    that of the others by chunk (None if there are none), and the ids of words that share a hash."""
+    entries = spark.read.schema(TABLE_SCHEMA).parquet(folder)
+    shared = {r.word: r.ids for r in entries.where(F.col("word").isNotNull()).select("word", "ids").collect()}
+    alone = entries.where(F.col("word").isNull())
+    total, least = 0, None  # the words of most chunks first
+    for n_chunks, n_words in sorted(alone.groupBy("n_chunks").count().collect(), reverse=True):
+        if total + n_words > table_words:
+            break
+        total, least = total + n_words, n_chunks
+    else:
+        if not shared:
+            return folder, None, shared
+    common, rest = fresh_path(spark, "common_words"), fresh_path(spark, "chunk_words")
+    held = F.lit(False) if least is None else F.col("n_chunks") >= least
+    alone.where(held).select("hash", "ids").write.parquet(common)
+    dealt = alone.where(~held).select(F.explode("chunks").alias("chunk"), "hash", "ids")
+    dealt.repartition("chunk").write.partitionBy("chunk").parquet(rest)
+    return common, rest, shared
+
+
+def look_up(
+    split: DataFrame, folders: tuple[str, str | None, dict[str, list[int]]], path: str, decoded: bool, hash_bits: int
+) -> DataFrame:
+    """doc_id, ids and, if asked for, the decoded text of split documents (doc_id, words, whole, chunk)."""
+    common, rest, shared = folders
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = piece_table(path) if decoded else []
+        near: dict[int, Table] = {}  # of the chunks that the last rows were of
+
+        def tables(chunks: list[int]) -> Iterator[Table]:
+            yield table(common)
+            for c in chunks if rest else ():
+                if c not in near:
+                    near[c] = Table(f"{rest}/chunk={c}")
+                yield near[c]
+
         for part in slices(batches):
-            doc_id, words, whole = part.columns
-            ids, starts = table(folder).join(words)
+            doc_id, words, whole, chunk = part.columns
+            chunks = np.unique(chunk.to_numpy()).tolist()
+            near = {c: t for c, t in near.items() if c in chunks}
+            ids, starts = join(words, tables(chunks), shared, hash_bits)
             odd = {i: encoder(path).encode(t) for i, t in enumerate(whole.to_pylist()) if t is not None}
             if odd:
                 parts = [odd.get(i, ids[starts[i] : starts[i + 1]]) for i in range(len(words))]
@@ -190,47 +354,22 @@ def look_up(split: DataFrame, folder: str, path: str, decoded: bool = False) ->
             columns = [doc_id, lists, *([joined_pieces(lists, pieces)] if decoded else [])]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
 
-    return split.mapInArrow(run, "doc_id long, ids array<int>" + (", decoded string" if decoded else ""))
-
-
-def join_by_word(docs: DataFrame, folder: str, path: str) -> DataFrame:
-    """doc_id, ids of ``docs``, by a shuffled join of all occurrences with the table."""
-    spark = docs.sparkSession
-    keyed = texts(docs).withColumn("text_key", F.sha2("text", 256))
-    split = split_words(keyed.dropDuplicates(["text_key"]), "text_key", path)
-    entries = spark.read.schema("hash long, word string, ids array<int>").parquet(folder).select("word", "ids")
-    found = (
-        split.select("text_key", F.posexplode("words").alias("position", "word"))
-        .join(entries, "word")
-        .groupBy("text_key")
-        .agg(F.array_sort(F.collect_list(F.struct("position", "ids"))).alias("parts"))
-        .select("text_key", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [encoder(path).encode(t.as_py()).astype(np.int32) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, IDS)], names=["text_key", "ids"])
-
-    whole = split.where(F.col("whole").isNotNull()).select("text_key", "whole")
-    found = found.unionByName(whole.mapInArrow(run, "text_key string, ids array<int>"))
-    return keyed.select("doc_id", "text_key").join(found, "text_key", "left").select(
-        "doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")
-    )
+    rows = split.select("doc_id", "words", "whole", "chunk")
+    return rows.mapInArrow(run, "doc_id long, ids array<int>" + (", decoded string" if decoded else ""))
 
 
 def encode(
-    docs: DataFrame, tokenizer: str | None = None, table_words: int = TABLE_WORDS, decoded: bool = False
+    docs: DataFrame,
+    tokenizer: str | None = None,
+    table_words: int = TABLE_WORDS,
+    decoded: bool = False,
+    hash_bits: int = 64,
 ) -> DataFrame:
     """doc_id and ids (array of int) of every row of ``docs`` (doc_id, text); with ``decoded``, what they decode to."""
     path = tokenizer or default_path("byte_bpe_50k.json")
-    folder = word_table(docs, path)
-    entries = docs.sparkSession.read.schema("hash long").parquet(folder)
-    size = entries.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("hash").alias("h")).first()
-    if size.n <= table_words and size.h == size.n:
-        return look_up(split_words(texts(docs), "doc_id", path), folder, path, decoded)
-    ids = join_by_word(docs, folder, path)
-    return decode(ids, path) if decoded else ids
+    split = split_words(in_chunks(docs), path)
+    folder = word_table(split, path, hash_bits)
+    return look_up(split, divide(folder, docs.sparkSession, table_words), path, decoded, hash_bits)
 
 
 def piece_table(path: str) -> list[bytes]:

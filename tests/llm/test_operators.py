@@ -446,6 +446,27 @@ def test_word_table_encodes_and_decodes_as_the_library(docs, empty, table_words)
     assert wordtable.encode(empty, table_words=table_words).collect() == []
 
 
+@pytest.mark.parametrize("bits", [64, 4])
+def test_words_beyond_the_table_move_once_per_chunk_and_not_per_occurrence(spark, tmp_path, bits):
+    """Ids come back to the documents' chunks, so the rows that move do not grow with occurrences; shared hashes are told apart."""
+    r, e = np.random.default_rng(4), encoder(default_path("byte_bpe_50k.json")).library
+    rows = [(i, " ".join(f"w{x}" for x in r.integers(0, 200, 300))) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    got = wordtable.encode(docs, table_words=50, decoded=True, hash_bits=bits)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {x.doc_id: (x.ids, x.decoded) for x in got.collect()} == {
+        i: (e.encode(t, add_special_tokens=False).ids, t) for i, t in rows
+    }
+    split = wordtable.split_words(wordtable.in_chunks(docs), default_path("byte_bpe_50k.json"))
+    assert split.select("chunk").distinct().count() == 3
+    folder = wordtable.word_table(split, default_path("byte_bpe_50k.json"), bits)
+    common, rest, shared = wordtable.divide(folder, spark, 0)
+    dealt = spark.read.parquet(rest).count() if bits == 64 else 0
+    assert spark.read.schema("hash long").parquet(common).count() == 0
+    assert (len(shared) > 200 and not dealt) if bits == 4 else (not shared and 400 < dealt <= 3 * 2 * 200)
+
+
 def test_pipeline_stages_keep_columns_and_clean_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before, table = docs.count(), docs

@@ -40,7 +40,18 @@ from ..functions.kernels import stack
 from ..functions.scale import fresh_path, materialize
 from ..functions.vectors import UNIT_EPS
 from .pairs import batches, split_validation, split_violations
-from .projection import BLOCK_CELLS, TEMPERATURE, Checkpoint, Head, batch_loss, column_pulls, partners, row_pulls
+from .projection import (
+    BLOCK_CELLS,
+    TEMPERATURE,
+    Checkpoint,
+    Head,
+    batch_loss,
+    column_pulls,
+    is_large,
+    large_loss,
+    partners,
+    row_pulls,
+)
 
 # Fixed values of the optimizer.
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
@@ -195,6 +206,12 @@ def epoch_steps(
     return materialize(arranged, f"epoch_{epoch}"), math.ceil(n_batches / per_step)
 
 
+def task_slots(spark: SparkSession) -> int:
+    """How many tasks can run at a time now, which a barrier stage must not exceed."""
+    sc = spark.sparkContext._jsc.sc()
+    return max(1, sc.maxNumConcurrentTasks(sc.resourceProfileManager().defaultResourceProfile()))
+
+
 def worker_slots(spark: SparkSession, workers: int) -> list[int]:
     """A number per worker that Spark's hash partitioning into as many partitions sends to a partition of its own."""
     part = F.pmod(F.hash("id"), F.lit(workers))
@@ -216,17 +233,27 @@ class Exchange:
     def _name(self, turn: int, worker: int) -> str:
         return f"{self.folder}/{turn}-{worker}"
 
-    def all_gather(self, message: bytes) -> list[bytes]:
-        """The messages of all workers in their order; every worker has to call this equally often."""
+    def messages(self, message: bytes) -> Iterator[bytes]:
+        """The messages of all workers in their order, to be read to the end; every worker has to call this equally often."""
         self.turn += 1
         own = self._name(self.turn, self.worker)
         with self.system.open_output_stream(f"{own}.part", compression=None) as f:
             f.write(message)
         self.system.move(f"{own}.part", own)
-        found = [message if w == self.worker else self._read(self._name(self.turn, w)) for w in range(self.workers)]
+        for w in range(self.workers):
+            yield message if w == self.worker else self._read(self._name(self.turn, w))
         if self.turn > 1:  # all have written this turn's, so all have read the last one's
             self.system.delete_file(self._name(self.turn - 1, self.worker))
-        return found
+
+    def all_gather(self, message: bytes) -> list[bytes]:
+        return list(self.messages(message))
+
+    def all_sum(self, part: np.ndarray) -> np.ndarray:
+        """The sum of all workers' ``part``, in the same order for each."""
+        total = np.zeros(part.size)
+        for message in self.messages(packed(part)):
+            total += np.frombuffer(message, np.float64)
+        return total.reshape(part.shape)
 
     def _read(self, name: str) -> bytes:
         until, pause = time.monotonic() + self.patience, 0.0005
@@ -266,12 +293,14 @@ def joint_loss(
 ) -> tuple[float, np.ndarray]:
     """Loss of a batch, and its slope at this worker's ``rows`` of the unit vectors ``z`` of all workers.
 
-    Similarities are as many as the square of the batch: beyond one block of them every worker makes
-    those of its own rows, and the sums of the softmax, a number per row, are gathered between two passes.
+    Similarities are as many as the square of the batch: beyond one block of them the workers share the tiles, or, where
+    similarities may be far apart, every worker makes those of its own rows, and the sums of the softmax, a number per row, are gathered between two passes.
     """
     if len(z) ** 2 <= BLOCK_CELLS:
         loss, dz = batch_loss(z, temperature)
         return loss, dz[rows]
+    if is_large(z, temperature):
+        return large_loss(z, rows, temperature, exchange.worker, exchange.workers, exchange.all_sum)
     logs, near, pull = row_pulls(z, rows, temperature)
     _, logs, near = gathered(exchange, [1, 1], places, logs[:, None], near[:, None])
     back = column_pulls(z, rows, logs[:, 0], temperature)

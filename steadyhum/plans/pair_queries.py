@@ -10,7 +10,7 @@ from ..functions.vectors import unit
 from ..operators import pairs as PR
 from ..operators import projection as PJ
 from ..operators.profile import build_profile
-from ..operators.training import Adam, TrainingConfig, fit, step_gradient, train_epoch, with_vectors
+from ..operators.training import Adam, TrainingConfig, fit, step_gradient, task_slots, train_epoch, with_vectors
 from . import views as X
 from .catalog_queries import round_trip_summary
 from .registry import query, rounded
@@ -391,7 +391,7 @@ def training_two_steps(spark, sf_dir):
     second = F.floor(place * 2 / n)
     first_of_second = -(-n // 2)
     halves = pairs.withColumns({"batch": second, "batch_position": place - second * first_of_second})
-    config = TrainingConfig(learning_rate=0.01)
+    config = TrainingConfig(learning_rate=0.01, workers=task_slots(spark))  # the comparing of all pairs is spread over all
     head = rational_head()
     head, _, loss = train_epoch(with_vectors(halves, X.recordings(spark, sf_dir)), head, Adam(head, config.learning_rate), config, 2)
     units = PJ.weights_table(spark, head, "trained")

@@ -109,6 +109,59 @@ def test_batches_larger_than_a_block_are_shared_by_rows(tmp_path, monkeypatch):
                 np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-12)
 
 
+def plain_loss(z, temperature):
+    """Loss and slope by all similarities at once."""
+    n2 = len(z)
+    sim = z @ z.T / temperature
+    np.fill_diagonal(sim, -np.inf)
+    top = sim.max(axis=1, keepdims=True)
+    logs = top + np.log(np.exp(sim - top).sum(axis=1, keepdims=True))
+    p = np.exp(sim - logs)
+    partner = (np.arange(n2) + n2 // 2) % n2
+    loss = (logs[:, 0] - sim[np.arange(n2), partner]).mean()
+    return loss, (p @ z + p.T @ z - 2 * z[partner]) / n2 / temperature
+
+
+@pytest.mark.parametrize("case", ["copies", "one", "not of unit length", "tiny temperature", "zeros"])
+@pytest.mark.parametrize("side", [7, 256])
+def test_large_batches_equal_all_similarities_at_once(case, side, monkeypatch):
+    monkeypatch.setattr(PJ, "BLOCK_CELLS", 900)
+    monkeypatch.setattr(PJ, "TILE", side)
+    r = np.random.default_rng(11)
+    z = r.normal(size=(40, 5))
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    z = z[r.integers(0, 40, 64)] if case == "copies" else z[np.zeros(64, int)] if case == "one" else z
+    z = 3.0 * z if case == "not of unit length" else np.zeros((64, 5)) if case == "zeros" else z
+    temperature = 1e-3 if case == "tiny temperature" else 0.1
+    loss, dz = PJ.batch_loss(z, temperature)
+    want, slope = plain_loss(z, temperature)
+    assert loss == pytest.approx(want, rel=1e-11, abs=1e-11)
+    np.testing.assert_allclose(dz, slope, rtol=1e-9, atol=1e-11)
+
+
+def test_rows_of_a_large_batch_are_compared_once_for_all_their_copies(monkeypatch):
+    """A recording is an anchor and a partner of some; its copies, and the other way round, are no comparisons of their own."""
+    r = np.random.default_rng(9)
+    z = r.normal(size=(1000, 8))
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    z = np.concatenate([z[r.permutation(1000)] for _ in range(4)])
+    cells, real = [], np.exp
+
+    def counted(x, *args, **kwargs):
+        cells.append(np.size(x))
+        return real(x, *args, **kwargs)
+
+    made = getattr(PJ, "tiles", lambda *a: [])
+    monkeypatch.setattr(PJ, "tiles", lambda *a: ((i, j, cells.append(t.size) or t) for i, j, t in made(*a)), raising=False)
+    monkeypatch.setattr(np, "exp", counted)
+    loss, dz = PJ.batch_loss(z, 0.1)
+    monkeypatch.undo()
+    want, slope = plain_loss(z, 0.1)
+    assert loss == pytest.approx(want, rel=1e-12)
+    np.testing.assert_allclose(dz, slope, rtol=1e-9, atol=1e-13)
+    assert sum(cells) < 2 * 1000**2 < 2 * 4000**2 / 10
+
+
 def test_memory_of_a_batch_does_not_grow_with_its_square():
     z = np.random.default_rng(8).normal(size=(6000, 4))
     z /= np.linalg.norm(z, axis=1, keepdims=True)

@@ -170,12 +170,13 @@ def tiles(
     """
     side, top = min(TILE, max(1, math.isqrt(BLOCK_CELLS))), reach(z, temperature)
     parts = [slice(at, min(at + side, len(z))) for at in range(0, len(z), side)]
-    one = np.ones((len(z), 1))
-    left, right = np.hstack([z * (-GRID / temperature), one * (GRID * top)]), np.hstack([z, one])  # the product is n
+    right = np.hstack([z, np.ones((len(z), 1))])
+    scale = np.array([*[-GRID / temperature] * z.shape[1], GRID * top])  # so scaled, the product is n
     held, exponential = np.empty((side, side)), FallingExp((side, side), 2 * GRID * top)
     for i, rows in enumerate(parts):
+        a = right[rows] * scale
         for j in range(i + (worker - 2 * i) % workers, len(parts), workers):
-            a, b = left[rows], right[parts[j]]
+            b = right[parts[j]]
             tile = exponential(np.matmul(a, b.T, out=held[: len(a), : len(b)]))
             if i == j:
                 tile[np.diag_indices(len(tile))] *= (counts[rows] - 1) / counts[rows]

@@ -46,7 +46,7 @@ from .common import releasing, texts
 from .encoding import SETTLED, byte_of_symbol, default_path, encoder
 from .files import file_system
 
-TABLE_WORDS = 6_000_000
+TABLE_WORDS = 1_000_000
 WORDS_AT_ONCE = 20_000
 ITEMS_AT_ONCE = 500_000
 
